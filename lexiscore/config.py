@@ -1,0 +1,60 @@
+"""Names and lists that define the measure. No rows live here."""
+
+from __future__ import annotations
+
+# Sub-drivers of each driver, and the columns a posts table needs.
+DRIVER_GROUPS = {
+    "Value": ["price", "squality", "goodsq"],
+    "Brand": ["cool", "exciting", "innov", "socresp"],
+    "Relationship": ["comm", "friendly", "personalrel", "trust"],
+}
+REQUIRED_COLUMNS = ["tweet_id", "created_at", "text"]
+PREVIEW_COLUMNS = ["tweet_id", "created_at", "text", "retweet"]
+
+# Calendar columns of each granularity.
+GRANULARITIES = {
+    "Weekly": ["year", "quarter", "month", "week"],
+    "Monthly": ["year", "quarter", "month"],
+    "Quarterly": ["year", "quarter"],
+    "Yearly": ["year"],
+}
+CALENDAR_COLUMNS = GRANULARITIES["Weekly"]
+
+# Zones of the input and of the reported local time.
+SOURCE_ZONE = "UTC"
+LOCAL_ZONE = "Europe/Paris"
+
+# Function words per language; a word may belong to several languages.
+LANGUAGE_PROFILES = {
+    "en": "the of and to is that it for was with".split(),
+    "fr": "le la les des et un une est que qui du par pour dans en".split(),
+    "es": "el la los las que de y en un una es por con para del".split(),
+    "de": "der die das und ist ein eine nicht mit von zu den im auf".split(),
+}
+
+
+def driver_groups(extra_driver: str | None = None) -> dict[str, list[str]]:
+    """Driver -> sub-drivers, with a user driver as a bucket of its own."""
+    groups = {name: list(subs) for name, subs in DRIVER_GROUPS.items()}
+    if extra_driver is not None:
+        known = {sub for subs in groups.values() for sub in subs} | set(groups)
+        if extra_driver in known:
+            raise ValueError(f"extra driver {extra_driver!r} already exists")
+        groups[extra_driver] = [extra_driver]
+    return groups
+
+
+def sub_drivers(extra_driver: str | None = None) -> list[str]:
+    return [sub for subs in driver_groups(extra_driver).values() for sub in subs]
+
+
+def granularity_columns(granularity: str | list[str]) -> list[str]:
+    """Accept a granularity name, one calendar column or a list of them."""
+    if isinstance(granularity, str):
+        cols = GRANULARITIES.get(granularity, [granularity])
+    else:
+        cols = list(granularity)
+    unknown = [c for c in cols if c not in CALENDAR_COLUMNS]
+    if unknown or not cols:
+        raise ValueError(f"not a calendar granularity: {granularity!r}")
+    return cols
