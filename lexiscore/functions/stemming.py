@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Words that do not follow the rules.
 IRREGULAR = {
@@ -129,12 +130,12 @@ def stem_word(word: str) -> str:
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _stem(words: pd.Series) -> pd.Series:
     return words.map(stem_word, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _stem_joined(rows: pd.Series) -> pd.Series:
     stems = {word: stem_word(word) for word in {w for row in rows for w in row}}
     return rows.map(lambda row: " ".join(stems[w] for w in row))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,17 +27,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the folder that all executors share.
 
     The cluster names that folder in ``spark.checkpoint.dir``. A temporary folder of this machine is used only where
-    every task runs on this machine too, and is then remembered as the session's own setting.
+    every task runs on this machine too, as in tests.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
-        root = tempfile.mkdtemp(prefix="lexiscore-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _own_folder()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="lexiscore-")
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Compute ``df`` once into a Parquet table in the shared folder and read that back.
 
