@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexiscore.config import sub_drivers
 from lexiscore.operators.terms import explode_terms
+from lexiscore.sources.readers import spread
 
 SCORE_COLUMNS = [f"{s}_{side}" for s in sub_drivers() for side in ("pos", "neg")]
 # One term per score column, in order.
@@ -25,7 +26,7 @@ FLAG_NUMBERS = [0.0, 1.0, 0.5, 2.0, None]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def lexicon_rows() -> list[tuple]:
@@ -33,16 +34,20 @@ def lexicon_rows() -> list[tuple]:
     return [(term, *[w.get(c, 0) for c in SCORE_COLUMNS]) for term, w in weights.items()]
 
 
+def _literal_table(spark: SparkSession, rows: list[tuple], columns: list[str]) -> DataFrame:
+    cells = [", ".join(f"'{v}'" if isinstance(v, str) else f"{v}L" for v in row) for row in rows]
+    return spark.sql(f"SELECT * FROM VALUES ({'), ('.join(cells)}) AS t({', '.join(columns)})")
+
+
 def lexicon(spark: SparkSession) -> DataFrame:
-    fields = ", ".join(f"{c} bigint" for c in SCORE_COLUMNS)
-    return spark.createDataFrame(lexicon_rows(), f"term string, {fields}")
+    return _literal_table(spark, lexicon_rows(), ["term", *SCORE_COLUMNS])
 
 
 EXTRA_ROWS = [("the", 1, 0), ("of", 0, 1), ("he", 2, 0), ("by-nc", 0, 1), ("and", 1, 1), ("unseen", 1, 0)]
 
 
 def extra_lexicon(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(EXTRA_ROWS, "term string, safety_pos bigint, safety_neg bigint")
+    return _literal_table(spark, EXTRA_ROWS, ["term", "safety_pos", "safety_neg"])
 
 
 def _cycle(values: list, by, kind: str):

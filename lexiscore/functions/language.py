@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from lexiscore.config import LANGUAGE_PROFILES
 
 
-def words(text: Column) -> Column:
-    """Lower-case runs of letters."""
-    return F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+")
+def short_words(text: Column, longest: int) -> Column:
+    """Lower-case runs of at most ``longest`` letters; longer runs cannot be function words."""
+    return F.regexp_extract_all(F.lower(text), F.lit(rf"(?<!\p{{L}})\p{{L}}{{1,{longest}}}+(?!\p{{L}})"), F.lit(0))
 
 
 def detect_language(text: Column, profiles: dict[str, list[str]] | None = None) -> Column:
@@ -19,12 +19,15 @@ def detect_language(text: Column, profiles: dict[str, list[str]] | None = None)
     Ties go to the alphabetically last code, so the result is deterministic.
     """
 
+    profiles = profiles or LANGUAGE_PROFILES
+    longest = max(len(word) for profile in profiles.values() for word in profile)
+
     def winner(found: Column) -> Column:
-        votes = [_votes(found, lang, profile) for lang, profile in (profiles or LANGUAGE_PROFILES).items()]
+        votes = [_votes(found, lang, profile) for lang, profile in profiles.items()]
         return F.array_max(F.filter(F.array(*votes), lambda vote: vote["n"] > 0))["lang"]
 
-    # The one-element array binds the words to a name: they are split once per row, wherever the optimizer puts this.
-    return F.get(F.transform(F.array(words(text)), winner), F.lit(0))
+    # The one-element array binds the words to a name: they are found once per row, wherever the optimizer puts this.
+    return F.get(F.transform(F.array(short_words(text, longest)), winner), F.lit(0))
 
 
 def _votes(found: Column, lang: str, profile: list[str]) -> Column:

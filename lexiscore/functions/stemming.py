@@ -36,13 +36,21 @@ STEP_4 = ["al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "men
 _VOWEL_RUN = re.compile(r"v+c")
 
 
+class _Letters(dict):
+    def __missing__(self, key: int) -> str:
+        return "c"
+
+
+_LETTERS = _Letters({ord(ch): "v" for ch in "aeiou"} | {ord("y"): "y"})
+
+
 def _shape(word: str) -> str:
     """The word as a string of v and c."""
-    out = []
-    for i, ch in enumerate(word):
-        vowel = ch in "aeiou" or (ch == "y" and i > 0 and out[-1] == "c")
-        out.append("v" if vowel else "c")
-    return "".join(out)
+    shape = word.translate(_LETTERS)
+    while "y" in shape:
+        i = shape.index("y")
+        shape = shape[:i] + ("v" if i and shape[i - 1] == "c" else "c") + shape[i + 1 :]
+    return shape
 
 
 def _measure(word: str) -> int:

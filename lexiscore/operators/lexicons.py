@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 # fixed 8 bytes, so a 22-column lexicon at the limit takes about 20 MB per executor.
 BROADCAST_ROWS = 100_000
 BROADCAST_TERM_BYTES = 4_000_000
-SALTS = 32
+SALTS = 16
 
 
 def score_columns(lexicon: DataFrame) -> list[str]:
@@ -64,10 +64,11 @@ def join_weights(terms: DataFrame, lexicon: DataFrame, small: bool, salt_key: st
     """Rows of ``terms`` with the weights of their ``term``; rows without a lexicon entry go.
 
     A lexicon within the limits is broadcast and the term rows stay where they are. A larger one is joined by shuffle,
-    with every term spread over a fixed number of salts, so that the most frequent word does not fill one task.
+    with every term spread over a fixed number of salts, so that the most frequent word does not fill one task. Term rows
+    far outnumber lexicon rows, so each task hashes its share of the lexicon and its term rows need no sort.
     """
     if small:
         return terms.join(F.broadcast(lexicon), "term")
     salted = terms.withColumn("_salt", F.pmod(F.xxhash64(salt_key), F.lit(SALTS)).cast("int"))
     spread = lexicon.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(spread, ["term", "_salt"]).drop("_salt")
+    return salted.join(spread.hint("shuffle_hash"), ["term", "_salt"]).drop("_salt")

@@ -24,6 +24,16 @@ def with_order(posts: DataFrame, order_col: str | None = None) -> DataFrame:
     return posts.withColumn("ord", order)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Deal out the rows of a scan that has fewer splits than the cluster has cores.
+
+    Scoring a text takes far longer than reading it, so a small table must not leave cores idle. A scan with splits for
+    every core, which any large table has, is returned as it is. Counting splits runs no job.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def read_posts_csv(
     spark: SparkSession,
     path: str,
@@ -51,7 +61,8 @@ def read_posts_csv(
 
 
 def read_posts_parquet(spark: SparkSession, path: str, order_col: str | None = None) -> DataFrame:
-    return with_order(spark.read.parquet(path), order_col)
+    scan = spark.read.parquet(path)
+    return spread(with_order(scan, order_col))
 
 
 def read_lexicon(spark: SparkSession, path: str, weight_type: str = "bigint") -> DataFrame:
