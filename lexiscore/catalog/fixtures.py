@@ -67,19 +67,20 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def messy_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Posts with flags of many spellings, copies, ids that own two texts, and missing times."""
-    doc = F.col("tweet_id")
-    copies = F.explode(F.sequence(F.lit(0), F.when(doc % 5 == 0, 1).otherwise(0)))
+    """Posts with flags of many spellings, copies, flagged reposts, ids that own two texts, and missing times."""
+    doc, copy = F.col("tweet_id"), F.col("copy")
+    copies = F.explode(F.sequence(F.lit(0), F.when(doc % 5 == 0, 2).otherwise(0)))
+    own_flag = _cycle(FLAG_TEXTS, doc, "string")
     return (
         posts(spark, sf_dir)
         .withColumn("copy", copies)
         .select(
             F.when(doc % 11 == 0, doc - 1).otherwise(doc).alias("tweet_id"),
             F.when(doc % 13 != 0, F.col("created_at")).alias("created_at"),
-            "text",
-            F.when(F.col("copy") == 1, "no").otherwise(_cycle(FLAG_TEXTS, doc, "string")).alias("retweet"),
+            F.when(copy == 2, F.concat(F.lit("RT "), F.col("text"))).otherwise(F.col("text")).alias("text"),
+            F.when(copy == 1, "no").when(copy == 2, "TRUE").otherwise(own_flag).alias("retweet"),
             "source",
-            (F.col("ord") + F.col("copy") * 10_000_000).alias("ord"),
+            (F.col("ord") + copy * 10_000_000).alias("ord"),
         )
     )
 

@@ -56,16 +56,17 @@ POSTS = """posts AS (
 _FLAGS = _values([(i, v) for i, v in enumerate(fx.FLAG_TEXTS)])
 MESSY = f"""{POSTS},
 flags(pos, flag) AS (VALUES {_FLAGS}),
-messy AS (
-  SELECT CASE WHEN p.tweet_id % 11 = 0 THEN p.tweet_id - 1 ELSE p.tweet_id END AS tweet_id,
-         CASE WHEN p.tweet_id % 13 = 0 THEN NULL ELSE p.created_at END AS created_at,
-         p.text, f.flag AS retweet, p.source, p.ord
-  FROM posts p JOIN flags f ON p.ord % {len(fx.FLAG_TEXTS)} = f.pos
+copied AS (
+  SELECT p.*, f.flag AS retweet FROM posts p JOIN flags f ON p.ord % {len(fx.FLAG_TEXTS)} = f.pos
+  UNION ALL
+  SELECT * REPLACE (ord + 10000000 AS ord), 'no' FROM posts WHERE tweet_id % 5 = 0
   UNION ALL
-  SELECT CASE WHEN p.tweet_id % 11 = 0 THEN p.tweet_id - 1 ELSE p.tweet_id END,
-         CASE WHEN p.tweet_id % 13 = 0 THEN NULL ELSE p.created_at END,
-         p.text, 'no', p.source, p.ord + 10000000
-  FROM posts p WHERE p.tweet_id % 5 = 0)"""
+  SELECT * REPLACE (ord + 20000000 AS ord, 'RT ' || text AS text), 'TRUE' FROM posts WHERE tweet_id % 5 = 0),
+messy AS (
+  SELECT CASE WHEN tweet_id % 11 = 0 THEN tweet_id - 1 ELSE tweet_id END AS tweet_id,
+         CASE WHEN tweet_id % 13 = 0 THEN NULL ELSE created_at END AS created_at,
+         text, retweet, source, ord
+  FROM copied)"""
 _TRUE = "coalesce(lower(trim(retweet)) IN ('true', '1', 'yes'), false)"
 
 
@@ -227,9 +228,8 @@ ORACLES["term_rows"] = f"""WITH {CLEAN}, {bag("clean", "ord, tweet_id, created_a
 SELECT tweet_id, created_at, term, frequency FROM term_bag"""
 ORACLES["detect_language"] = f"""WITH {language("documents", "doc_id")}
 SELECT doc_id, language FROM documents LEFT JOIN lang_of USING (doc_id)"""
-ORACLES["filter_language"] = f"""WITH {POSTS}, {language("posts", "ord")}
-SELECT p.*, false AS retweet FROM posts p JOIN lang_of USING (ord)
-WHERE language = 'fr' AND left(p.text, 2) <> 'RT'"""
+ORACLES["filter_language"] = f"""WITH {MESSY}, {language("messy", "ord")}
+SELECT m.* REPLACE (false AS retweet) FROM messy m JOIN lang_of USING (ord) WHERE language = 'fr' AND NOT {_TRUE}"""
 
 
 # Stems: words with marked consonant y (as Y), so that vowels are a, e, i, o, u, y.

@@ -194,7 +194,7 @@ def detect_language(spark, d):
 
 @query
 def filter_language(spark, d):
-    return plan.candidates(fx.posts(spark, d), lang="fr")
+    return plan.candidates(fx.messy_posts(spark, d), lang="fr")
 
 
 # Stems
