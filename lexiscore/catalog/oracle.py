@@ -299,7 +299,8 @@ s1c AS (SELECT term, CASE
   WHEN {_m0("b")} AND NOT {_m1("b")} AND {_short("b")} THEN b || 'e' ELSE b END AS w FROM s1b),
 s2 AS (SELECT term, CASE WHEN w LIKE '%y' AND length(w) > 2 AND regexp_matches({_mark(_cut("w", 1))}, '[^aeiouy]$')
   THEN {_cut("w", 1)} || 'i' ELSE w END AS w FROM s1c),
-s3 AS (SELECT term, CASE WHEN w LIKE '%alli' AND {_m0(_cut("w", 4))} THEN {_cut("w", 2)} ELSE {second} END AS w FROM s2),
+s2b AS (SELECT term, CASE WHEN w LIKE '%alli' AND {_m0(_cut("w", 4))} THEN {_cut("w", 2)} ELSE w END AS w FROM s2),
+s3 AS (SELECT term, {second} AS w FROM s2b),
 s4 AS (SELECT term, {_rules("w", _RULES_3, lambda base, suffix: _m0(base))} AS w FROM s3),
 s5a AS (SELECT term, {fourth} AS w FROM s4),
 s5b AS (SELECT term, CASE WHEN w LIKE '%e' AND {last_e} THEN {_cut("w", 1)} ELSE w END AS w FROM s5a),

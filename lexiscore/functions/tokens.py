@@ -24,10 +24,12 @@ _LONE_LETTER = r"[\p{L}\p{N}_&&[^mtsdn]](?![\p{L}\p{N}_])"
 _WORD = (
     "(?:"
     rf"[^n.:,'\-{_SPACE}{_MARKS}]++"
-    rf"|n(?!'t{_BREAK})"
+    rf"|n(?:(?<='n)|(?!'t{_BREAK}))"
     r"|-(?!-)"
     rf"|\.(?!\.|{_SENTENCE_END})"
     r"|[:,](?=[0-9])"
+    # Of two such marks in a row, the second stays with what follows.
+    r"|(?<=(?<![:,])[:,])[:,](?![:,0-9])"
     rf"|'(?!'|{_CLITIC}?{_BREAK}|{_LONE_LETTER})"
     ")++"
 )
@@ -36,7 +38,8 @@ FUSED_FORMS = [
     ("can", "not"), ("gim", "me"), ("gon", "na"), ("got", "ta"), ("lem", "me"),
     ("wan", "na"), ("d", "'ye"), ("more", "'n"), ("'t", "is"), ("'t", "was"),
 ]
-_FUSED = "(?<![A-Za-z0-9_])(?:" + "|".join(rf"{a}(?={b}(?![A-Za-z0-9_]))" for a, b in FUSED_FORMS) + ")"
+_FUSED_END = rf"(?:(?![A-Za-z0-9_])|n't{_BREAK})"
+_FUSED = "(?<![A-Za-z0-9_])(?:" + "|".join(f"{a}(?={b}{_FUSED_END})" for a, b in FUSED_FORMS) + ")"
 TOKEN_PATTERN = rf"{_FUSED}|{_WORD}|n't{_BREAK}|'{_CLITIC}{_BREAK}|\.\.+|--|''|`+|[^{_SPACE}]"
 
 _OPENING_QUOTE = rf"(^|[{_SPACE}(\[{{<])(\x22|'')"
