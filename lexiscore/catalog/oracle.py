@@ -207,6 +207,9 @@ ORACLES["calendar_columns"] = f"""WITH {TIMES}
 SELECT tweet_id, created_at, {_CALENDAR_LIST} FROM (SELECT tweet_id, moment AS created_at FROM times)"""
 ORACLES["format_timestamp"] = "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS created_at FROM events"
 
+ORACLES["prepare_posts"] = f"""WITH {MESSY}
+SELECT * REPLACE (created_at {_LOCAL} AS created_at, {_TRUE} AS retweet) FROM messy"""
+
 # Flags
 
 ORACLES["coerce_flag_string"] = f"WITH {MESSY} SELECT ord, {_TRUE} AS retweet FROM messy"

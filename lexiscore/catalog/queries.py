@@ -15,6 +15,7 @@ from lexiscore.functions.stemming import stem_joined
 from lexiscore.functions.tokens import tokens
 from lexiscore.operators import lexicons, scoring, series, standardise, terms
 from lexiscore.plans import reputation as plan
+from lexiscore.plans.ingest import prepare_posts as prepare
 from lexiscore.session import scratch_path, written
 from lexiscore.sources import readers, writers
 
@@ -137,6 +138,14 @@ def format_timestamp(spark, d):
     return writers.format_created_at(events)
 
 
+@query
+def prepare_posts(spark, d):
+    # Times as text with a known pattern, the flag as text, and names of the user's own.
+    posts = fx.messy_posts(spark, d).withColumn("created_at", _render(F.col("created_at"), "%d/%m/%Y %H:%M"))
+    raw = posts.withColumnsRenamed({"tweet_id": "id", "created_at": "posted", "text": "body"})
+    return prepare(raw, {"tweet_id": "id", "created_at": "posted", "text": "body"})
+
+
 # Flags
 
 

@@ -60,7 +60,7 @@ def is_small(lexicon: DataFrame) -> bool:
     return rows <= BROADCAST_ROWS and size <= BROADCAST_TERM_BYTES
 
 
-def join_weights(terms: DataFrame, lexicon: DataFrame, small: bool, salt_key: str = "ord") -> DataFrame:
+def join_weights(terms: DataFrame, lexicon: DataFrame, small: bool) -> DataFrame:
     """Rows of ``terms`` with the weights of their ``term``; rows without a lexicon entry go.
 
     A lexicon within the limits is broadcast and the term rows stay where they are. A larger one is joined by shuffle,
@@ -69,6 +69,8 @@ def join_weights(terms: DataFrame, lexicon: DataFrame, small: bool, salt_key: st
     """
     if small:
         return terms.join(F.broadcast(lexicon), "term")
-    salted = terms.withColumn("_salt", F.pmod(F.xxhash64(salt_key), F.lit(SALTS)).cast("int"))
+    # The salt is a function of the row, so that a task that runs again sends its rows to the same places.
+    row_key = ["ord"] if "ord" in terms.columns else [c for c in terms.columns if c != "term"]
+    salted = terms.withColumn("_salt", F.pmod(F.xxhash64(*row_key), F.lit(SALTS)).cast("int"))
     spread = lexicon.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return salted.join(spread.hint("shuffle_hash"), ["term", "_salt"]).drop("_salt")

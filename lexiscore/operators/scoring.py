@@ -16,8 +16,7 @@ from lexiscore.operators.terms import count_terms, explode_terms
 
 def term_scores(term_rows: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Term rows with every weight multiplied by the frequency."""
-    salt_key = "ord" if "ord" in term_rows.columns else "tweet_id"
-    joined = join_weights(term_rows, lexicon, is_small(lexicon), salt_key)
+    joined = join_weights(term_rows, lexicon, is_small(lexicon))
     scores = [(F.col("frequency") * F.col(c)).alias(c) for c in score_columns(lexicon)]
     return joined.select(*term_rows.columns, *scores)
 
@@ -54,13 +53,16 @@ def score_texts(posts: DataFrame, lexicon: DataFrame) -> DataFrame:
 def reattach(posts: DataFrame, sums: DataFrame, fmt: str | None = None) -> DataFrame:
     """All columns of the posts, calendar columns and the sums of their id; posts without sums go.
 
-    A plain equi-join: ids are unique on the right, and an id with very many posts on the left is split by adaptive
-    skew handling.
+    An id may have very many posts, while its sums are one row, so the posts of such an id can be split among tasks.
+    Adaptive execution does that, but only where both sides are shuffled for the join itself. The sums already lie by id
+    from their aggregation; joining by the id and its hash has them shuffled again, one small row per id.
     """
     clash = (set(sums.columns) - {"tweet_id"}) & set(posts.columns)
     if clash:
         raise ValueError(f"posts already have the columns {sorted(clash)}")
-    return add_calendar(posts, fmt).join(sums, "tweet_id")
+    by_hash = F.xxhash64("tweet_id")
+    left, right = add_calendar(posts, fmt).withColumn("_hash", by_hash), sums.withColumn("_hash", by_hash)
+    return left.join(right, ["tweet_id", "_hash"]).drop("_hash")
 
 
 def net_columns(columns: list[str], extra_driver: str | None = None) -> dict:

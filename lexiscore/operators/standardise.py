@@ -34,7 +34,7 @@ def map_columns(df: DataFrame, tweet_id: str, created_at: str, text: str) -> Dat
     if absent:
         raise ValueError(f"no such columns: {absent}")
     taken = [c for c in chosen.values() if c in df.columns and c not in chosen]
-    return df.drop(*taken).withColumnsRenamed(chosen)
+    return df.select(*[F.col(f"`{c}`").alias(chosen.get(c, c)) for c in df.columns if c not in taken])
 
 
 def missing_columns(df: DataFrame) -> list[str]:

@@ -15,6 +15,7 @@ from lexiscore.operators.series import series
 from lexiscore.operators.standardise import dedupe_keep_first, drop_reposts, ensure_text_and_id
 from lexiscore.operators.terms import count_terms, explode_terms
 from lexiscore.session import written
+from lexiscore.sources.readers import with_order
 
 TERM_ROW_COLUMNS = ["tweet_id", "text", "created_at", "term", "frequency"]
 
@@ -76,6 +77,8 @@ def score_posts(
     if match_on not in ("surface", "stem") or reattach not in ("raw", "clean"):
         raise ValueError(f"unknown option: match_on={match_on!r}, reattach={reattach!r}")
     lexicon = check_lexicon(lexicon)
+    if "ord" not in posts.columns:
+        posts = with_order(posts)
     if extra_lexicon is not None:
         lexicon = merge_lexicons(lexicon, check_lexicon(extra_lexicon))
     rows = candidates(posts, lang, profiles)

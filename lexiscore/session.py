@@ -29,7 +29,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     The cluster names that folder in ``spark.checkpoint.dir``. A temporary folder of this machine is used only where
     every task runs on this machine too, as in tests.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")

@@ -57,7 +57,7 @@ def read_posts_csv(
     )
     cells = {c: F.when(~F.col(f"`{c}`").isin(*MISSING_TEXTS), F.col(f"`{c}`")) for c in raw.columns}
     typed = {c: cell.try_cast(types[c]) if types and c in types else cell for c, cell in cells.items()}
-    return with_order(raw.select(*[col.alias(c) for c, col in typed.items()]), order_col)
+    return spread(with_order(raw.select(*[col.alias(c) for c, col in typed.items()]), order_col))
 
 
 def read_posts_parquet(spark: SparkSession, path: str, order_col: str | None = None) -> DataFrame:
