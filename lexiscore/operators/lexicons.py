@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# A lexicon is broadcast only if it has at most this many rows and its terms at most this many bytes. Each weight is a
-# fixed 8 bytes, so a 22-column lexicon at the limit takes about 20 MB per executor.
+# A lexicon is broadcast only within these limits. Each weight takes 8 bytes, so one at the limit takes about 24 MB.
 BROADCAST_ROWS = 100_000
+BROADCAST_WEIGHTS = 2_500_000
 BROADCAST_TERM_BYTES = 4_000_000
 SALTS = 16
 
@@ -55,9 +55,10 @@ def merge_lexicons(lexicon: DataFrame, extra: DataFrame, how: str = "inner") ->
 
 def is_small(lexicon: DataFrame) -> bool:
     """Whether the lexicon keeps within the broadcast limits; reads at most one row more than they allow."""
-    probe = lexicon.select("term").limit(BROADCAST_ROWS + 1)
+    most = min(BROADCAST_ROWS, BROADCAST_WEIGHTS // max(1, len(score_columns(lexicon))))
+    probe = lexicon.select("term").limit(most + 1)
     rows, size = probe.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("term")), F.lit(0))).first()
-    return rows <= BROADCAST_ROWS and size <= BROADCAST_TERM_BYTES
+    return rows <= most and size <= BROADCAST_TERM_BYTES
 
 
 def join_weights(terms: DataFrame, lexicon: DataFrame, small: bool) -> DataFrame:

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiscore.config import driver_groups
+from lexiscore.functions.timestamps import calendar_parts
 from lexiscore.operators.lexicons import is_small, join_weights, score_columns
-from lexiscore.operators.standardise import add_calendar
+from lexiscore.operators.standardise import parse_created_at
 from lexiscore.operators.terms import count_terms, explode_terms
 
 
@@ -61,8 +62,12 @@ def reattach(posts: DataFrame, sums: DataFrame, fmt: str | None = None) -> DataF
     if clash:
         raise ValueError(f"posts already have the columns {sorted(clash)}")
     by_hash = F.xxhash64("tweet_id")
-    left, right = add_calendar(posts, fmt).withColumn("_hash", by_hash), sums.withColumn("_hash", by_hash)
-    return left.join(right, ["tweet_id", "_hash"]).drop("_hash")
+    left, right = parse_created_at(posts, fmt).withColumn("_hash", by_hash), sums.withColumn("_hash", by_hash)
+    joined = left.join(right, ["tweet_id", "_hash"])
+    # Calendar columns come after the shuffle, which then moves one time per post.
+    calendar = calendar_parts(F.col("created_at")) if "created_at" in posts.columns else {}
+    scores = [c for c in sums.columns if c != "tweet_id"]
+    return joined.withColumns(calendar).select(*[c for c in posts.columns if c not in calendar], *calendar, *scores)
 
 
 def net_columns(columns: list[str], extra_driver: str | None = None) -> dict:

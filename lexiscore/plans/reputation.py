@@ -38,6 +38,10 @@ def clean_posts(posts: DataFrame, lang: str | None = "en", profiles: dict[str, l
 
 def term_rows(posts: DataFrame, lang: str | None = "en", punctuation: bool = True) -> DataFrame:
     """Bag of words: one row per post and term, with the lower-case text and the time of the post."""
+    if "created_at" not in posts.columns:
+        posts = posts.withColumn("created_at", F.lit(None).cast("timestamp_ntz"))
+    if "ord" not in posts.columns:
+        posts = with_order(posts)
     clean = clean_posts(posts, lang).withColumn("text", F.lower(F.coalesce("text", F.lit(""))))
     return count_terms(clean, ["tweet_id", "text", "created_at"], punctuation).select(*TERM_ROW_COLUMNS)
 

@@ -82,6 +82,9 @@ def test_posts_without_optional_columns(spark, lexicon):
     df = posts(spark, ROWS).drop("retweet")
     assert plan.score_posts(df, lexicon).count() == 7
     assert plan.term_rows(df.drop("text")).count() == 0
+    bare = df.drop("created_at", "ord")
+    assert plan.score_posts(bare, lexicon).count() == 7
+    assert plan.term_rows(bare).where("created_at is null").count() > 0
 
 
 def test_extra_lexicon_and_driver(spark, lexicon):
