@@ -12,12 +12,12 @@ from lexiscore.config import driver_groups
 from lexiscore.functions.timestamps import calendar_parts
 from lexiscore.operators.lexicons import is_small, join_weights, score_columns
 from lexiscore.operators.standardise import parse_created_at
-from lexiscore.operators.terms import count_terms, explode_terms
+from lexiscore.operators.terms import count_terms
 
 
-def term_scores(term_rows: DataFrame, lexicon: DataFrame) -> DataFrame:
+def term_scores(term_rows: DataFrame, lexicon: DataFrame, small: bool | None = None) -> DataFrame:
     """Term rows with every weight multiplied by the frequency."""
-    joined = join_weights(term_rows, lexicon, is_small(lexicon))
+    joined = join_weights(term_rows, lexicon, is_small(lexicon) if small is None else small)
     scores = [(F.col("frequency") * F.col(c)).alias(c) for c in score_columns(lexicon)]
     return joined.select(*term_rows.columns, *scores)
 
@@ -31,24 +31,19 @@ def sum_scores(scored_terms: DataFrame, columns: list[str]) -> DataFrame:
 def score_texts(posts: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Score sums per post id, copies of one text under one id counted once.
 
-    Texts are scored where they are read and never shuffled: what moves is one row of sums per post with a hit. Copies
-    have equal sums, so they are dropped afterwards by id and digest of the text. Each of the three groupings combines
-    before its shuffle, so neither an id nor a text with very many rows fills a task.
+    Terms are counted where the texts are read, and texts are never shuffled: what moves is one short row per post and
+    lexicon term in it, with a digest for the text. Copies have equal counts, so grouping by id, digest and term leaves one
+    of each. Both groupings combine before their shuffle, so neither an id nor a text with very many rows fills a task, and
+    rows are told apart by content only, so a task that runs again gives the same rows.
     """
-    cols = score_columns(lexicon)
-    rows = posts.where(F.col("tweet_id").isNotNull()).select("ord", "tweet_id", "text")
-    rows = rows.withColumn("digest", F.unhex(F.sha2("text", 256)))
-    keys = ["ord", "tweet_id", "digest"]
-    if is_small(lexicon):
-        # Every occurrence adds its weight, so terms need not be counted first.
-        hits = join_weights(explode_terms(rows, keys), lexicon, small=True)
-        weighted = {c: F.col(c) for c in cols}
-    else:
-        hits = join_weights(count_terms(rows, keys), lexicon, small=False)
-        weighted = {c: F.col("frequency") * F.col(c) for c in cols}
-    per_row = hits.groupBy(*keys).agg(*[F.coalesce(F.sum(w), F.lit(0)).alias(c) for c, w in weighted.items()])
-    per_text = per_row.groupBy("tweet_id", "digest").agg(*[F.max(c).alias(c) for c in cols])
-    return per_text.groupBy("tweet_id").agg(*[F.sum(c).alias(c) for c in cols])
+    keys = ["tweet_id", "digest"]
+    rows = posts.where(F.col("tweet_id").isNotNull()).select("tweet_id", "text")
+    counts = count_terms(rows.withColumn("digest", F.unhex(F.sha2("text", 256))), keys)
+    small = is_small(lexicon)
+    if small:
+        counts = counts.join(F.broadcast(lexicon.select("term").distinct()), "term", "left_semi")
+    once = counts.groupBy(*keys, "term").agg(F.max("frequency").alias("frequency"))
+    return sum_scores(term_scores(once, lexicon, small), score_columns(lexicon))
 
 
 def reattach(posts: DataFrame, sums: DataFrame, fmt: str | None = None) -> DataFrame:

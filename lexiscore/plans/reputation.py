@@ -81,15 +81,14 @@ def score_posts(
     if match_on not in ("surface", "stem") or reattach not in ("raw", "clean"):
         raise ValueError(f"unknown option: match_on={match_on!r}, reattach={reattach!r}")
     lexicon = check_lexicon(lexicon)
-    if "ord" not in posts.columns:
-        posts = with_order(posts)
     if extra_lexicon is not None:
         lexicon = merge_lexicons(lexicon, check_lexicon(extra_lexicon))
     rows = candidates(posts, lang, profiles)
     if match_on == "stem":
         lexicon = surface_lexicon(rows, lexicon)
     sums = score_texts(rows, lexicon)
-    target = posts if reattach == "raw" else dedupe_keep_first(rows)
+    ordered = [df if "ord" in df.columns else with_order(df) for df in (posts, rows)]
+    target = ordered[0] if reattach == "raw" else dedupe_keep_first(ordered[1])
     return with_scores(reattach_sums(target, sums, fmt), "Brand_Reputation", extra_driver)
 
 

@@ -198,6 +198,14 @@ def test_skew_is_combined_before_each_shuffle(spark, lexicon, skewed):
     assert series.series(scored, "Yearly").first().total_tweets == 30_000
 
 
+def test_scores_do_not_need_a_row_order(spark, lexicon, skewed):
+    want = scoring.score_texts(skewed, lexicon).orderBy("tweet_id").collect()
+    for order in (F.lit(0).cast("bigint"), F.rand().cast("bigint")):
+        assert scoring.score_texts(skewed.withColumn("ord", order), lexicon).orderBy("tweet_id").collect() == want
+    text = scoring.score_texts(skewed, lexicon)._jdf.queryExecution().executedPlan().toString()
+    assert "text#" not in "".join(line for line in text.splitlines() if "Exchange hashpartitioning" in line)
+
+
 def test_hot_id_is_split_in_the_join(spark, lexicon, skewed):
     settings = {
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10KB",
