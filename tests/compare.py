@@ -30,13 +30,10 @@ def normal(pdf: pd.DataFrame) -> pd.DataFrame:
     return text.sort_values(list(text.columns)).reset_index(drop=True)
 
 
-def arrow_frame(table) -> pd.DataFrame:
-    return table.to_pandas(types_mapper={}.get, integer_object_nulls=True)
-
-
 def difference(spark, con, name: str, sf_dir: str) -> str | None:
     got_df = QUERIES[name](spark, sf_dir)
-    got, want = arrow_frame(got_df.toArrow()), arrow_frame(con.execute(ORACLES[name]).to_arrow_table())
+    tables = got_df.toArrow(), con.execute(ORACLES[name]).to_arrow_table()
+    got, want = (table.to_pandas(integer_object_nulls=True) for table in tables)
     if sorted(got.columns) != sorted(want.columns):
         return f"columns {sorted(set(got.columns) ^ set(want.columns))}"
     if len(got) != len(want):
