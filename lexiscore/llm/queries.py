@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiscore.llm import line_dedup, token_counts
+from lexiscore.llm import ann, decontaminate, line_dedup, pii, secrets, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -66,3 +66,30 @@ FROM marked GROUP BY doc_id
 @query
 def op6_token_counts(spark, d):
     return token_counts.count_tokens(table(spark, d, "documents"), piece_model(), MAX_TOKENS)
+
+
+# In production the key comes from the caller's secret store; results depend on it and on nothing else.
+PII_KEY = b"op1 example key"
+
+
+@query
+def op1_pii(spark, d):
+    return pii.pseudonymise(table(spark, d, "documents"), PII_KEY)
+
+
+@query
+def op3_secret_scan(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    found = secrets.find_secrets(docs, secrets.train(docs))
+    digest = F.sha2("base_spans", 256).alias("base_sha256")
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", digest, "spans")
+
+
+@query
+def op5_nearest_neighbours(spark, d):
+    return ann.search(table(spark, d, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query
+def op7_decontamination(spark, d):
+    return decontaminate.find_leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
