@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiscore.llm import ann, decontaminate, line_dedup, pii, secrets, token_counts
+from lexiscore.llm import ann, decontaminate, line_dedup, pii, secrets, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -93,3 +93,12 @@ def op5_nearest_neighbours(spark, d):
 @query
 def op7_decontamination(spark, d):
     return decontaminate.find_leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+@query
+def op8_toxicity(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    scored = toxicity.score(docs, toxicity.train(docs, table(spark, d, "labels"), ~held_out))
+    predicted = (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted")
+    return scored.select("doc_id", held_out.alias("held_out"), "score", predicted)
