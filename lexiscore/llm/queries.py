@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiscore.llm import ann, decontaminate, line_dedup, pii, secrets, token_counts, toxicity
+from lexiscore.llm import ann, decontaminate, licenses, line_dedup, pii, secrets, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -102,3 +102,12 @@ def op8_toxicity(spark, d):
     scored = toxicity.score(docs, toxicity.train(docs, table(spark, d, "labels"), ~held_out))
     predicted = (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted")
     return scored.select("doc_id", held_out.alias("held_out"), "score", predicted)
+
+
+@query
+def op10_license_scan(spark, d):
+    # The table has no paths. A source is taken for a repository with a folder per 1,000 ids and one per 50 in it.
+    folder = F.concat_ws("/", "source", F.format_string("part%d", F.expr("doc_id div 1000")), F.format_string("box%d", F.expr("doc_id div 50")))
+    docs = table(spark, d, "documents")
+    found = licenses.scan(docs, F.concat_ws("/", folder, F.format_string("%d.txt", "doc_id")), file_share=0.2)
+    return found.withColumn("cosine", F.round("cosine", 6))
