@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiscore.llm import ann, decontaminate, licenses, line_dedup, pii, secrets, token_counts, toxicity
+from lexiscore.llm import ann, decontaminate, licenses, line_dedup, ngram_join, pii, secrets, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -111,3 +111,8 @@ def op10_license_scan(spark, d):
     docs = table(spark, d, "documents")
     found = licenses.scan(docs, F.concat_ws("/", folder, F.format_string("%d.txt", "doc_id")), file_share=0.2)
     return found.withColumn("cosine", F.round("cosine", 6))
+
+
+@query
+def op2_ngram_jaccard(spark, d):
+    return ngram_join.join(table(spark, d, "documents"))
