@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiscore.llm import ann, decontaminate, licenses, line_dedup, ngram_join, pii, secrets, token_counts, toxicity
+from lexiscore.llm import ann, decontaminate, licenses, line_dedup, ngram_join, pii, secrets, sentence_pieces, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -116,3 +116,10 @@ def op10_license_scan(spark, d):
 @query
 def op2_ngram_jaccard(spark, d):
     return ngram_join.join(table(spark, d, "documents"))
+
+
+@query
+def op9_sentence_pieces(spark, d):
+    encoded = sentence_pieces.encode(table(spark, d, "documents"), piece_model())
+    read = sentence_pieces.decode(encoded, piece_model())
+    return read.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.sha2("text", 256).alias("decoded_sha256"))
