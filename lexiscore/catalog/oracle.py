@@ -7,7 +7,7 @@ scoring instead of after it, and stems from regular expressions over marked word
 from __future__ import annotations
 
 from lexiscore.catalog import fixtures as fx
-from lexiscore.config import CALENDAR_COLUMNS, GRANULARITIES, LANGUAGE_PROFILES, driver_groups
+from lexiscore.config import CALENDAR_COLUMNS, GRANULARITIES, LANGUAGE_GRAMS, LANGUAGE_PROFILES, driver_groups
 from lexiscore.functions.timestamps import COMMON_PATTERNS
 
 ORACLES: dict[str, str] = {}
@@ -71,12 +71,29 @@ _TRUE = "coalesce(lower(trim(retweet)) IN ('true', '1', 'yes'), false)"
 
 
 def language(source: str, key: str) -> str:
-    """CTEs that end in ``lang_of(key, language)`` for each row of ``source`` that has function words."""
+    """CTEs that end in ``lang_of(key, language)`` for each row of ``source``."""
     profile = _values([(lang, w) for lang, ws in LANGUAGE_PROFILES.items() for w in ws])
+    spoken_in = _values([(lang,) for lang in LANGUAGE_PROFILES])
+    arms = " ".join(
+        f"WHEN '{lang}' THEN len(regexp_extract_all(lower(text), '{'|'.join(own)}'))" for lang, own in LANGUAGE_GRAMS.items()
+    )
     return f"""profile(language, word) AS (VALUES {profile}),
 spoken AS (SELECT {key}, unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}]+')) AS word FROM {source}),
 votes AS (SELECT {key}, language, count(*) AS n FROM spoken JOIN profile USING (word) GROUP BY ALL),
-lang_of AS (SELECT {key}, arg_max(language, (n, language)) AS language FROM votes GROUP BY {key})"""
+most AS (SELECT {key}, max(n) AS n FROM votes GROUP BY {key}),
+tied AS (
+  SELECT {key}, language, true AS said FROM votes JOIN most USING ({key}, n)
+  UNION ALL
+  SELECT {key}, language, false FROM {source} CROSS JOIN (VALUES {spoken_in}) v(language)
+  WHERE {key} NOT IN (SELECT {key} FROM most)),
+single AS (SELECT {key}, max(language) AS language FROM tied GROUP BY {key} HAVING count(*) = 1),
+runs AS (
+  SELECT {key}, t.language, t.said, CASE t.language {arms} END AS n FROM tied t JOIN {source} USING ({key})
+  WHERE {key} NOT IN (SELECT {key} FROM single)),
+lang_of AS (
+  SELECT {key}, language FROM single
+  UNION ALL
+  SELECT {key}, coalesce(arg_max(language, (n, language)) FILTER (n > 0), max(language) FILTER (said)) FROM runs GROUP BY {key})"""
 
 
 # Rows that may be scored, in one language and without copies.
@@ -160,7 +177,7 @@ def series(keys: list[str], columns: list[str], extra: str | None = None, sets:
         out += [f"{s}_net" for s in subs] + [f"{b}_Driver"]
     out.append("Brand Reputation")
     z = ", ".join(
-        f"""round(CASE WHEN stddev_samp("{c}") OVER w IS NULL OR stddev_samp("{c}") OVER w < 1e-12 THEN 0.0::DOUBLE
+        f"""round(CASE WHEN stddev_samp("{c}") OVER w IS NULL OR stddev_samp("{c}") OVER w <= 1e-12 * max(abs("{c}")) OVER w THEN 0.0::DOUBLE
         ELSE ("{c}" - avg("{c}") OVER w) / stddev_samp("{c}") OVER w END, 6) + 0.0 AS "{c}" """
         for c in out
     )
@@ -179,6 +196,10 @@ ORACLES["map_columns"] = "SELECT conv_id AS tweet_id, turn AS created_at, role,
 ORACLES["missing_columns"] = """SELECT missing_column, count(*) AS n_posts FROM documents
   CROSS JOIN (VALUES ('tweet_id'), ('created_at')) v(missing_column) GROUP BY 1"""
 ORACLES["preview"] = f"WITH {MESSY} SELECT tweet_id, created_at, text, retweet FROM messy ORDER BY ord LIMIT 5"
+ORACLES["first_n_large"] = """WITH keyed AS (SELECT l_orderkey, l_linenumber, l_returnflag,
+  CASE WHEN l_orderkey % 7 <> 0 THEN CAST(l_quantity AS BIGINT) END AS quantity FROM lineitem)
+SELECT quantity, l_orderkey, l_linenumber, l_returnflag FROM keyed
+ORDER BY quantity NULLS LAST, l_orderkey, l_linenumber LIMIT (SELECT count(*) // 3 FROM lineitem)"""
 ORACLES["first_n"] = f"WITH {MESSY} SELECT * FROM messy ORDER BY ord LIMIT 300"
 
 # Time
@@ -210,8 +231,28 @@ ORACLES["format_timestamp"] = "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S'
 ORACLES["prepare_posts"] = f"""WITH {MESSY}
 SELECT * REPLACE (created_at {_LOCAL} AS created_at, {_TRUE} AS retweet) FROM messy"""
 
+# Each form that is inferred, as strftime writes it, with the precision that it has.
+_INFERRED_SQL = [
+    ("strftime(moment, '%a %b %d %H:%M:%S +0000 %Y')", "moment"),
+    ("strftime(moment, '%b %-d, %Y')", "date_trunc('day', moment)"),
+    ("strftime(moment, '%-d %B %Y %H:%M')", "date_trunc('minute', moment)"),
+    ("strftime(moment, '%Y%m%d')", "date_trunc('day', moment)"),
+    ("strftime(moment, '%m/%d/%Y %I:%M %p')", None),
+    ("strftime(moment, '%d-%m-%Y')", "date_trunc('day', moment)"),
+    ("strftime(moment, '%d.%m.%Y %H:%M')", "date_trunc('minute', moment)"),
+    ("'n/a'", "NULL"),
+]
+_inferred = " ".join(
+    f"WHEN {i} THEN {value or 'try_strptime(' + text + ', $$%m/%d/%Y %I:%M %p$$)'}" for i, (text, value) in enumerate(_INFERRED_SQL)
+)
+ORACLES["parse_time_inferred"] = f"""WITH {TIMES}
+SELECT tweet_id, CAST(CASE tweet_id % {len(_INFERRED_SQL)} {_inferred} END AS TIMESTAMP) AS created_at FROM times"""
+
 # Flags
 
+ORACLES["coerce_flag_csv"] = f"""WITH {POSTS}
+SELECT tweet_id, created_at {_LOCAL} AS created_at, text, false AS retweet, source, ord FROM posts
+WHERE ord % 4 NOT IN (0, 3)"""
 ORACLES["coerce_flag_string"] = f"WITH {MESSY} SELECT ord, {_TRUE} AS retweet FROM messy"
 _NUMBERS = _values([(i, v) for i, v in enumerate(fx.FLAG_NUMBERS)])
 ORACLES["coerce_flag_numeric"] = f"""WITH numbers(pos, flag) AS (VALUES {_NUMBERS})
@@ -228,7 +269,8 @@ ORACLES["dedupe_keep_first"] = f"""WITH {MESSY} SELECT * EXCLUDE rn FROM (
   SELECT *, row_number() OVER (PARTITION BY text, tweet_id ORDER BY ord) AS rn FROM messy) WHERE rn = 1"""
 ORACLES["term_frequency"] = f"WITH {bag('documents', 'doc_id')} SELECT * FROM term_bag"
 ORACLES["term_rows"] = f"""WITH {CLEAN}, {bag("clean", "ord, tweet_id, created_at")}
-SELECT tweet_id, created_at, term, frequency FROM term_bag"""
+SELECT ord, tweet_id, created_at, term, frequency FROM term_bag"""
+ORACLES["clean_texts"] = f"""WITH {CLEAN} SELECT ord, tweet_id, created_at, lower(coalesce(text, '')) AS text FROM clean"""
 ORACLES["detect_language"] = f"""WITH {language("documents", "doc_id")}
 SELECT doc_id, language FROM documents LEFT JOIN lang_of USING (doc_id)"""
 ORACLES["filter_language"] = f"""WITH {MESSY}, {language("messy", "ord")}
@@ -323,7 +365,7 @@ _surface_cols = ", ".join(f"l.{c}" for c in fx.SCORE_COLUMNS)
 ORACLES["score_posts_stemmed"] = f"""WITH {CLEAN}, {bag("clean", "ord, tweet_id")}, {LEXICON}, {stems("term_bag")},
 surface AS (SELECT s.term, {_surface_cols} FROM stems s JOIN lexicon l ON s.stem = l.term),
 {weighted_sums("surface", fx.SCORE_COLUMNS)}, {scored()}
-SELECT {_rounded(_ROUND_POST)} FROM (SELECT * EXCLUDE text FROM scored)"""
+SELECT {_rounded(_ROUND_POST)} FROM scored"""
 
 # Lexicons
 
@@ -336,9 +378,13 @@ conversation_lexicon AS (SELECT term, count(*) FILTER (role = 'user') AS trust_p
 ORACLES["merge_lexicon"] = f"""WITH {VOCABULARY}, {SPOKEN}
 SELECT term, cool_pos, cool_neg, trust_pos, trust_neg FROM vocabulary_lexicon JOIN conversation_lexicon USING (term)"""
 ORACLES["validate_lexicon"] = f"""WITH {VOCABULARY}, {SPOKEN}
-SELECT 'cool_pos' AS column_name, CAST(sum(cool_pos) AS BIGINT) AS weight_sum, false AS paired FROM vocabulary_lexicon
-UNION ALL SELECT 'trust_pos', CAST(sum(trust_pos) AS BIGINT), true FROM conversation_lexicon
-UNION ALL SELECT 'trust_neg', CAST(sum(trust_neg) AS BIGINT), true FROM conversation_lexicon"""
+SELECT 'cool_pos' AS column_name, CAST(sum(cool_pos) AS BIGINT) AS weight_sum, false AS paired, true AS free_of_net
+FROM vocabulary_lexicon
+UNION ALL SELECT 'trust_pos', CAST(sum(trust_pos) AS BIGINT), true, true FROM conversation_lexicon
+UNION ALL SELECT 'trust_neg', CAST(sum(trust_neg) AS BIGINT), true, true FROM conversation_lexicon"""
+ORACLES["read_lexicon_file"] = f"""WITH {POSTS}, {bag("posts", "ord, tweet_id")}, {LEXICON},
+{weighted_sums("lexicon", fx.SCORE_COLUMNS)} SELECT * FROM sums"""
+ORACLES["posts_without_text"] = "SELECT event_id AS ord, ts AS created_at, '' AS text, '' AS tweet_id FROM events"
 ORACLES["post_sums_vocabulary_lexicon"] = f"""WITH {CLEAN}, {bag("clean", "ord, tweet_id")}, {VOCABULARY},
 {weighted_sums("vocabulary_lexicon", ["cool_pos", "cool_neg"])} SELECT * FROM sums"""
 
@@ -354,7 +400,7 @@ ORACLES["score_posts_clean_reattach"] = f"""WITH {SUMS},
 clean_flag AS (SELECT * REPLACE (false AS retweet) FROM clean), {scored("clean_flag")}
 SELECT {_rounded(_ROUND_POST)} FROM scored"""
 ORACLES["score_posts_extra_driver"] = f"""WITH {EXTRA_SCORED}
-SELECT {_rounded([*_ROUND_POST, "safety_Driver"])} FROM (SELECT * EXCLUDE text FROM scored)"""
+SELECT {_rounded([*_ROUND_POST, "safety_Driver"])} FROM scored"""
 
 # Series
 
@@ -373,6 +419,12 @@ ORACLES["series_all_levels"] = (
 ORACLES["series_extra_driver"] = (
     f"WITH {EXTRA_SCORED}, {series(GRANULARITIES['Monthly'], EXTRA_COLUMNS, 'safety')} SELECT * FROM final ORDER BY created_at"
 )
+_shared = " UNION ALL ".join(
+    f"""SELECT '{name}' AS granularity, count(*) AS n_periods, CAST(sum(total_tweets) AS BIGINT) AS n_posts,
+    max(created_at) AS last_at FROM (WITH {series(keys, fx.SCORE_COLUMNS)} SELECT * FROM final)"""
+    for name, keys in GRANULARITIES.items()
+)
+ORACLES["series_shared"] = f"WITH {SCORED} {_shared}"
 _MONTHLY = f"{SCORED}, {series(GRANULARITIES['Monthly'], fx.SCORE_COLUMNS)}"
 ORACLES["series_long"] = f"WITH {_MONTHLY} " + " UNION ALL ".join(
     f"""SELECT year, quarter, month, created_at, '{c}' AS driver, "{c}" AS score FROM final"""

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexiscore.catalog import fixtures as fx
+from lexiscore.config import GRANULARITIES
 from lexiscore.functions import timestamps as ts
 from lexiscore.functions.language import detect_language as language_of
 from lexiscore.functions.stemming import stem_joined
@@ -63,6 +65,15 @@ def preview(spark, d):
     return standardise.preview(fx.messy_posts(spark, d))
 
 
+@query
+def first_n_large(spark, d):
+    """A third of a table, by an order that repeats and has nulls."""
+    items = fx.table(spark, d, "lineitem")
+    quantity = F.when(F.col("l_orderkey") % 7 != 0, F.col("l_quantity").cast("bigint")).alias("quantity")
+    keyed = items.select(quantity, "l_orderkey", "l_linenumber", "l_returnflag")
+    return standardise.first_n(keyed, items.count() // 3, "quantity", ties=("l_orderkey", "l_linenumber"))
+
+
 @query
 def first_n(spark, d):
     return standardise.first_n(fx.messy_posts(spark, d), 300)
@@ -109,6 +120,21 @@ def parse_time_best_effort(spark, d):
     return standardise.parse_created_at(_mixed_texts(spark, d)).drop("ord")
 
 
+_INFERRED_FORMS = [
+    "EEE MMM dd HH:mm:ss '+0000' yyyy", "MMM d, yyyy", "d MMMM yyyy HH:mm", "yyyyMMdd", "MM/dd/yyyy hh:mm a", "dd-MM-yyyy",
+    "dd.MM.yyyy HH:mm", "'n/a'",
+]
+
+
+@query
+def parse_time_inferred(spark, d):
+    forms = [
+        F.when(F.col("tweet_id") % len(_INFERRED_FORMS) == i, F.date_format("at", form)) for i, form in enumerate(_INFERRED_FORMS)
+    ]
+    texts = _time_texts(spark, d).select("tweet_id", F.coalesce(*forms).alias("created_at"))
+    return standardise.parse_created_at(texts, ts.INFERRED)
+
+
 @query
 def parse_ratio(spark, d):
     return rounded(standardise.parse_ratio(standardise.parse_created_at(_mixed_texts(spark, d))))
@@ -118,7 +144,7 @@ def parse_ratio(spark, d):
 def normalise_created_at(spark, d):
     text = F.when(F.col("tweet_id") % 29 == 28, "n/a").otherwise(_render(F.col("at"), "%d/%m/%Y %H:%M:%S"))
     posts = _time_texts(spark, d).select("tweet_id", "ord", text.alias("created_at"))
-    local, fmt = standardise.normalise_created_at(posts.where(F.col("created_at").isNotNull()))
+    local, fmt = standardise.normalise_created_at(posts)
     return local.select("tweet_id", "created_at", F.lit(fmt).alias("fmt"))
 
 
@@ -149,6 +175,22 @@ def prepare_posts(spark, d):
 # Flags
 
 
+@query
+def coerce_flag_csv(spark, d):
+    """Flags as a table with blanks spells them, from file to posts without reposts."""
+    flag = F.get(F.array(*[F.lit(v) for v in ("1.0", "0.0", None, "2")]), F.pmod("ord", F.lit(4)).cast("int"))
+    path = scratch_path(spark, "flags-csv")
+    writers.write_csv(fx.posts(spark, d).withColumn("retweet", flag), path)
+    raw = readers.read_posts_csv(spark, path, {"tweet_id": "bigint", "ord": "bigint"}, order_col="ord")
+    return standardise.drop_reposts(prepare(raw, sample_rows=None))
+
+
+@query
+def posts_without_text(spark, d):
+    bare = fx.table(spark, d, "events").select(F.col("event_id").alias("ord"), F.col("ts").alias("created_at"))
+    return standardise.ensure_text_and_id(bare)
+
+
 @query
 def coerce_flag_string(spark, d):
     return standardise.coerce_repost_flag(fx.messy_posts(spark, d)).select("ord", "retweet")
@@ -190,7 +232,12 @@ def term_frequency(spark, d):
 
 @query
 def term_rows(spark, d):
-    return plan.term_rows(fx.messy_posts(spark, d)).drop("text")
+    return plan.term_rows(fx.messy_posts(spark, d))
+
+
+@query
+def clean_texts(spark, d):
+    return plan.clean_texts(fx.messy_posts(spark, d))
 
 
 # Language
@@ -222,7 +269,7 @@ def stem_sentence(spark, d):
 
 @query
 def score_posts_stemmed(spark, d):
-    return rounded(plan.score_posts(fx.messy_posts(spark, d), fx.lexicon(spark), match_on="stem").drop("text"))
+    return rounded(plan.score_posts(fx.messy_posts(spark, d), fx.lexicon(spark), match_on="stem"))
 
 
 # Lexicons that are as large as a vocabulary
@@ -242,13 +289,25 @@ def validate_lexicon(spark, d):
     unpaired = lexicons.unpaired_columns(merged)
     sums = merged.agg(*[F.sum(c).alias(c) for c in cols])
     long = sums.unpivot([], cols, "column_name", "weight_sum")
-    return long.withColumn("paired", ~F.col("column_name").isin(*unpaired))
+    paired = long.withColumn("paired", ~F.col("column_name").isin(*unpaired))
+    return paired.withColumn("free_of_net", F.lit(lexicons.free_of_substring(merged, "_net")))
+
+
+@query
+def read_lexicon_file(spark, d):
+    path = scratch_path(spark, "lexicon-csv")
+    fx.lexicon(spark).write.option("header", True).csv(path)
+    posts = fx.posts(spark, d)
+    return scoring.sum_scores(
+        scoring.term_scores(terms.count_terms(posts, ["ord", "tweet_id"]), readers.read_lexicon(spark, path)), fx.SCORE_COLUMNS
+    )
 
 
 @query
 def post_sums_vocabulary_lexicon(spark, d):
     big = written(fx.vocabulary_lexicon(spark, d), "vocabulary-lexicon")
-    return scoring.score_texts(plan.candidates(fx.messy_posts(spark, d)), big)
+    # The side that a lexicon beyond the broadcast limits takes, at every size of the tables.
+    return scoring.score_texts(plan.candidates(fx.messy_posts(spark, d)), big, small=False)
 
 
 # Scores
@@ -283,7 +342,7 @@ def _extra_scored(spark, d) -> DataFrame:
 
 @query
 def score_posts_extra_driver(spark, d):
-    return rounded(_extra_scored(spark, d).drop("text"))
+    return rounded(_extra_scored(spark, d))
 
 
 # Series
@@ -323,6 +382,25 @@ def series_all_levels(spark, d):
     return rounded(series.series_all_levels(plan.score_posts(fx.messy_posts(spark, d), fx.lexicon(spark))))
 
 
+@query
+def series_shared(spark, d):
+    """One scored table that four series read."""
+    posts = fx.messy_posts(spark, d)
+    scored = plan.shared(plan.score_posts(posts, fx.lexicon(spark)).drop("text"))
+    parts = []
+    for name in GRANULARITIES:
+        periods = series.series(scored, name)
+        parts.append(
+            periods.agg(
+                F.lit(name).alias("granularity"),
+                F.count(F.lit(1)).alias("n_periods"),
+                F.sum("total_tweets").alias("n_posts"),
+                F.max("created_at").alias("last_at"),
+            )
+        )
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query
 def series_extra_driver(spark, d):
     return rounded(series.series(_extra_scored(spark, d), "Monthly", extra_driver="safety"))

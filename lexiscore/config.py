@@ -24,12 +24,46 @@ CALENDAR_COLUMNS = GRANULARITIES["Weekly"]
 SOURCE_ZONE = "UTC"
 LOCAL_ZONE = "Europe/Paris"
 
-# Function words per language; a word may belong to several languages.
+# Function words and other words of everyday talk per language; a word may belong to several languages.
 LANGUAGE_PROFILES = {
-    "en": "the of and to is that it for was with".split(),
-    "fr": "le la les des et un une est que qui du par pour dans en".split(),
-    "es": "el la los las que de y en un una es por con para del".split(),
-    "de": "der die das und ist ein eine nicht mit von zu den im auf".split(),
+    "en": """the of and to is that it for was with this are you my your we they have has had not but be been at on so what
+        all will can just never again ever who how do does did would from about there their our out up or if an great""".split(),
+    "fr": """le la les des et un une est que qui du par pour dans en je tu il elle nous vous ils ne pas plus mais avec sur ce
+        cette mon ma mes sont au aux très bien jamais encore tout comme suis ai à où""".split(),
+    "es": """el la los las que de y en un una es por con para del no se lo me mi tu su muy pero como más todo esta este está
+        son ser hay fue nunca nada siempre yo al le gracias""".split(),
+    "de": """der die das und ist ein eine nicht mit von zu den im auf ich du er sie es wir ihr mein meine sehr aber auch
+        nur wie für war sind hat habe bei nach noch nie wieder aus dem so kein keine""".split(),
+    "nl": """de het een en van ik niet is dat die op te zijn was met voor maar ook er aan je mijn heb heeft hij zij wij
+        wat naar bij nog dit deze geen zeer heel nooit weer uit om ze""".split(),
+    "it": """il lo la gli le di che e un una è per con non sono mi ti si ma come più questo questa del della nel nella al
+        alla io molto anche ho ha mai tutto era bene perché""".split(),
+    "pt": """o a os as de que e um uma é para com não em do da no na por mais mas eu meu minha muito se como foi são está
+        isso este esta nunca tudo bem já você ao pelo""".split(),
+    "sv": """och att det som en ett på är av för med den till inte jag du har om men var mig så vi han hon sig från
+        mycket aldrig också min mitt nu kan""".split(),
+    "da": """og at det som en et på er af for med den til ikke jeg du har om men var mig så vi han hun sig fra meget
+        aldrig også min mit nu kan""".split(),
+    "pl": """i w na z się nie to że do jest o jak ale co po tak za od mnie mi był była bardzo już tylko przez dla czy
+        nigdy moje mój ja są""".split(),
+    "tr": """ve bir bu da de için çok ne ben sen o ile ama mi değil daha gibi var yok kadar en her şey benim hiç iyi""".split(),
+    "fi": """ja on ei se että oli olen minä sinä hän mutta kun niin ovat tämä kuin myös en ole mitä hyvin aina koskaan vain nyt""".split(),
+}
+# Runs of letters that are frequent in each language; they decide between languages whose words tie, and where no word of a
+# profile occurs.
+LANGUAGE_GRAMS = {
+    "en": "th ing wh ght ough tion ly ea oo ck sh ow".split(),
+    "fr": "eau eux aux ez ai oi que ê ç è œ ou ion".split(),
+    "es": "ción ñ ll ando ado os rr ue ó í ía ar".split(),
+    "de": "sch ch ung keit heit ei ie tz ß ä ö ü".split(),
+    "nl": "ij aa oo ee sch uu cht ge oe ui eu en".split(),
+    "it": "zione gli cch zz ss tt are ere ato gn ia sc".split(),
+    "pt": "ção ões ã õ nh lh ç ê ei ou ar ia".split(),
+    "sv": "å ä ö sk tt ll ck ör är ning het och".split(),
+    "da": "å ø æ sk et de ge nd ld ng hed ig".split(),
+    "pl": "sz cz rz ł ż ś ą ę ie dz ow ny".split(),
+    "tr": "ı ş ğ lar ler mak mek yor dır iy ü ç".split(),
+    "fi": "aa ää ll tt uu ii yy kk ssa stä nen isi".split(),
 }
 
 

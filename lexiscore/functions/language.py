@@ -1,11 +1,11 @@
-"""Language identification by function words, as one expression per row: no join and no shuffle."""
+"""Language identification by function words and runs of letters, as one expression per row: no join and no shuffle."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lexiscore.config import LANGUAGE_PROFILES
+from lexiscore.config import LANGUAGE_GRAMS, LANGUAGE_PROFILES
 
 
 def short_words(text: Column, longest: int) -> Column:
@@ -13,23 +13,44 @@ def short_words(text: Column, longest: int) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(rf"(?<!\p{{L}})\p{{L}}{{1,{longest}}}+(?!\p{{L}})"), F.lit(0))
 
 
-def detect_language(text: Column, profiles: dict[str, list[str]] | None = None) -> Column:
-    """Code of the language with most function words in the whole text; null where there are none.
+def detect_language(
+    text: Column, profiles: dict[str, list[str]] | None = None, grams: dict[str, list[str]] | None = None
+) -> Column:
+    """Code of the language of a whole text; null for a text without letters.
 
-    Ties go to the alphabetically last code, so the result is deterministic.
+    The language with most words of its profile wins. Where several tie, and where no profile has a word, those of them
+    with most occurrences of their letter runs, from left to right without overlap, win; then the alphabetically last. So
+    short posts have a language, and texts without any word or run of a profile have none.
     """
-
     profiles = profiles or LANGUAGE_PROFILES
-    longest = max(len(word) for profile in profiles.values() for word in profile)
+    grams = LANGUAGE_GRAMS if grams is None else grams
+    known = sorted({word for profile in profiles.values() for word in profile})
+    longest = max(map(len, known))
 
     def winner(found: Column) -> Column:
-        votes = [_votes(found, lang, profile) for lang, profile in profiles.items()]
-        return F.array_max(F.filter(F.array(*votes), lambda vote: vote["n"] > 0))["lang"]
+        votes = F.array(*[_votes(found, lang, profile) for lang, profile in profiles.items()])
+        # The one-element arrays bind a value to a name: it is made once per row, wherever the optimizer puts this.
+        return F.get(F.transform(F.array(votes), lambda v: _decided(text, v, grams)), F.lit(0))
 
-    # The one-element array binds the words to a name: they are found once per row, wherever the optimizer puts this.
-    return F.get(F.transform(F.array(short_words(text, longest)), winner), F.lit(0))
+    words = F.filter(short_words(text, longest), lambda word: word.isin(*known))
+    return F.get(F.transform(F.array(words), winner), F.lit(0))
 
 
 def _votes(found: Column, lang: str, profile: list[str]) -> Column:
     hits = F.filter(found, lambda word: word.isin(*profile))
     return F.struct(F.size(hits).alias("n"), F.lit(lang).alias("lang"))
+
+
+def _decided(text: Column, votes: Column, grams: dict[str, list[str]]) -> Column:
+    most = F.array_max(votes)["n"]
+    tied = F.transform(F.filter(votes, lambda v: v["n"] == most), lambda v: v["lang"])
+    runs = F.array(*[_runs(text, tied, lang, own) for lang, own in grams.items()])
+    # The runs are counted in ties only.
+    best = F.array_max(F.filter(runs, lambda r: r["n"] > 0))["lang"]
+    fallback = F.when(most > 0, F.array_max(tied))
+    return F.when(F.size(tied) == 1, F.get(tied, F.lit(0))).otherwise(F.coalesce(best, fallback))
+
+
+def _runs(text: Column, tied: Column, lang: str, own: list[str]) -> Column:
+    count = F.regexp_count(F.lower(text), F.lit("|".join(own)))
+    return F.struct(F.when(F.array_contains(tied, lang), count).otherwise(F.lit(0)).alias("n"), F.lit(lang).alias("lang"))

@@ -150,10 +150,18 @@ def _stem_joined(rows: pd.Series) -> pd.Series:
 
 
 def stem(word: Column) -> Column:
-    """Stem of one word; meant for tables of distinct words."""
-    return _stem(word)
+    """Stem of one word; meant for tables of distinct words.
+
+    A join on the stem would make the optimizer test it for null below the step that makes words distinct, and so compute
+    it once per token. It leaves a function that is marked as non-deterministic where it stands.
+    """
+    return _stem.asNondeterministic()(word)
 
 
 def stem_joined(words: Column) -> Column:
-    """Stems of an array of words, joined by spaces. Row-local, so it needs no shuffle of the words."""
+    """Stems of an array of words, joined by spaces. Row-local, so it needs no shuffle of the words.
+
+    Spark bounds the Arrow batches by bytes as well as rows (``spark.sql.execution.arrow.maxBytesPerBatch``), so rows of
+    whole documents do not add up in a worker.
+    """
     return _stem_joined(F.coalesce(words, F.array().cast("array<string>")))

@@ -58,20 +58,109 @@ def parse_iso(text: Column) -> Column:
     return F.when(text.rlike(_ISO), F.when(zoned, shifted).otherwise(text.try_cast("timestamp_ntz")))
 
 
+_MONTHS = "jan,feb,mar,apr,may,jun,jul,aug,sep,oct,nov,dec"
+_MONTH = (
+    "(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?"
+    "|nov(?:ember)?|dec(?:ember)?)"
+)
+_WEEKDAY = "(?:(?:mon|tues?|wed(?:nes)?|thu(?:rs)?|fri|sat(?:ur)?|sun)(?:day)?,?\\s+)?"
+_CLOCK = r"(\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?)"
+_HALF = r"(?:\s*([ap])\.?m\.?)?"
+_OFFSET = r"(?:\s*(z|utc|gmt|[+-]\d{2}:?\d{2}))?"
+_TIME = rf"(?:(?:,|\s+at|t)?\s*{_CLOCK}{_HALF}{_OFFSET})?"
+# Forms that are read beside ISO. Each names the groups of year, month, day, clock, half of the day and offset.
+_FORMS = [
+    # Wed Oct 10 20:19:24 +0000 2018
+    (rf"^\s*{_WEEKDAY}{_MONTH}\.?\s+(\d{{1,2}})\s+{_CLOCK}{_HALF}{_OFFSET}\s+(\d{{4}})\s*$", (6, 1, 2, 3, 4, 5)),
+    # Oct 10, 2018 2:15 PM
+    (rf"^\s*{_WEEKDAY}{_MONTH}\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(\d{{4}}){_TIME}\s*$", (3, 1, 2, 4, 5, 6)),
+    # Wed, 10 October 2018 14:00:00 +0200
+    (rf"^\s*{_WEEKDAY}(\d{{1,2}})(?:st|nd|rd|th)?[\s-]+{_MONTH}\.?,?[\s-]+(\d{{4}}){_TIME}\s*$", (3, 2, 1, 4, 5, 6)),
+    # 31-01-2024, 31.01.2024 10:00
+    (rf"^\s*(\d{{1,2}})[-.](\d{{1,2}})[-.](\d{{4}}){_TIME}\s*$", (3, 2, 1, 4, 5, 6)),
+]
+# 01/31/2024 02:15 PM; where the first number cannot be a month, it is the day.
+_SLASHED = rf"^\s*(\d{{1,2}})/(\d{{1,2}})/(\d{{4}})(?:,?\s+{_CLOCK}\s*([ap])\.?m\.?{_OFFSET})\s*$"
+_COMPACT = r"^\s*(\d{4})(\d{2})(\d{2})(?:[Tt]?(\d{2})(\d{2})(\d{2})?(z|Z)?)?\s*$"
+
+
+def _assembled(year: Column, month: Column, day: Column, clock: Column, half: Column, offset: Column) -> Column:
+    """Zone-free UTC time of the parts, as texts; null where they are no date or time of day."""
+    hour = F.regexp_extract(clock, r"^(\d{1,2}):", 1).try_cast("int")
+    # With am and pm, hours run from 12 over 1 to 11.
+    hour24 = F.when(half == "", hour).when((hour >= 1) & (hour <= 12), hour % 12 + F.when(half == "p", 12).otherwise(0))
+    rest = F.regexp_extract(clock, r"^\d{1,2}(:.*)$", 1)
+    time = F.when(clock == "", F.lit("00:00")).otherwise(F.concat(F.lpad(hour24.cast("string"), 2, "0"), rest))
+    local = F.concat(year, F.lit("-"), month, F.lit("-"), day, F.lit(" "), time).try_cast("timestamp_ntz")
+    sign = F.when(F.startswith(offset, F.lit("-")), -1).otherwise(1)
+    hours = F.regexp_extract(offset, r"(\d{2}):?\d{2}$", 1).try_cast("int")
+    minutes = F.regexp_extract(offset, r"(\d{2})$", 1).try_cast("int")
+    shift = F.coalesce(sign * (hours * 60 + minutes), F.lit(0))
+    return F.timestamp_add("MINUTE", -shift, local)
+
+
+def parse_named_forms(text: Column) -> Column:
+    """Forms with month names, weekdays, AM and PM, dashes or dots with the day first, or digits alone; else null."""
+    low = F.lower(text)
+    month_of = lambda part: F.coalesce(
+        F.nullif(F.find_in_set(F.substring(part, 1, 3), F.lit(_MONTHS)), F.lit(0)).cast("string"), part
+    )
+    readings = []
+    for regex, groups in _FORMS:
+        year, month, day, clock, half, offset = (F.regexp_extract(low, regex, g) for g in groups)
+        readings.append(F.when(low.rlike(regex), _assembled(year, month_of(month), day, clock, half, offset)))
+    first, second, year, clock, half, offset = (F.regexp_extract(low, _SLASHED, g) for g in range(1, 7))
+    swap = first.try_cast("int") > 12
+    month, day = F.when(swap, second).otherwise(first), F.when(swap, first).otherwise(second)
+    readings.append(F.when(low.rlike(_SLASHED), _assembled(year, month, day, clock, half, offset)))
+    year, month, day, h, m, s, _ = (F.regexp_extract(low, _COMPACT, g) for g in range(1, 8))
+    clock = F.when(h == "", F.lit("")).otherwise(F.concat_ws(":", h, m, F.when(s != "", s)))
+    readings.append(F.when(low.rlike(_COMPACT), _assembled(year, month, day, clock, F.lit(""), F.lit(""))))
+    return F.coalesce(*readings)
+
+
+def parse_inferred(text: Column) -> Column:
+    """ISO forms, then the forms of ``parse_named_forms``."""
+    return F.coalesce(parse_iso(text), parse_named_forms(text))
+
+
 def parse_best_effort(text: Column) -> Column:
-    """First reading that fits: ISO forms, then the known patterns in order (day before month)."""
-    return F.coalesce(parse_iso(text), *[parse_pattern(text, p) for p in COMMON_PATTERNS])
+    """First reading that fits: ISO forms, the known patterns in order (day before month), then named forms."""
+    return F.coalesce(parse_iso(text), *[parse_pattern(text, p) for p in COMMON_PATTERNS], parse_named_forms(text))
+
+
+# Microseconds of a whole number in each unit; nanoseconds are cut.
+EPOCH_UNITS = {"s": 1_000_000, "ms": 1000, "us": 1, "ns": 0.001}
+
+
+def parse_epoch(number: Column, unit: str) -> Column:
+    """Zone-free UTC time of a number since 1970 in ``unit`` (s, ms, us or ns)."""
+    if unit not in EPOCH_UNITS:
+        raise ValueError(f"unknown unit {unit!r}; choose one of {list(EPOCH_UNITS)}")
+    exact = number.cast("decimal(38,6)")
+    micros = F.floor(exact / 1000 if unit == "ns" else exact * EPOCH_UNITS[unit]).cast("bigint")
+    return F.timestamp_add("MICROSECOND", micros, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
 
 
 def parse_timestamp(text: Column, fmt: str | None) -> Column:
-    """``fmt`` is ``"inferred"`` (ISO), a strftime-style pattern, a Spark datetime pattern, or None for best effort."""
+    """``fmt`` is ``"inferred"``, ``"ISO8601"``, a strftime-style pattern, a Spark datetime pattern, or None for best effort.
+
+    A Spark pattern without a zone reads UTC wall-clock times, whatever the zone of the session.
+    """
     if fmt is None:
         return parse_best_effort(text)
-    if fmt in (INFERRED, "ISO8601"):
+    if fmt == INFERRED:
+        return parse_inferred(text)
+    if fmt == "ISO8601":
         return parse_iso(text)
     if "%" in fmt:
         return parse_pattern(text, fmt)
-    return F.try_to_timestamp(text, F.lit(fmt)).cast("timestamp_ntz")
+    # Letters in quotes are text; of the others these name a zone.
+    zoned = re.search("[VzOXxZ]", re.sub("'[^']*'", "", fmt))
+    if not zoned:
+        text, fmt = F.concat(text, F.lit(" +00:00")), f"{fmt} XXX"
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_add("MICROSECOND", F.unix_micros(F.try_to_timestamp(text, F.lit(fmt))), epoch)
 
 
 def as_naive(col: Column, dtype: T.DataType, zone: str = SOURCE_ZONE) -> Column:

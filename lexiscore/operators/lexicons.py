@@ -10,7 +10,6 @@ from pyspark.sql import types as T
 BROADCAST_ROWS = 100_000
 BROADCAST_WEIGHTS = 2_500_000
 BROADCAST_TERM_BYTES = 4_000_000
-SALTS = 16
 
 
 def score_columns(lexicon: DataFrame) -> list[str]:
@@ -64,14 +63,10 @@ def is_small(lexicon: DataFrame) -> bool:
 def join_weights(terms: DataFrame, lexicon: DataFrame, small: bool) -> DataFrame:
     """Rows of ``terms`` with the weights of their ``term``; rows without a lexicon entry go.
 
-    A lexicon within the limits is broadcast and the term rows stay where they are. A larger one is joined by shuffle,
-    with every term spread over a fixed number of salts, so that the most frequent word does not fill one task. Term rows
-    far outnumber lexicon rows, so each task hashes its share of the lexicon and its term rows need no sort.
+    A lexicon within the limits is broadcast and the term rows stay where they are. A larger one is joined by shuffle. Both
+    sides are dealt for this join alone, so adaptive execution splits the rows of a very frequent word among as many tasks
+    as their size asks for, and copies the one lexicon row that they need.
     """
     if small:
         return terms.join(F.broadcast(lexicon), "term")
-    # The salt is a function of the row, so that a task that runs again sends its rows to the same places.
-    row_key = ["ord"] if "ord" in terms.columns else [c for c in terms.columns if c != "term"]
-    salted = terms.withColumn("_salt", F.pmod(F.xxhash64(*row_key), F.lit(SALTS)).cast("int"))
-    spread = lexicon.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(spread.hint("shuffle_hash"), ["term", "_salt"]).drop("_salt")
+    return terms.join(lexicon.hint("merge"), "term")

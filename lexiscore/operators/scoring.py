@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lexiscore.config import driver_groups
 from lexiscore.functions.timestamps import calendar_parts
 from lexiscore.operators.lexicons import is_small, join_weights, score_columns
-from lexiscore.operators.standardise import parse_created_at
+from lexiscore.operators.standardise import parse_created_at, text_digest
 from lexiscore.operators.terms import count_terms
 
 
@@ -28,18 +28,19 @@ def sum_scores(scored_terms: DataFrame, columns: list[str]) -> DataFrame:
     return scored_terms.where(F.col("tweet_id").isNotNull()).groupBy("tweet_id").agg(*sums)
 
 
-def score_texts(posts: DataFrame, lexicon: DataFrame) -> DataFrame:
+def score_texts(posts: DataFrame, lexicon: DataFrame, small: bool | None = None) -> DataFrame:
     """Score sums per post id, copies of one text under one id counted once.
 
     Terms are counted where the texts are read, and texts are never shuffled: what moves is one short row per post and
     lexicon term in it, with a digest for the text. Copies have equal counts, so grouping by id, digest and term leaves one
     of each. Both groupings combine before their shuffle, so neither an id nor a text with very many rows fills a task, and
-    rows are told apart by content only, so a task that runs again gives the same rows.
+    rows are told apart by content only, so a task that runs again gives the same rows. ``small`` tells whether the lexicon
+    is broadcast; None has its size checked.
     """
     keys = ["tweet_id", "digest"]
     rows = posts.where(F.col("tweet_id").isNotNull()).select("tweet_id", "text")
-    counts = count_terms(rows.withColumn("digest", F.unhex(F.sha2("text", 256))), keys)
-    small = is_small(lexicon)
+    counts = count_terms(rows.withColumn("digest", text_digest(F.col("text"))), keys)
+    small = is_small(lexicon) if small is None else small
     if small:
         counts = counts.join(F.broadcast(lexicon.select("term").distinct()), "term", "left_semi")
     once = counts.groupBy(*keys, "term").agg(F.max("frequency").alias("frequency"))
@@ -65,6 +66,24 @@ def reattach(posts: DataFrame, sums: DataFrame, fmt: str | None = None) -> DataF
     return joined.withColumns(calendar).select(*[c for c in posts.columns if c not in calendar], *calendar, *scores)
 
 
+def reattach_first(posts: DataFrame, sums: DataFrame, fmt: str | None = None) -> DataFrame:
+    """``reattach`` to the first post, by ``ord``, of each id and text; ``ord`` tells the rows of a table apart.
+
+    The first posts are found among ids, digests and orders alone and meet the sums first, so each text is shuffled once,
+    and those of posts without sums never reach the result's shuffle partner.
+    """
+    clash = (set(sums.columns) - {"tweet_id"}) & set(posts.columns)
+    if clash:
+        raise ValueError(f"posts already have the columns {sorted(clash)}")
+    keys = posts.select("tweet_id", text_digest(F.col("text")).alias("_digest"), "ord")
+    firsts = keys.groupBy("tweet_id", "_digest").agg(F.min("ord").alias("_first"))
+    scored = firsts.join(sums, "tweet_id").withColumnRenamed("tweet_id", "_id").drop("_digest")
+    joined = parse_created_at(posts, fmt).join(scored, (F.col("tweet_id") == F.col("_id")) & (F.col("ord") == F.col("_first")))
+    calendar = calendar_parts(F.col("created_at")) if "created_at" in posts.columns else {}
+    scores = [c for c in sums.columns if c != "tweet_id"]
+    return joined.withColumns(calendar).select(*[c for c in posts.columns if c not in calendar], *calendar, *scores)
+
+
 def net_columns(columns: list[str], extra_driver: str | None = None) -> dict:
     """``<sub>_net`` expressions; 0 where the table lacks a side."""
     nets = {}

@@ -13,7 +13,7 @@ from lexiscore.config import CALENDAR_COLUMNS, GRANULARITIES, driver_groups, gra
 from lexiscore.operators.scoring import with_scores
 
 TOTAL = "Brand Reputation"
-# A spread below this is rounding noise of equal values.
+# A spread below this part of the largest value is rounding noise of equal values.
 NO_SPREAD = 1e-12
 
 
@@ -64,7 +64,8 @@ def z_scores(df: DataFrame, columns: list[str], level: list[str] | None = None)
     for c in columns:
         value = F.col(f"`{c}`").cast("double")
         mean, spread = F.avg(value).over(window), F.stddev_samp(value).over(window)
-        out[c] = F.when(spread.isNull() | (spread < NO_SPREAD), F.lit(0.0)).otherwise((value - mean) / spread)
+        noise = F.max(F.abs(value)).over(window) * NO_SPREAD
+        out[c] = F.when(spread.isNull() | (spread <= noise), F.lit(0.0)).otherwise((value - mean) / spread)
     return df.withColumns(out)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,23 +13,26 @@ from lexiscore.functions.timestamps import (
     INFERRED,
     as_naive,
     calendar_parts,
-    parse_iso,
+    parse_epoch,
+    parse_inferred,
     parse_pattern,
     parse_timestamp,
     to_local,
 )
+from lexiscore.session import written
 
+# Values that decide the format of a column of times; callers may ask for the whole column.
 SAMPLE_ROWS = 20
-# Up to this many rows, "first n" is a top-n of the driver's making; beyond, it is a filter.
-TOP_N_ROWS = 100_000
-_BUCKETS = 4096
+# Up to this many rows, "first n" is a top-n in one task; beyond, it is a filter. Both give the same rows.
+TOP_N_ROWS = 1000
+_RANGES = 4096
 
 
 def map_columns(df: DataFrame, tweet_id: str, created_at: str, text: str) -> DataFrame:
     """Rename three distinct columns to the standard names. Another column that has such a name is dropped."""
     chosen = {tweet_id: "tweet_id", created_at: "created_at", text: "text"}
     if len(chosen) != 3:
-        raise ValueError("Column names must be unique")
+        raise ValueError("id, time and text need three different columns")
     absent = [c for c in chosen if c not in df.columns]
     if absent:
         raise ValueError(f"no such columns: {absent}")
@@ -46,29 +49,61 @@ def preview(df: DataFrame, n: int = 5, order_col: str = "ord") -> DataFrame:
     return first_n(df, n, order_col).select(*[c for c in PREVIEW_COLUMNS if c in df.columns])
 
 
-def first_n(df: DataFrame, n: int = 1000, order_col: str = "ord") -> DataFrame:
-    """First ``n`` rows by a whole-number column without repeats.
+def _nth(keys: DataFrame, column: str, n: int) -> tuple[int | None, int]:
+    """The n-th smallest value of a whole-number column, and which of the rows with that value is the n-th.
 
-    A small ``n`` is a top-n. For a large one the n-th order value is found first, from counts per value range, and the
-    rows up to it are kept by a filter, so no task ever holds them all.
+    Found from counts per value range, a few thousand ranges at a time. None if fewer than ``n`` rows have a value; then
+    how many rows without one are needed.
     """
-    if n <= TOP_N_ROWS:
-        return df.orderBy(order_col).limit(n)
-    order = F.col(order_col)
-    low, high, total = df.agg(F.min(order), F.max(order), F.count(order)).first()
-    if total <= n:
-        return df
-    wanted = n
+    value = F.col(column)
+    low, high, total = keys.agg(F.min(value), F.max(value), F.count(value)).first()
+    if total < n:
+        return None, n - total
     while high > low:
-        width = (high - low) // _BUCKETS + 1
-        inside = df.where(order.between(low, high))
-        counts = inside.groupBy(F.floor((order - low) / width).cast("bigint").alias("b")).count().orderBy("b").collect()
-        for bucket, count in counts:
-            if wanted <= count:
-                low, high = low + bucket * width, min(high, low + (bucket + 1) * width - 1)
+        width = (high - low) // _RANGES + 1
+        within = F.floor((value.cast("decimal(20,0)") - low) / width).cast("bigint")
+        counts = keys.where(value.between(low, high)).groupBy(within.alias("r")).count().orderBy("r").collect()
+        for r, count in counts:
+            if n <= count:
+                low, high = low + r * width, min(high, low + (r + 1) * width - 1)
                 break
-            wanted -= count
-    return df.where(order <= low)
+            n -= count
+    return low, n
+
+
+def first_n(df: DataFrame, n: int = 1000, order_col: str = "ord", ties: tuple[str, ...] = ()) -> DataFrame:
+    """Exactly the first ``n`` rows by a whole-number column (all, if there are fewer).
+
+    Rows without an order value come last. Rows of equal order go by the whole-number columns ``ties``, then by a hash of
+    their content, so the choice does not depend on the layout of the table. The rule is the same for any ``n``: up to
+    ``TOP_N_ROWS`` it is a top-n, whose rows one task may hold; beyond, the last key that belongs to the result is looked
+    up in a table of keys alone, and a filter keeps the rows up to it where they are.
+    """
+    by = [order_col, *ties]
+    content = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    if n <= TOP_N_ROWS:
+        order = [*[F.col(f"`{c}`").asc_nulls_last() for c in by], F.col("_content")]
+        return df.withColumn("_content", content).orderBy(*order).limit(n).drop("_content")
+    named = [F.col(f"`{c}`").cast("bigint").alias(f"_k{i}") for i, c in enumerate(by)]
+    keys = written(df.select(*named, content.alias(f"_k{len(by)}")), "first-n")
+    if keys.count() <= n:
+        return df
+    kept, tied, wanted = F.lit(False), F.lit(True), n
+    for i, column in enumerate([*[F.col(f"`{c}`").cast("bigint") for c in by], content]):
+        value, wanted = _nth(keys, f"_k{i}", wanted)
+        # Comparisons with null are null, which counts as false here.
+        before, same = (column.isNotNull(), column.isNull()) if value is None else (column < value, column.eqNullSafe(value))
+        kept, tied = kept | (tied & F.coalesce(before, F.lit(False))), tied & same
+        key = F.col(f"_k{i}")
+        keys = keys.where(key.isNull() if value is None else key == value)
+    if keys.count() == wanted:
+        return df.where(kept | tied)
+    # Rows that tie to the end are copies of one another; the wanted number of them is made from their count.
+    copies = df.where(tied).groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count(F.lit(1)).alias("_copies"))
+    so_far = F.sum("_copies").over(Window.orderBy(*[F.col(f"`{c}`") for c in df.columns]))
+    take = F.least(F.col("_copies"), wanted - (so_far - F.col("_copies")))
+    made = copies.withColumn("_take", take).where("_take > 0").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_take"))))
+    return df.where(kept).unionAll(made.select(*[F.col(f"`{c}`") for c in df.columns]))
 
 
 def coerce_repost_flag(df: DataFrame) -> DataFrame:
@@ -94,48 +129,71 @@ def ensure_text_and_id(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.lit("") for c in ("text", "tweet_id") if c not in df.columns})
 
 
+def text_digest(text: Column) -> Column:
+    return F.unhex(F.sha2(text, 256))
+
+
 def dedupe_keep_first(df: DataFrame, order_col: str = "ord") -> DataFrame:
     """One row per (text, tweet_id), the first by ``order_col``; nulls equal each other.
 
-    Spark keeps the first row per group within each task before it shuffles, so a group of copies of any size reaches
-    the final task as at most one row per task.
+    Texts are told apart by a digest, which is what gets sorted. Spark keeps the first row per group within each task before
+    it shuffles, so a group of copies of any size reaches the final task as at most one row per task.
     """
-    copies = Window.partitionBy("tweet_id", "text").orderBy(order_col)
-    return df.withColumn("_rank", F.row_number().over(copies)).where(F.col("_rank") == 1).drop("_rank")
+    copies = Window.partitionBy("tweet_id", "_digest").orderBy(order_col)
+    ranked = df.withColumn("_digest", text_digest(F.col("text"))).withColumn("_rank", F.row_number().over(copies))
+    return ranked.where(F.col("_rank") == 1).drop("_rank", "_digest")
 
 
-def detect_format(df: DataFrame, column: str = "created_at", order_col: str = "ord") -> str | None:
-    """Format that reads all of the first 20 non-null values: ISO forms first, then the known patterns in order.
+def detect_format(
+    df: DataFrame, column: str = "created_at", order_col: str = "ord", sample_rows: int | None = SAMPLE_ROWS
+) -> str | None:
+    """Format that reads all of the first ``sample_rows`` non-null values, of the whole column if None.
 
-    The only job runs on that sample and returns one row.
+    Inferred forms go first, then the known patterns in order. The only job returns one row.
     """
-    sample = df.where(F.col(column).isNotNull()).orderBy(order_col).limit(SAMPLE_ROWS)
+    sample = df.where(F.col(column).isNotNull())
+    if sample_rows is not None:
+        sample = sample.orderBy(order_col).limit(sample_rows)
     text = F.col(column).cast("string")
-    readings = {INFERRED: parse_iso(text)} | {p: parse_pattern(text, p) for p in COMMON_PATTERNS}
+    readings = {INFERRED: parse_inferred(text)} | {p: parse_pattern(text, p) for p in COMMON_PATTERNS}
     rows, *fits = sample.agg(F.count(column), *[F.count(parsed) for parsed in readings.values()]).first()
     return next((name for name, fit in zip(readings, fits) if fit == rows), None)
 
 
-def parse_created_at(df: DataFrame, fmt: str | None = None, column: str = "created_at") -> DataFrame:
-    """``created_at`` as zone-free UTC time. Text is read by ``fmt``; None means best effort."""
+def parse_created_at(
+    df: DataFrame, fmt: str | None = None, column: str = "created_at", epoch_unit: str | None = None
+) -> DataFrame:
+    """``created_at`` as zone-free UTC time. Text is read by ``fmt``; None means best effort.
+
+    Numbers need ``epoch_unit``, as nothing in them tells seconds from milliseconds.
+    """
     if column not in df.columns:
         return df
     dtype = df.schema[column].dataType
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         return df.withColumn(column, as_naive(F.col(column), dtype))
+    if isinstance(dtype, T.NumericType):
+        if epoch_unit is None:
+            raise ValueError(f"{column} holds numbers; name their unit since 1970 with epoch_unit")
+        return df.withColumn(column, parse_epoch(F.col(column), epoch_unit))
     return df.withColumn(column, parse_timestamp(F.col(column).cast("string"), fmt))
 
 
 def normalise_created_at(
-    df: DataFrame, fmt: str | None = "detect", zone: str = LOCAL_ZONE, order_col: str = "ord"
+    df: DataFrame,
+    fmt: str | None = "detect",
+    zone: str = LOCAL_ZONE,
+    order_col: str = "ord",
+    sample_rows: int | None = SAMPLE_ROWS,
+    epoch_unit: str | None = None,
 ) -> tuple[DataFrame, str | None]:
     """``created_at`` read as UTC and shown as local wall-clock time, with the format that was used."""
     if "created_at" not in df.columns:
         return df, None
     textual = isinstance(df.schema["created_at"].dataType, T.StringType)
     if fmt == "detect":
-        fmt = detect_format(df, order_col=order_col) if textual else INFERRED
-    parsed = parse_created_at(df, fmt)
+        fmt = detect_format(df, order_col=order_col, sample_rows=sample_rows) if textual else INFERRED
+    parsed = parse_created_at(df, fmt, epoch_unit=epoch_unit)
     return parsed.withColumn("created_at", to_local(F.col("created_at"), zone)), fmt
 
 

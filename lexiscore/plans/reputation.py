@@ -10,15 +10,13 @@ from lexiscore.functions.language import detect_language
 from lexiscore.functions.stemming import stem
 from lexiscore.operators.lexicons import check_lexicon, merge_lexicons, score_columns
 from lexiscore.operators.scoring import reattach as reattach_sums
-from lexiscore.operators.scoring import score_texts, with_scores
+from lexiscore.operators.scoring import reattach_first, score_texts, with_scores
 from lexiscore.operators.series import series
 from lexiscore.operators.standardise import dedupe_keep_first, drop_reposts, ensure_text_and_id
 from lexiscore.operators.terms import count_terms, explode_terms
 from lexiscore.session import written
 from lexiscore.sources.readers import with_order
 
-TERM_ROW_COLUMNS = ["tweet_id", "text", "created_at", "term", "frequency"]
-
 
 def candidates(posts: DataFrame, lang: str | None = "en", profiles: dict[str, list[str]] | None = None) -> DataFrame:
     """Posts that may be scored: no reposts, one language. Copies are still there."""
@@ -36,14 +34,25 @@ def clean_posts(posts: DataFrame, lang: str | None = "en", profiles: dict[str, l
     return dedupe_keep_first(candidates(posts, lang, profiles))
 
 
-def term_rows(posts: DataFrame, lang: str | None = "en", punctuation: bool = True) -> DataFrame:
-    """Bag of words: one row per post and term, with the lower-case text and the time of the post."""
+def clean_texts(posts: DataFrame, lang: str | None = "en") -> DataFrame:
+    """``ord, tweet_id, created_at, text``: each post that is scored, once, with its lower-case text."""
     if "created_at" not in posts.columns:
         posts = posts.withColumn("created_at", F.lit(None).cast("timestamp_ntz"))
     if "ord" not in posts.columns:
         posts = with_order(posts)
-    clean = clean_posts(posts, lang).withColumn("text", F.lower(F.coalesce("text", F.lit(""))))
-    return count_terms(clean, ["tweet_id", "text", "created_at"], punctuation).select(*TERM_ROW_COLUMNS)
+    text = F.lower(F.coalesce("text", F.lit(""))).alias("text")
+    return clean_posts(posts, lang).select("ord", "tweet_id", "created_at", text)
+
+
+def term_rows(posts: DataFrame, lang: str | None = "en", punctuation: bool = True, with_text: bool = False) -> DataFrame:
+    """Bag of words: one row per post and term, keyed by the post's ``ord``, ``tweet_id`` and time.
+
+    ``with_text`` repeats the post's lower-case text in each of its rows, which makes the table grow with the square of the
+    text length; ``clean_texts`` has each text once, by the same keys.
+    """
+    keys = ["ord", "tweet_id", "created_at"]
+    keep = [*keys, "text"] if with_text else keys
+    return count_terms(clean_texts(posts, lang), keep, punctuation).select(*keep, "term", "frequency")
 
 
 def stem_vocabulary(posts: DataFrame) -> DataFrame:
@@ -71,25 +80,28 @@ def score_posts(
     match_on: str = "surface",
     reattach: str = "raw",
     fmt: str | None = None,
+    small: bool | None = None,
 ) -> DataFrame:
     """One row per post with its sums, nets, drivers and ``Brand_Reputation``.
 
     ``match_on`` compares lexicon terms with the words as written (``"surface"``) or with their stems (``"stem"``).
     ``reattach`` gives the sums of an id to all posts with that id (``"raw"``), reposts and copies among them, or to the
-    scored posts only (``"clean"``). Posts without any lexicon term have no row.
+    scored posts only (``"clean"``). Posts without any lexicon term have no row. ``small`` tells whether the lexicon is
+    broadcast; None has its size checked. A lexicon that is the result of much work should be written down first.
     """
     if match_on not in ("surface", "stem") or reattach not in ("raw", "clean"):
         raise ValueError(f"unknown option: match_on={match_on!r}, reattach={reattach!r}")
     lexicon = check_lexicon(lexicon)
     if extra_lexicon is not None:
-        lexicon = merge_lexicons(lexicon, check_lexicon(extra_lexicon))
+        # Its size is checked, its terms and its weights are read: three times the merge, were it not written down.
+        lexicon = written(merge_lexicons(lexicon, check_lexicon(extra_lexicon)), "merged-lexicon")
     rows = candidates(posts, lang, profiles)
     if match_on == "stem":
         lexicon = surface_lexicon(rows, lexicon)
-    sums = score_texts(rows, lexicon)
+    sums = score_texts(rows, lexicon, small)
     ordered = [df if "ord" in df.columns else with_order(df) for df in (posts, rows)]
-    target = ordered[0] if reattach == "raw" else dedupe_keep_first(ordered[1])
-    return with_scores(reattach_sums(target, sums, fmt), "Brand_Reputation", extra_driver)
+    attached = reattach_sums(ordered[0], sums, fmt) if reattach == "raw" else reattach_first(ordered[1], sums, fmt)
+    return with_scores(attached, "Brand_Reputation", extra_driver)
 
 
 def shared(df: DataFrame) -> DataFrame:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from functools import cache
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,12 +44,49 @@ def _own_folder() -> str:
     return tempfile.mkdtemp(prefix="lexiscore-")
 
 
+_written: dict[str, list[str]] = {}
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Compute ``df`` once into a Parquet table in the shared folder and read that back.
 
-    This cuts lineage in a way that survives lost executors, and gives the planner real sizes.
+    This cuts lineage in a way that survives lost executors, and gives the planner real sizes. The table stays until
+    ``clear_scratch``, as results that read it are computed later.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Remove the tables that ``written`` has made in this application; how many. Call it when no result needs them."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(conf).delete(folder, True)
+    return len(paths)
+
+
+@cache
+def _package_zip() -> str:
+    """The package in one file, on the driver alone; Spark hands it to the executors."""
+    package = Path(__file__).parent
+    path = Path(tempfile.mkdtemp(prefix="lexiscore-")) / "lexiscore.zip"
+    with zipfile.ZipFile(path, "w") as archive:
+        for file in sorted(package.rglob("*.py")):
+            archive.write(file, file.relative_to(package.parent))
+    return str(path)
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the package to executors on which it is not installed; once per application."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        spark.sparkContext.addPyFile(_package_zip())
+        _shipped.add(app)

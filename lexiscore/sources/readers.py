@@ -34,17 +34,32 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
+_NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+
+
+def numeric_columns(df: DataFrame, columns: list[str]) -> list[str]:
+    """Those of the text columns of which every cell that is not null is a number; one aggregate over whole columns."""
+    if not columns:
+        return []
+    other = [F.count_if(~F.col(f"`{c}`").rlike(_NUMBER)).alias(f"o{i}") for i, c in enumerate(columns)]
+    some = [F.count(F.col(f"`{c}`")).alias(f"s{i}") for i, c in enumerate(columns)]
+    row = df.agg(*other, *some).first()
+    return [c for i, c in enumerate(columns) if row[f"s{i}"] and not row[f"o{i}"]]
+
+
 def read_posts_csv(
     spark: SparkSession,
     path: str,
     types: dict[str, str] | None = None,
     order_col: str | None = None,
     multi_line: bool = True,
+    flags: tuple[str, ...] = ("retweet",),
 ) -> DataFrame:
     """Posts from CSV, read as strings and cast only where ``types`` says so; a cell that does not fit becomes null.
 
-    A file with line breaks inside cells cannot be split among tasks. Set ``multi_line=False`` for large files without
-    them, or keep large tables in Parquet.
+    A column of ``flags`` without a type is read as numbers if all its cells are numbers, since ``1.0`` is how a table with
+    blank flags spells 1; this looks at the whole column once. A file with line breaks inside cells cannot be split among
+    tasks. Set ``multi_line=False`` for large files without them, or keep large tables in Parquet.
     """
     raw = (
         spark.read.option("header", True)
@@ -56,7 +71,10 @@ def read_posts_csv(
         .csv(path)
     )
     cells = {c: F.when(~F.col(f"`{c}`").isin(*MISSING_TEXTS), F.col(f"`{c}`")) for c in raw.columns}
-    typed = {c: cell.try_cast(types[c]) if types and c in types else cell for c, cell in cells.items()}
+    types = types or {}
+    untyped = [c for c in flags if c in cells and c not in types]
+    types = types | {c: "double" for c in numeric_columns(raw.select(*[cells[c].alias(c) for c in untyped]), untyped)}
+    typed = {c: cell.try_cast(types[c]) if c in types else cell for c, cell in cells.items()}
     return spread(with_order(raw.select(*[col.alias(c) for c, col in typed.items()]), order_col))
 
 

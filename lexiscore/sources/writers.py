@@ -71,5 +71,5 @@ def write_table(df: DataFrame, path: str, filetype: str = "csv", mode: str = "er
     """Write by file type, in any letter case; an unknown type raises before any job starts."""
     writer = WRITERS.get(filetype.lower())
     if writer is None:
-        raise ValueError(f"Unsupported filetype: {filetype}")
+        raise ValueError(f"no writer for {filetype!r}; choose one of {sorted(WRITERS)}")
     writer(df, path, mode)

@@ -5,8 +5,10 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from lexiscore import session
 from lexiscore.functions import timestamps as ts
 from lexiscore.operators import standardise
+from lexiscore.plans.ingest import prepare_posts, prepare_with_report
 from lexiscore.sources import readers, writers
 
 
@@ -21,7 +23,7 @@ def test_map_columns(spark):
     assert out.first().tweet_id == 1
     swapped = standardise.map_columns(df, tweet_id="text", created_at="time", text="tweet_id").first()
     assert (swapped.tweet_id, swapped.text) == ("x", "old")
-    with pytest.raises(ValueError, match="unique"):
+    with pytest.raises(ValueError, match="different"):
         standardise.map_columns(df, "id", "id", "text")
     assert standardise.missing_columns(df) == ["created_at"]
 
@@ -170,3 +172,95 @@ def test_spread_keeps_large_scans(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.openCostInBytes")
     assert readers.spread(spark.read.parquet(str(tmp_path / "one"))).rdd.getNumPartitions() == 4
+
+
+@pytest.mark.parametrize("n", [3, 4, 5, 6, 8, 20])
+@pytest.mark.parametrize("small", [True, False])
+def test_first_n_with_ties_and_nulls(spark, monkeypatch, n, small):
+    monkeypatch.setattr(standardise, "TOP_N_ROWS", 100 if small else 1)
+    values = [None, None, 1, 2, 2, 2, 3, 4]
+    df = spark.createDataFrame([(v, i // 2) for i, v in enumerate(values)], "ord long, other long")
+    got = [r.ord for r in standardise.first_n(df, n).collect()]
+    want = ([1, 2, 2, 2, 3, 4] + [None, None])[:n]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_first_n_is_the_same_rows_either_way(spark, monkeypatch):
+    df = spark.range(3000).select((F.col("id") % 7).alias("ord"), (F.col("id") % 50).alias("copy"))
+    few = sorted(map(tuple, standardise.first_n(df, 900).collect()))
+    monkeypatch.setattr(standardise, "TOP_N_ROWS", 1)
+    assert sorted(map(tuple, standardise.first_n(df, 900).collect())) == few
+
+
+def test_flags_of_numbers_in_a_csv(spark, tmp_path):
+    (tmp_path / "posts.csv").write_text("tweet_id,created_at,text,retweet\n1,2024-01-01,a,1.0\n2,2024-01-01,b,0.0\n3,2024-01-01,c,\n4,2024-01-01,d,2\n")
+    raw = readers.read_posts_csv(spark, str(tmp_path / "posts.csv"))
+    kept = standardise.drop_reposts(prepare_posts(raw))
+    assert sorted(r.tweet_id for r in kept.collect()) == ["2", "3"]
+    (tmp_path / "words.csv").write_text("tweet_id,created_at,text,retweet\n1,2024-01-01,a,1.0\n2,2024-01-01,b,yes\n")
+    words = readers.read_posts_csv(spark, str(tmp_path / "words.csv"))
+    assert dict(words.dtypes)["retweet"] == "string"
+
+
+def test_read_posts_parquet(spark, tmp_path):
+    spark.range(10).withColumn("text", F.lit("x")).write.parquet(str(tmp_path / "p"))
+    posts = readers.read_posts_parquet(spark, str(tmp_path / "p"), order_col="id")
+    assert sorted(r.ord for r in posts.collect()) == list(range(10))
+
+
+TIMES = [
+    ("Wed Oct 10 20:19:24 +0000 2018", "2018-10-10 20:19:24"),
+    ("Oct 10, 2018", "2018-10-10 00:00:00"),
+    ("10 October 2018 14:00", "2018-10-10 14:00:00"),
+    ("Wed, 10 Oct 2018 20:19:24 +0200", "2018-10-10 18:19:24"),
+    ("20240131", "2024-01-31 00:00:00"),
+    ("01/31/2024 02:15 PM", "2024-01-31 14:15:00"),
+    ("31/01/2024 12:15 AM", "2024-01-31 00:15:00"),
+    ("31-01-2024", "2024-01-31 00:00:00"),
+    ("31.01.2024 10:00", "2024-01-31 10:00:00"),
+    ("32.01.2024", None),
+    ("20241331", None),
+    ("Oct 10 25:00:00 2018", None),
+]
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_inferred_times(spark, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        df = spark.createDataFrame(TIMES, "t string, want string")
+        got = df.select(F.date_format(ts.parse_inferred(F.col("t")), "yyyy-MM-dd HH:mm:ss").alias("got"), "want").collect()
+        assert [r.got for r in got] == [r.want for r in got]
+        # An hour that the zone leaves out in spring.
+        gap = spark.createDataFrame([("10-03-2024 02:30",)], "t string").select(ts.parse_timestamp(F.col("t"), "dd-MM-yyyy HH:mm"))
+        assert str(gap.first()[0]) == "2024-03-10 02:30:00"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_epochs_need_a_unit(spark):
+    df = spark.createDataFrame([(1_700_000_000,)], "created_at long")
+    with pytest.raises(ValueError, match="epoch_unit"):
+        standardise.parse_created_at(df)
+    for unit, factor in (("s", 1), ("ms", 1000), ("us", 10**6), ("ns", 10**9)):
+        moved = df.withColumn("created_at", F.col("created_at") * factor)
+        assert str(standardise.parse_created_at(moved, epoch_unit=unit).first()[0]) == "2023-11-14 22:13:20"
+
+
+def test_report_of_a_format_that_does_not_hold(spark):
+    rows = [(i, f"2024-01-{i % 28 + 1:02d}", "x") for i in range(25)] + [(i, "n/a", "x") for i in range(25, 50)]
+    raw = spark.createDataFrame(rows, "tweet_id long, created_at string, text string").withColumn("ord", F.col("tweet_id"))
+    report = prepare_with_report(raw)
+    assert (report.fmt, report.ratio.first()[0]) == ("inferred", 0.5)
+    assert prepare_with_report(raw, sample_rows=None).fmt is None
+
+
+def test_scratch_tables_go_when_asked(spark):
+    import os
+
+    table = session.written(spark.range(3), "t")
+    (path,) = {os.path.dirname(f) for f in table.inputFiles()}
+    assert os.path.isdir(path.removeprefix("file:").replace("//", "/"))
+    assert session.clear_scratch(spark) >= 1
+    assert not os.path.isdir(path.removeprefix("file:").replace("//", "/"))

@@ -72,8 +72,9 @@ def test_term_rows(spark):
     assert {(r.term, r.frequency) for r in got} == {
         ("the", 3), ("good", 2), (",", 1), ("and", 1), ("bad", 1), ("of", 1), ("it", 1),
     }
-    assert {r.text for r in got} == {ROWS[0][2].lower()}
-    assert got[0].asDict().keys() == dict.fromkeys(plan.TERM_ROW_COLUMNS).keys()
+    assert list(got[0].asDict()) == ["ord", "tweet_id", "created_at", "term", "frequency"]
+    assert {r.text for r in plan.clean_texts(posts(spark, ROWS[:2])).collect()} == {ROWS[0][2].lower()}
+    assert {r.text for r in plan.term_rows(posts(spark, ROWS[:2]), with_text=True).collect()} == {ROWS[0][2].lower()}
     words = plan.term_rows(posts(spark, ROWS[:2]), punctuation=False)
     assert "," not in {r.term for r in words.collect()}
 
@@ -241,3 +242,42 @@ def test_plot_and_long_form(spark, lexicon):
     long = series.long_form(monthly, [series.TOTAL, "Value_Driver"])
     assert long.columns == ["year", "quarter", "month", "created_at", "driver", "score"]
     assert long.count() == 2 * monthly.count()
+
+
+def test_stems_are_made_above_the_distinct(spark, lexicon):
+    forms = plan.stem_vocabulary(posts(spark, ROWS)).join(lexicon.withColumnRenamed("term", "stem"), "stem")
+    lines = forms._jdf.queryExecution().executedPlan().toString().splitlines()
+    python = [i for i, line in enumerate(lines) if "ArrowEvalPython" in line]
+    assert len(python) == 1
+    # Parents come first in the listing.
+    assert all(i > python[0] for i, line in enumerate(lines) if "HashAggregate" in line)
+
+
+def test_large_lexicon_is_joined_by_shuffle(spark, lexicon):
+    rows = plan.candidates(posts(spark, ROWS))
+    large = scoring.score_texts(rows, lexicon, small=False)
+    assert "BroadcastHashJoin [term" not in large._jdf.queryExecution().executedPlan().toString()
+    small = scoring.score_texts(rows, lexicon, small=True)
+    assert sorted(map(tuple, large.collect())) == sorted(map(tuple, small.collect()))
+
+
+def test_clean_reattach_moves_each_text_once(spark, lexicon):
+    clean = plan.score_posts(posts(spark, ROWS), lexicon, reattach="clean", small=True)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text_plan = clean.select("*")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # The text column keeps its number through the plan; sorts and exchanges below a digest do not have it.
+    assert "_digest" in text_plan
+    assert clean.count() == clean.select("ord").distinct().count()
+
+
+def test_z_scores_do_not_depend_on_the_unit(spark):
+    rows = [(1.0,), (3.0,), (7.0,)]
+    for factor in (1.0, 1e-13, 1e13):
+        df = spark.createDataFrame([(x * factor,) for (x,) in rows], "v double")
+        got = sorted(r.v for r in series.z_scores(df, ["v"]).collect())
+        assert got == pytest.approx([-0.8729, -0.2182, 1.0911], abs=1e-3)
+    equal = spark.createDataFrame([(0.1 + 0.2,), (0.3,)], "v double")
+    assert [r.v for r in series.z_scores(equal, ["v"]).collect()] == [0.0, 0.0]

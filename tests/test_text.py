@@ -60,8 +60,8 @@ def test_one_long_token_and_one_long_text(spark):
 
 def test_language(spark):
     rows = [("The cat was on the mat", "en"), ("le chat est dans la maison", "fr"), ("", None), (None, None),
-            ("der hund und die katze", "de"), ("xyzzy 123", None), ("el perro y los gatos", "es"),
-            ("the le", "fr")]
+            ("der hund und die katze", "de"), ("?! 123", None), ("el perro y los gatos", "es"),
+            ("the le", "en")]
     df = spark.createDataFrame(rows, "text string, want string")
     assert df.where(~detect_language(F.col("text")).eqNullSafe(F.col("want"))).count() == 0
 
@@ -111,3 +111,19 @@ def test_stem_columns(spark):
     df = spark.createDataFrame([(["running", "cats"], "ponies"), ([], ""), (None, None)], "ws array<string>, w string")
     got = df.select(stem_joined(F.col("ws")).alias("a"), stem(F.col("w")).alias("b")).collect()
     assert [tuple(r) for r in got] == [("run cat", "poni"), ("", ""), ("", None)]
+
+
+SHORT_POSTS = [
+    ("en", "Great price, love this phone!"), ("en", "Terrible service. Never again"), ("en", "worst airline ever, lost my bags"),
+    ("nl", "Dit is een heel goede telefoon"), ("nl", "de trein was weer te laat"), ("it", "Questo telefono è molto bello"),
+    ("it", "non mi piace per niente"), ("pt", "Este telefone é muito bom"), ("fr", "service très lent"),
+    ("es", "muy buen servicio, gracias"), ("de", "ich habe kein Geld"), ("sv", "jag är inte nöjd med det"),
+    ("da", "jeg er ikke glad for det"), ("pl", "to jest bardzo dobre"), ("tr", "bu telefon çok iyi"), ("fi", "tämä on hyvin hyvä"),
+    (None, ""), (None, None), (None, "123 !!!"),
+]
+
+
+def test_short_posts_have_a_language(spark):
+    df = spark.createDataFrame(SHORT_POSTS, "want string, text string")
+    rows = df.select("want", "text", detect_language(F.col("text")).alias("got")).collect()
+    assert [(r.text, r.got) for r in rows] == [(r.text, r.want) for r in rows]
