@@ -29,11 +29,12 @@ PATTERN = re.compile(
   | (?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9]))
   | (?P<ip>(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9]))
   | (?P<ssn>(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9]))
-  | (?P<iso>(?<![0-9-])[0-9]{4}([-/])[0-9]{2}\6[0-9]{2}(?![0-9]|[-/][0-9]))
-  | (?P<dmy>(?<![0-9./-])[0-9]{1,2}([-/.])[0-9]{1,2}\8[0-9]{4}(?![0-9]|[-/.][0-9]))
-  | (?P<card>(?<![0-9])[0-9](?:[\x20-]?[0-9]){12,18}(?![0-9]))
+  | (?P<iso>(?<![0-9-])[0-9]{4}(?P<a>[-/])[0-9]{2}(?P=a)[0-9]{2}(?![0-9]|[-/][0-9]))
+  | (?P<dmy>(?<![0-9./-])[0-9]{1,2}(?P<b>[-/.])[0-9]{1,2}(?P=b)[0-9]{4}(?![0-9]|[-/.][0-9]))
+  | (?P<card>(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?P<c>[\x20-])[0-9]{4}(?P=c)[0-9]{4}(?P=c)[0-9]{1,7}
+        |[0-9]{4}(?P<d>[\x20-])[0-9]{6}(?P=d)[0-9]{5})(?![0-9]))
   | (?P<phone>(?<![0-9])(?:\+[0-9]{1,3}[\x20.-]?(?:\([0-9]{1,4}\)|[0-9])[0-9\x20.-]{4,14}[0-9]
-        |\([0-9]{3}\)\x20?[0-9]{3}[\x20.-][0-9]{4}|[0-9]{3}([\x20.-])[0-9]{3}\11[0-9]{4})(?![0-9]))
+        |\([0-9]{3}\)\x20?[0-9]{3}[\x20.-][0-9]{4}|[0-9]{3}(?P<e>[\x20.-])[0-9]{3}(?P=e)[0-9]{4})(?![0-9]))
     """,
     re.VERBOSE,
 )

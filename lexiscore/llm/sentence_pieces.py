@@ -23,13 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiscore.llm.token_counts import BATCH_CHARS, REMEMBERED, parts
+from lexiscore.llm.token_counts import BATCH_CHARS, parts
 from lexiscore.llm.words import texts_of
 from lexiscore.session import written
 
 MARK = "▁"
 #: Texts of more characters are giant: they are cut into chunks of so many.
 CHUNK = 1 << 14
+#: Words whose pieces a task remembers at most.
+REMEMBERED = 1 << 16
 #: Chunks whose matrices are combined at a time.
 GROUP = 64
 
@@ -258,17 +260,14 @@ def _ordinary(docs: DataFrame, model_file: str) -> DataFrame:
         voc = Vocabulary(model_file)
         for batch in batches:
             at, some, size = 0, [], 0
-            texts = texts_of(batch)
-            for text in [*texts, None]:
-                if text is not None:
-                    some.append(text)
-                    size += len(text)
-                if some and (text is None or size >= BATCH_CHARS):
-                    ids = voc.encode_words(some)
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).slice(at, len(some)), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"]
-                    )
-                    at, some, size = at + len(some), [], 0
+            for i, text in enumerate(texts_of(batch), start=1):
+                some.append(text)
+                size += len(text)
+                # Pieces leave in small batches, as they take far more memory than their texts.
+                if size >= BATCH_CHARS or i == batch.num_rows:
+                    ids = pa.array(voc.encode_words(some), pa.list_(pa.int32()))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(some)), ids], names=["doc_id", "ids"])
+                    at, some, size = i, [], 0
 
     return docs.mapInArrow(encode, f"doc_id {id_type}, ids array<int>")
 
@@ -419,8 +418,8 @@ def decode(encoded: DataFrame, model_file: str, id_col: str = "doc_id", ids_col:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = Vocabulary(model_file)
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
+            for at in range(0, batch.num_rows, 16):
+                part = batch.slice(at, 16)
                 texts = pa.array(voc.decode(part.column(1).to_pylist()), pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns, texts], names=["doc_id", "ids", "text"])
 
