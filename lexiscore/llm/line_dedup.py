@@ -45,8 +45,11 @@ def dropped_positions(docs: DataFrame, id_col: str, text_col: str, min_chars: in
     # First one row per key and document, dealt by both, so that a key in a third of all documents is no hot spot.
     per_doc = hashed.groupBy("_h1", "_h2", "_id").agg(F.count(F.lit(1)).alias("_n"))
     shared = per_doc.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_docs"), F.max("_id").alias("_keeper"))
-    shared = shared.where(F.col("_docs") >= min_docs).drop("_docs")
-    lost = hashed.join(shared, ["_h1", "_h2"]).where(~F.col("_id").eqNullSafe(F.col("_keeper")))
+    # The counts already lie by hash, and such a side cannot be copied for the parts of a hot hash. One more key has both
+    # sides dealt for the join alone, so adaptive execution splits the rows of a line that very many documents have.
+    both = F.xxhash64("_h2", "_h1").alias("_both")
+    shared = shared.where(F.col("_docs") >= min_docs).select("_h1", "_h2", both, "_keeper")
+    lost = hashed.select("*", both).join(shared, ["_h1", "_h2", "_both"]).where(~F.col("_id").eqNullSafe(F.col("_keeper")))
     return lost.groupBy("_id", "_same").agg(F.collect_set("_pos").alias("_drop"))
 
 
