@@ -123,3 +123,112 @@ def op9_sentence_pieces(spark, d):
     encoded = sentence_pieces.encode(table(spark, d, "documents"), piece_model())
     read = sentence_pieces.decode(encoded, piece_model())
     return read.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.sha2("text", 256).alias("decoded_sha256"))
+
+
+# Words as the operators take them: lower-case runs of ASCII letters and digits and of all that is beyond ASCII.
+def _words_sql(text: str) -> str:
+    return f"regexp_extract_all(lower(coalesce({text}, '')), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')"
+
+
+_SIZE, _LIKE = ngram_join.SHINGLE_WORDS, ngram_join.THRESHOLD
+ORACLES["op2_ngram_jaccard"] = f"""
+WITH RECURSIVE texts AS (SELECT doc_id, {_words_sql("text")} AS words FROM documents),
+sets AS (
+    SELECT doc_id, list_sort(list_distinct(list_transform(range(1, len(words) - least(len(words), {_SIZE}) + 2),
+           lambda i: array_to_string(words[i : i + {_SIZE} - 1], ' ')))) AS grams
+    FROM texts WHERE len(words) > 0
+), nodes AS (
+    SELECT grams, min(doc_id) AS node, count(*) AS n_copies FROM sets GROUP BY grams
+), entries AS (
+    SELECT node, len(grams) AS n, unnest(grams) AS gram FROM nodes
+), common AS (
+    SELECT a.node AS a, b.node AS b, a.n + b.n - count(*) AS n_union, count(*) AS n_common
+    FROM entries a JOIN entries b ON a.gram = b.gram AND a.node <> b.node GROUP BY a.node, b.node, a.n, b.n
+), links AS (
+    SELECT a, b FROM common WHERE n_common >= {_LIKE} * n_union
+), reached(node, other) AS (
+    SELECT node, node FROM nodes UNION SELECT r.node, l.b FROM reached r JOIN links l ON r.other = l.a
+), classes AS (
+    SELECT node, min(other) AS class_id FROM reached GROUP BY node
+), degrees AS (
+    SELECT a AS node, count(*) AS n_links FROM links GROUP BY a
+)
+SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(n_links, 0) AS n_links, coalesce(n_copies, 1) AS n_copies
+FROM documents LEFT JOIN sets USING (doc_id) LEFT JOIN nodes USING (grams) LEFT JOIN classes USING (node) LEFT JOIN degrees USING (node)
+"""
+
+_STRETCH, _AGREE = decontaminate.STRETCH, decontaminate.AGREE
+ORACLES["op7_decontamination"] = f"""
+WITH doc_words AS (SELECT doc_id, {_words_sql("text")} AS words FROM documents),
+item_words AS (SELECT item_id, {_words_sql("text")} AS words FROM benchmark),
+doc_at AS (SELECT doc_id, len(words) AS n_doc, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS p FROM doc_words),
+item_at AS (
+    SELECT item_id, len(words) AS n_words, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS p FROM item_words
+    WHERE len(words) >= {decontaminate.MIN_ITEM}
+), alignments AS (
+    SELECT doc_id, item_id, d.p - i.p AS shift, n_doc, n_words, least(n_words, {_STRETCH}) AS size, list(i.p) AS same
+    FROM doc_at d JOIN item_at i USING (word) GROUP BY ALL HAVING count(*) >= {_AGREE} * least(n_words, {_STRETCH})
+), stretches AS (
+    SELECT *, unnest(range(greatest(0, -shift), least(n_words, n_doc - shift) - size + 1)) AS a FROM alignments
+), agreeing AS (
+    SELECT doc_id, item_id, shift, n_words, size, list_filter(same, lambda x: x >= a AND x < a + size) AS inside FROM stretches
+), covered AS (
+    SELECT DISTINCT doc_id, item_id, shift, n_words, unnest(inside) AS p FROM agreeing WHERE len(inside) >= {_AGREE} * size
+), counted AS (
+    SELECT doc_id, item_id, shift, n_words, count(*) AS n_agree FROM covered GROUP BY ALL
+)
+SELECT doc_id, item_id, max(n_agree) AS n_agree, n_words FROM counted GROUP BY doc_id, item_id, n_words
+"""
+
+_TEMPLATES_SQL = ", ".join(
+    f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate((n, t) for n, texts in licenses.TEMPLATES.items() for t in texts)
+)
+_TERMS_SQL = "regexp_extract_all(lower({}), '[a-z0-9]+(?:\\.[0-9]+)*')"
+_WORD_COUNT_SQL = "len(string_split_regex(trim({}), '\\s+'))"
+_VECTOR_SQL = """
+    SELECT {key}, term, w / sqrt(sum(w * w) OVER (PARTITION BY {key})) AS w FROM (
+        SELECT {key}, term, count(*) * any_value(idf) AS w FROM (SELECT {key}, unnest(terms) AS term FROM {source}) JOIN idf USING (term)
+        GROUP BY {key}, term)"""
+ORACLES["op10_license_scan"] = f"""
+WITH files AS (
+    SELECT doc_id, source || '/part' || (doc_id // 1000) || '/box' || (doc_id // 50) AS dir, coalesce(text, '') AS text FROM documents
+), noted AS (
+    SELECT doc_id, text, array_to_string(list_transform(
+           list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '{licenses._CUE}')), lambda l: trim(l)), chr(10)) AS header
+    FROM files WHERE regexp_matches(text, '{licenses._CUE}')
+), headers AS (
+    SELECT header, count(*) AS n_files, {_TERMS_SQL.format("header")} AS terms FROM noted GROUP BY header
+), templates AS (
+    SELECT template_id, license, {_TERMS_SQL.format("text")} AS terms FROM (VALUES {_TEMPLATES_SQL}) t(template_id, license, text)
+), counted AS (
+    SELECT n_files, unnest(list_distinct(terms)) AS term FROM headers WHERE len(terms) > 0
+    UNION ALL SELECT 1, unnest(list_distinct(terms)) FROM templates
+), total AS (
+    SELECT (SELECT coalesce(sum(n_files), 0) FROM headers WHERE len(terms) > 0) + (SELECT count(*) FROM templates) AS n
+), idf AS (
+    SELECT term, ln((1 + any_value(n)) / (1 + sum(n_files))) + 1 AS idf FROM counted, total GROUP BY term
+), ours AS ({_VECTOR_SQL.format(key="header", source="headers")}
+), theirs AS ({_VECTOR_SQL.format(key="template_id", source="templates")}
+), cosines AS (
+    SELECT header, license, round(sum(o.w * t.w), 9) AS cosine FROM ours o JOIN theirs t USING (term) JOIN templates USING (template_id)
+    GROUP BY header, template_id, license
+), best AS (
+    SELECT header, min(license) AS license, any_value(cosine) AS cosine
+    FROM (SELECT *, rank() OVER (PARTITION BY header ORDER BY cosine DESC) AS r FROM cosines) WHERE r = 1 GROUP BY header
+), judged AS (
+    SELECT f.doc_id, f.dir, CASE WHEN cosine >= {licenses.MIN_COSINE} THEN license END AS license, cosine,
+           coalesce({_WORD_COUNT_SQL.format("n.header")} / {_WORD_COUNT_SQL.format("n.text")}, 0) >= 0.2 AS is_file
+    FROM files f LEFT JOIN noted n USING (doc_id) LEFT JOIN best b ON n.header = b.header
+), grants AS (
+    SELECT dir AS above, license FROM judged WHERE is_file AND license IS NOT NULL
+    QUALIFY row_number() OVER (PARTITION BY dir ORDER BY cosine DESC, license) = 1
+), nearest AS (
+    SELECT d.dir, arg_max(g.above, length(g.above)) AS above, arg_max(g.license, length(g.above)) AS license
+    FROM (SELECT DISTINCT dir FROM files) d JOIN grants g ON d.dir = g.above OR starts_with(d.dir, g.above || '/') GROUP BY d.dir
+)
+SELECT doc_id, j.dir || '/' || doc_id || '.txt' AS path, coalesce(j.license, n.license) AS license,
+       CASE WHEN j.license IS NOT NULL THEN CASE WHEN is_file THEN 'file' ELSE 'header' END
+            WHEN n.above IS NOT NULL THEN 'directory' ELSE 'none' END AS origin,
+       CASE WHEN j.license IS NULL THEN n.above END AS inherited_from, round(cosine, 6) AS cosine
+FROM judged j LEFT JOIN nearest n USING (dir)
+"""
