@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiscore.llm.words import bound_batches
 from lexiscore.session import written
 
 CENTROIDS = 16
@@ -111,6 +112,7 @@ def search(
     ``ENTRY_BLOCK`` vectors and a query block ``QUERY_BLOCK``, however many vectors share a centroid.
     """
     spark = vectors.sparkSession
+    bound_batches(spark)
     doubles = vectors.select(
         F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("x"), is_query.alias("q")
     ).where(F.col("id").isNotNull() & usable(F.col("x")))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiscore.llm.words import U64, mix, texts_of, word_hashes
+from lexiscore.llm.words import U64, bound_batches, mix, texts_of, word_hashes
 from lexiscore.session import written
 
 #: Masks, 1 for a word that counts. They ignore different positions, so few patterns of replaced words escape them all.
@@ -170,7 +170,7 @@ def find_leaks(
     repeat an id count as one document, items that repeat an id with another text as one item with several texts. No rows on
     either side give no rows.
     """
-    spark = docs.sparkSession
+    bound_batches(docs.sparkSession)
     items = written(_item_words(benchmark, item_col, item_text_col), "leaks-items")
     sizes = items.agg(F.sort_array(F.collect_set(F.when(F.col("n_words") < max(map(len, MASKS)), F.col("n_words"))))).first()[0]
     # Items that no mask fits well into are sought whole; a set of at most as many lengths as the longest mask has words.

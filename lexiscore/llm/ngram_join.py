@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiscore.llm.components import components
-from lexiscore.llm.words import U64, mix, shingle_hashes, texts_of, word_hashes
+from lexiscore.llm.words import U64, bound_batches, mix, shingle_hashes, texts_of, word_hashes
 from lexiscore.session import written
 
 SHINGLE_WORDS = 5
@@ -210,6 +210,7 @@ def join(
     in one block are compared anyway. A group of n like texts costs n sets for every n / BLOCK_NODES blocks and about n / 2
     comparisons of sets a node, but no row per pair; its rows lie in blocks that many tasks share.
     """
+    bound_batches(docs.sparkSession)
     bands, rows = banding(threshold, recall)
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")
     narrow = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text)

@@ -20,6 +20,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexiscore.llm.words import bound_batches
+
 ROUNDS = 8
 KINDS = ("email", "iban", "card", "phone", "ip", "ssn", "date")
 
@@ -240,4 +242,5 @@ def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
                 names=["doc_id", "text", *(f"n_{k}" for k in KINDS)],
             )
 
+    bound_batches(docs.sparkSession)
     return narrow.mapInArrow(replace, f"doc_id {id_type}, text string, " + ", ".join(f"n_{k} bigint" for k in KINDS))

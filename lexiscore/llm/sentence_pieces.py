@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiscore.llm.token_counts import BATCH_CHARS, parts
-from lexiscore.llm.words import texts_of
+from lexiscore.llm.words import bound_batches, texts_of
 from lexiscore.session import written
 
 MARK = "▁"
@@ -402,6 +402,7 @@ def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: s
     are encoded where they are read; longer ones in chunks, whose states are combined, so no task works through a giant
     document. Its pieces come together in its row alone.
     """
+    bound_batches(docs.sparkSession)
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")
     narrow = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text)
     giant = F.char_length("text") > chunk
@@ -411,6 +412,7 @@ def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: s
 
 def decode(encoded: DataFrame, model_file: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """``doc_id, ids, text`` of rows of pieces. Null pieces are none; a space mark in the text itself comes back as a space."""
+    bound_batches(encoded.sparkSession)
     no_ids = F.array().cast("array<int>")
     narrow = encoded.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{ids_col}`"), no_ids).alias("ids"))
     id_type = narrow.schema["doc_id"].dataType.simpleString()

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiscore.llm.words import texts_of
+from lexiscore.llm.words import bound_batches, texts_of
 
 #: Bytes of text that go to the tokenizer at once, and parts whose counts a task remembers at most.
 BATCH_CHARS = 1 << 18
@@ -117,5 +117,6 @@ def count_tokens(docs: DataFrame, model_file: str, limit: int, id_col: str = "do
                 [batch.column(0), batch.column(1), pa.array(counts, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"]
             )
 
+    bound_batches(docs.sparkSession)
     counted = narrow.mapInArrow(encode, f"doc_id {id_type}, n_bytes bigint, n_tokens bigint")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)

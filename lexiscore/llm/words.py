@@ -6,12 +6,15 @@ have 64 bits, depend on nothing but the word, and so are equal on every executor
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 SLICE_BYTES = 1 << 20
+ARROW_BYTES = 4 << 20
 U64 = np.uint64
 
 _rng = np.random.default_rng(20240229)
@@ -93,18 +96,16 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return np.unique(mix(total))
 
 
-def sliced(texts: Iterable[str | None], limit: int = SLICE_BYTES) -> Iterator[list[str]]:
-    """The texts in order, in lists of about ``limit`` characters; null is the empty text."""
-    part, n = [], 0
-    for text in texts:
-        text = text or ""
-        if part and n + len(text) > limit:
-            yield part
-            part, n = [], 0
-        part.append(text)
-        n += len(text)
-    if part:
-        yield part
+def bound_batches(spark: SparkSession) -> None:
+    """Have rows reach Python in batches of about ``ARROW_BYTES`` (or fewer, if the session says so), and one row at least.
+
+    Spark's own bound is 64 MB, of which a worker holds several copies. The setting is the session's, as a lazy result needs
+    it when it is computed.
+    """
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(\d+)b?", spark.conf.get(setting))
+    if not now or not 0 < int(now[1]) <= ARROW_BYTES:
+        spark.conf.set(setting, str(ARROW_BYTES))
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> Iterator[str]:
