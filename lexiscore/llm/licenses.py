@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexiscore.session import written
+
 #: Headers of a cosine of at least this to their best template have its license.
 MIN_COSINE = 0.4
 #: A text whose license lines hold this share of its words is a license file.
@@ -190,7 +192,8 @@ def scan(
     narrow = docs.select(
         F.col(f"`{id_col}`").alias("_id"), path.alias("_path"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text")
     )
-    found = headers(narrow)
+    # Several steps read the headers; the texts are read once.
+    found = written(headers(narrow), "license-headers")
     matched = match_templates(found, templates(spark))
     named = F.coalesce(F.regexp_extract("_path", r"([^/]*)$", 1).rlike(r"(?i)^(un)?licen[cs]e|^copying"), F.lit(False))
     # Files without a notice, most of a corpus, meet nothing; a key of their own each keeps them out of one task.
