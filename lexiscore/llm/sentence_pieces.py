@@ -273,7 +273,7 @@ def _ordinary(docs: DataFrame, model_file: str) -> DataFrame:
 
 
 def _chunks(docs: DataFrame, model_file: str, chunk: int) -> DataFrame:
-    """``doc_id, same, no, low, high, text, final, matrix`` of each chunk; ``text`` reaches a piece's length further."""
+    """``doc_id, same, copies, no, low, high, text, final, matrix`` of each chunk; ``text`` reaches a piece's length further."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,14 +288,14 @@ def _chunks(docs: DataFrame, model_file: str, chunk: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array([batch.column(0)[i].as_py()], batch.schema.field(0).type),
-                            pa.array([batch.column(2)[i].as_py()], pa.int64()), pa.array([no], pa.int64()),
+                            batch.column(2).slice(i, 1), batch.column(3).slice(i, 1), pa.array([no], pa.int64()),
                             pa.array([at - left], pa.int32()), pa.array([end - left], pa.int32()), pa.array([view]),
                             pa.array([end == len(whole)]), pa.array([_rows(matrix)], _MATRIX),
                         ],
-                        names=["doc_id", "same", "no", "low", "high", "text", "final", "matrix"],
+                        names=["doc_id", "same", "copies", "no", "low", "high", "text", "final", "matrix"],
                     )
 
-    schema = f"doc_id {id_type}, same long, no long, low int, high int, text string, final boolean, matrix {_MATRIX_SQL}"
+    schema = f"doc_id {id_type}, same long, copies long, no long, low int, high int, text string, final boolean, matrix {_MATRIX_SQL}"
     return docs.mapInArrow(cut, schema)
 
 
@@ -366,6 +366,7 @@ def _boundaries(level: DataFrame, outer: DataFrame | None) -> DataFrame:
 
 
 def _giant(docs: DataFrame, model_file: str, chunk: int) -> DataFrame:
+    """``doc_id, ids`` of distinct giant texts (``doc_id, text, same, copies``), each in as many rows as it has copies."""
     chunks = written(_chunks(docs, model_file, chunk), "pieces-chunks")
     levels = [chunks.select("doc_id", "same", "no", "final", "matrix")]
     longest = levels[0].agg(F.max("no")).first()[0]
@@ -376,29 +377,31 @@ def _giant(docs: DataFrame, model_file: str, chunk: int) -> DataFrame:
     for level in reversed(levels):
         bounds = written(_boundaries(level, bounds), "pieces-bounds")
     same = (chunks["doc_id"].eqNullSafe(bounds["doc_id"])) & (chunks["same"] == bounds["same"]) & (chunks["no"] == bounds["no"])
-    told = chunks.join(bounds, same).select(chunks["doc_id"], chunks["same"], chunks["no"], "low", "high", "text", "begin", "end")
+    told = chunks.join(bounds, same)
+    told = told.select(chunks["doc_id"], chunks["same"], "copies", chunks["no"], "low", "high", "text", "begin", "end")
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = Vocabulary(model_file)
         for batch in batches:
             ids = []
-            for low, high, text, begin, end in zip(*(batch.column(c).to_pylist() for c in (3, 4, 5, 6, 7))):
+            for low, high, text, begin, end in zip(*(batch.column(c).to_pylist() for c in (4, 5, 6, 7, 8))):
                 ids.append(pieces_between(voc, text, low, high, (begin["over"], begin["piece"]), (end["over"], end["piece"])))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "same", "no", "ids"])
+            done = [*batch.columns[:4], pa.array(ids, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(done, names=["doc_id", "same", "copies", "no", "ids"])
 
-    encoded = told.mapInArrow(trace, f"doc_id {id_type}, same long, no long, ids array<int>")
-    whole = encoded.groupBy("doc_id", "same").agg(F.sort_array(F.collect_list(F.struct("no", "ids"))).alias("list"))
+    encoded = told.mapInArrow(trace, f"doc_id {id_type}, same long, copies long, no long, ids array<int>")
+    whole = encoded.groupBy("doc_id", "same", "copies").agg(F.sort_array(F.collect_list(F.struct("no", "ids"))).alias("list"))
     ids = F.flatten(F.transform("list", lambda x: x["ids"])).alias("ids")
-    # Rows that repeat an id and a text have one set of chunks each; every row gets its own pieces back.
-    return whole.select("doc_id", "same", ids)
+    # Rows that repeat an id and a text have one set of chunks together; every row gets its own pieces back.
+    return whole.select("doc_id", ids, F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("doc_id", "ids")
 
 
 def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
     """``doc_id, ids``: the pieces of each whole text, as the library gives them for the model file, without begin or end.
 
-    Null and empty texts have no pieces. Rows that repeat an id with other texts each have their row, and so have rows without
-    an id; giant texts that repeat id and text are one row. No rows give no rows. Texts of at most ``chunk`` characters
+    Null and empty texts have no pieces. Rows that repeat an id, or have none, each have their row, whatever the length of
+    their text; a giant text that repeats an id is encoded once. No rows give no rows. Texts of at most ``chunk`` characters
     are encoded where they are read; longer ones in chunks, whose states are combined, so no task works through a giant
     document. Its pieces come together in its row alone.
     """
@@ -406,8 +409,9 @@ def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: s
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")
     narrow = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text)
     giant = F.char_length("text") > chunk
-    rest = narrow.where(giant).distinct().select("doc_id", "text", F.xxhash64("text").alias("same"))
-    return _ordinary(narrow.where(~giant), model_file).unionAll(_giant(rest, model_file, chunk).select("doc_id", "ids"))
+    rest = narrow.where(giant).groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("copies"))
+    rest = rest.select("doc_id", "text", F.xxhash64("text").alias("same"), "copies")
+    return _ordinary(narrow.where(~giant), model_file).unionAll(_giant(rest, model_file, chunk))
 
 
 def decode(encoded: DataFrame, model_file: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -108,6 +108,12 @@ def test_encode_and_decode_awkward_rows(spark, monkeypatch):
     assert sentence_pieces.encode(docs.limit(0), MODEL).count() == 0
 
 
+def test_repeated_giant_rows_keep_their_rows(spark):
+    rows = [(1, LONG[:3000])] * 3 + [(None, LONG[:2000])] * 2 + [(1, LONG[:2000]), (2, "short"), (2, "short")]
+    got = [(r.doc_id, r.ids) for r in sentence_pieces.encode(awkward(spark, rows), MODEL, chunk=500).collect()]
+    assert sorted(got, key=str) == sorted(((doc, LIBRARY.encode(text)) for doc, text in rows), key=str)
+
+
 # Pseudonyms
 
 
