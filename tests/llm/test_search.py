@@ -3,6 +3,7 @@
 import math
 import random
 import zlib
+from functools import partialmethod
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -180,6 +181,36 @@ def test_training_does_not_depend_on_the_order_of_rows(spark):
     assert one.edges == two.edges and (one.embedding == two.embedding).all()
 
 
+def test_toxic_words_far_into_long_texts_are_learnt(spark, monkeypatch):
+    monkeypatch.setattr(toxicity.TextNetwork, "fit", partialmethod(toxicity.TextNetwork.fit, steps=2500))
+    long = lambda i, toxic: prose(i, 4100) + (f" {BAD[i % 3]} {BAD[(i + 1) % 3]}" if toxic else "")
+    rows = [(i, long(i, i % 2)) for i in range(60)]
+    marks = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    net = toxicity.train(awkward(spark, rows), marks, F.lit(True))
+    fresh = [(100 + i, long(100 + i, i % 2)) for i in range(20)]
+    got = {r.doc_id: r.score >= toxicity.THRESHOLD for r in toxicity.score(awkward(spark, fresh), net).collect()}
+    assert sum(got[100 + i] == bool(i % 2) for i in range(20)) >= 18
+
+
+def test_training_in_parts_is_training_on_whole_texts(monkeypatch, tmp_path):
+    texts = [toxicity.features(prose(i, 90) + (" vilething" if i % 2 else ""))[0] for i in range(20)]
+    labels = np.array([i % 2 for i in range(20)])
+    path, stored, at = tmp_path / "buckets", [], 0
+    path.write_bytes(b"".join(t.tobytes() for t in texts))
+    with open(path, "rb") as file:
+        for t in texts:
+            stored.append(toxicity.Stored(file.fileno(), [(at, 40), (at + 40 * 10, len(t) - 40)]))
+            at += t.nbytes
+        assert all((s[a : a + 37] == t[a : a + 37]).all() for s, t in zip(stored, texts) for a in range(0, 100, 7))
+        # Which words are left out depends on the parts, so none are here.
+        monkeypatch.setattr(toxicity, "DROPPED", 0)
+        nets = [toxicity.TextNetwork.fresh() for _ in range(2)]
+        nets[0].fit(texts, labels, steps=20)
+        monkeypatch.setattr(toxicity, "STRIDE", 7)
+        nets[1].fit(stored, labels, steps=20)
+    assert np.allclose([nets[0].output(t) for t in texts], [nets[1].output(t) for t in texts], atol=0.05)
+
+
 def test_parts_of_a_text_give_the_whole_maximum(monkeypatch):
     net = toxicity.TextNetwork.fresh()
     buckets, _ = toxicity.features(prose(1, 300))
