@@ -8,6 +8,8 @@ Documents are read once, and only the words near hits leave the first pass.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +19,10 @@ from pyspark.sql import functions as F
 from lexiscore.llm.words import U64, bound_batches, mix, texts_of, word_hashes
 from lexiscore.session import written
 
-#: Masks, 1 for a word that counts. They ignore different positions, so few patterns of replaced words escape them all.
-MASKS = ("11011011", "1100101011", "101101110001", "111010010011")
+#: Masks, 1 for a word that counts. Whichever words of a stretch are replaced, as many as may be, one of them fits between.
+MASKS = ("11011011", "1100101011", "101101110001", "111010010011", "1000101001111")
+#: Words that masks of items shorter than a stretch count at least, where so many must agree.
+MASK_WORDS = 6
 #: A stretch of the item of so many words (all of a shorter item) must agree in this share of its words.
 STRETCH, AGREE = 13, 0.8
 #: Items of fewer words are no evidence of anything and are not sought.
@@ -29,11 +33,33 @@ REACH = 64
 SLOTS = 1 << 22
 
 
-def masked_hashes(words: np.ndarray, first: np.ndarray, short: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and start of every masked window that lies within one text. ``short``: lengths sought as they are."""
+@lru_cache
+def whole_masks(n: int) -> tuple[str, ...]:
+    """Masks over all words of an item of ``n`` words: each set of words that may be replaced is ignored by one of them.
+
+    Taken one by one, each the one that ignores most of the sets left, of equals the first in order of ignored positions.
+    """
+    replaced = n - int(np.ceil(AGREE * n))
+    ignored = [frozenset(z) for z in combinations(range(n), max(replaced, n - MASK_WORDS))]
+    left, masks = {frozenset(c) for c in combinations(range(n), replaced)}, []
+    while left:
+        best = max(ignored, key=lambda z: sum(c <= z for c in left))
+        left = {c for c in left if not c <= best}
+        masks.append("".join("0" if i in best else "1" for i in range(n)))
+    return tuple(masks)
+
+
+def masks_of(sizes: tuple[int, ...]) -> tuple[str, ...]:
+    """Masks for items of these numbers of words."""
+    short = (m for n in sorted(set(sizes)) if n < STRETCH for m in whole_masks(n))
+    return (*(MASKS if any(n >= STRETCH for n in sizes) else ()), *short)
+
+
+def masked_hashes(words: np.ndarray, first: np.ndarray, masks: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and start of every masked window that lies within one text."""
     hashes, starts = [], []
     text_end = np.repeat(first[1:], np.diff(first))
-    for mask in (*MASKS, *("1" * n for n in short)):
+    for mask in masks:
         n = len(words) - len(mask) + 1
         if n <= 0:
             continue
@@ -70,15 +96,14 @@ def _item_words(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return items.where(F.col("item_id").isNotNull() & (F.col("n_words") >= MIN_ITEM)).distinct()
 
 
-def _windows(items: DataFrame, short: tuple[int, ...]) -> DataFrame:
+def _windows(items: DataFrame) -> DataFrame:
     id_type = items.schema["item_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 words = np.frombuffer(batch.column(1)[i].as_py(), np.uint64)
-                own = (len(words),) if len(words) in short else ()
-                hashes, starts = masked_hashes(words, np.array([0, len(words)]), own)
+                hashes, starts = masked_hashes(words, np.array([0, len(words)]), masks_of((len(words),)))
                 item = pa.array([batch.column(0)[i].as_py()] * len(hashes), batch.schema.field(0).type)
                 yield pa.RecordBatch.from_arrays(
                     [item, pa.array(hashes.view(np.int64)), pa.array(starts, pa.int64())], names=["item_id", "hash", "item_pos"]
@@ -97,16 +122,17 @@ def _table(windows: DataFrame) -> np.ndarray:
     return np.unpackbits(packed.view(np.uint8), bitorder="little").astype(bool)
 
 
-def _regions(docs: DataFrame, table: np.ndarray, short: tuple[int, ...], longest: int) -> DataFrame:
+def _regions(docs: DataFrame, table: np.ndarray, masks: tuple[str, ...]) -> DataFrame:
     """Stretches of documents around hashes that the table has: ``doc_id, same, start, words, hits``."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
+    longest = max(map(len, masks), default=0)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, sames, starts, stretches, hits = [], [], [], [], []
             for i, text in enumerate(texts_of(batch)):
                 words, first = word_hashes([text])
-                hashes, at = masked_hashes(words, first, short)
+                hashes, at = masked_hashes(words, first, masks)
                 one, two = _slots(hashes)
                 keep = np.flatnonzero(table[one])
                 keep = keep[table[two[keep]]]
@@ -172,15 +198,13 @@ def find_leaks(
     """
     bound_batches(docs.sparkSession)
     items = written(_item_words(benchmark, item_col, item_text_col), "leaks-items")
-    sizes = items.agg(F.sort_array(F.collect_set(F.when(F.col("n_words") < max(map(len, MASKS)), F.col("n_words"))))).first()[0]
-    # Items that no mask fits well into are sought whole; a set of at most as many lengths as the longest mask has words.
-    short = tuple(sizes)
-    windows = written(_windows(items, short), "leaks-windows")
+    # Items shorter than a stretch have masks of their own length; a set of at most STRETCH lengths.
+    sizes = items.agg(F.sort_array(F.collect_set(F.least("n_words", F.lit(STRETCH))))).first()[0]
+    windows = written(_windows(items), "leaks-windows")
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     narrow = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("same"))
     narrow = narrow.where(F.col("doc_id").isNotNull())
-    longest = max(map(len, (*MASKS, *("1" * n for n in short))))
-    regions = written(_regions(narrow, _table(windows), short, longest), "leaks-regions")
+    regions = written(_regions(narrow, _table(windows), masks_of(tuple(sizes))), "leaks-regions")
     hits = regions.select("doc_id", "same", "start", F.explode("hits").alias("hit"))
     hits = hits.select("doc_id", "same", "start", F.col("hit.pos").alias("pos"), F.col("hit.hash").alias("hash"))
     lines = hits.join(windows, "hash").select(

@@ -4,6 +4,7 @@ import math
 import random
 import zlib
 from functools import partialmethod
+from itertools import combinations
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -105,6 +106,28 @@ def test_passages_are_found_with_replaced_words(spark):
     assert leaks(spark, [], items) == {} and leaks(spark, rows, []) == {}
 
 
+def replaced_words(n):
+    """Sets of words that may be replaced in a stretch of ``n``."""
+    return [c for k in range(n + 1) if n - k >= decontaminate.AGREE * n for c in combinations(range(n), k)]
+
+
+def test_a_mask_fits_between_all_replaced_words():
+    for n in range(decontaminate.MIN_ITEM, decontaminate.STRETCH + 1):
+        for gone in replaced_words(n):
+            places = ((m, a) for m in decontaminate.masks_of((n,)) for a in range(n - len(m) + 1))
+            assert any(all(bit == "0" or i + a not in gone for i, bit in enumerate(m)) for m, a in places), (n, gone)
+
+
+def test_all_patterns_of_replaced_words_are_found(spark):
+    rows, want = [], {}
+    for n in range(decontaminate.MIN_ITEM, decontaminate.STRETCH + 1):
+        for gone in replaced_words(n):
+            words = [f"new{i}" if i in gone else f"w{n}x{i}" for i in range(n)]
+            want[len(rows), n] = (n - len(gone), n)
+            rows.append((len(rows), f"before it {' '.join(words)} and after"))
+    assert leaks(spark, rows, [(n, " ".join(f"w{n}x{i}" for i in range(n))) for n in range(5, 14)]) == want
+
+
 def test_a_passage_in_very_many_documents(spark):
     item = prose(1, 30)
     rows = [(i, f"{prose(100 + i, 10)} {item} {prose(900 + i, 10)}") for i in range(300)]
