@@ -41,8 +41,24 @@ PATTERN = re.compile(
     re.VERBOSE,
 )
 
+# Days from 1900 to 2099 change places with one another, and so do all other days of the calendar's years 1 to 9999.
 _FIRST_DAY = datetime.date(1900, 1, 1).toordinal()
 _DAYS = datetime.date(2100, 1, 1).toordinal() - _FIRST_DAY
+_OTHER_DAYS = datetime.date.max.toordinal() - _DAYS
+
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {
+    country: int(length)
+    for length, countries in (
+        pair.split(":")
+        for pair in (
+            "15:NO 16:BE 18:DK,FI,FK,FO,GL,NL,SD 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,MN,XK 21:CH,HR,LI,LV 22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA "
+            "23:AE,GI,IL,IQ,OM,SO,TL 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM "
+            "28:AL,AZ,BY,CY,DO,GT,HN,HU,LB,NI,PL,SV 29:BR,EG,PS,QA,UA 30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU"
+        ).split()
+    )
+    for country in countries.split(",")
+}
 
 
 class Feistel:
@@ -93,6 +109,21 @@ def iban_check(country: str, body: str) -> str:
     return f"{98 - int(digits) % 97:02d}"
 
 
+def iban_valid(text: str) -> bool:
+    plain = text.replace(" ", "")
+    return len(plain) <= 34 and plain[2:4] == iban_check(plain[:2], plain[4:])
+
+
+def iban_head(text: str) -> str:
+    """The begin of a match that is as long as its country's IBANs, if a space follows; else an empty text.
+
+    The pattern runs on over upper-case words and numbers behind an IBAN.
+    """
+    size = IBAN_LENGTHS.get(text[:2], 0)
+    ends = [i for i, c in enumerate(text, start=1) if c != " "][size - 1 : size] if size else []
+    return text[: ends[0]] if ends and text[ends[0] : ends[0] + 1] == " " else ""
+
+
 def _filled(shape: str, chars: str, is_slot: Callable[[str], bool]) -> str:
     """``shape`` with its slots filled in order; the marks between them stay."""
     it = iter(chars)
@@ -116,21 +147,25 @@ class Pseudonyms:
     def _permute(self, value: int, size: int, tweak: str, allowed=None) -> int:
         return self.feistel.permute(value, size, tweak, self.back, allowed)
 
-    def _chars(self, text: str, tweak: str) -> str:
+    def _chars(self, text: str, tweak: str, allowed: Callable[[str], bool] | None = None) -> str:
         """Letters and digits permuted, each within its own alphabet, as one number of mixed radix."""
+
+        def chars(value: int) -> str:
+            out = []
+            for c in reversed(text):
+                if alphabet := _alphabet(c):
+                    value, i = divmod(value, len(alphabet))
+                    c = alphabet[i]
+                out.append(c)
+            return "".join(reversed(out))
+
         value, size = 0, 1
         for c in text:
             if radix := len(_alphabet(c)):
                 value = value * radix + _alphabet(c).index(c)
                 size *= radix
-        value = self._permute(value, size, f"{tweak}|{''.join(_alphabet(c)[:1] or c for c in text)}")
-        out = []
-        for c in reversed(text):
-            if alphabet := _alphabet(c):
-                value, i = divmod(value, len(alphabet))
-                c = alphabet[i]
-            out.append(c)
-        return "".join(reversed(out))
+        shape = "".join(_alphabet(c)[:1] or c for c in text)
+        return chars(self._permute(value, size, f"{tweak}|{shape}", allowed and (lambda v: allowed(chars(v)))))
 
     def _number(self, digits: str, tweak: str) -> str:
         return f"{self._permute(int(digits), 10 ** len(digits), f'{tweak}|{len(digits)}'):0{len(digits)}d}"
@@ -140,9 +175,12 @@ class Pseudonyms:
             value = datetime.date(int(year), int(month), int(day)).toordinal() - _FIRST_DAY
         except ValueError:
             return None
-        if not 0 <= value < _DAYS:
-            return None
-        return datetime.date.fromordinal(self._permute(value, _DAYS, tweak, allowed) + _FIRST_DAY)
+        if 0 <= value < _DAYS:
+            at = lambda v: datetime.date.fromordinal(v + _FIRST_DAY)
+            return at(self._permute(value, _DAYS, tweak, allowed and (lambda v: allowed(at(v)))))
+        at = lambda v: datetime.date.fromordinal(v + 1 + (_DAYS if v + 1 >= _FIRST_DAY else 0))
+        value += _FIRST_DAY - 1 - (_DAYS if value > 0 else 0)
+        return at(self._permute(value, _OTHER_DAYS, f"{tweak}|other", allowed and (lambda v: allowed(at(v)))))
 
     def _of(self, kind: str, text: str) -> tuple[str, str] | None:
         """Kind and pseudonym of a match, or None where it fails its check."""
@@ -150,12 +188,16 @@ class Pseudonyms:
             local, domain = text.split("@")
             return "email", f"{self._chars(local, 'email')}@{domain}"
         if kind == "iban":
-            plain = text.replace(" ", "")
-            country, check, body = plain[:2], plain[2:4], plain[4:]
-            if len(plain) > 34 or check != iban_check(country, body):
+            if iban_valid(head := iban_head(text)):
+                text = head
+            elif not iban_valid(text):
                 return None
-            body = self._chars(body, f"iban|{country}")
-            return "iban", _filled(text, country + iban_check(country, body) + body, lambda c: c != " ")
+            plain = text.replace(" ", "")
+            country, body = plain[:2], plain[4:]
+            whole = lambda body: _filled(text, country + iban_check(country, body) + body, lambda c: c != " ")
+            # What is valid at another length than its country's must not have a pseudonym that is valid at that one.
+            apart = (lambda body: not iban_valid(iban_head(whole(body)))) if iban_head(text) else None
+            return "iban", whole(self._chars(body, f"iban|{country}", apart))
         if kind == "ip":
             octets = text.split(".")
             if any(int(o) > 255 or (o[0] == "0" and o != "0") for o in octets):
@@ -182,8 +224,7 @@ class Pseudonyms:
                 parts = day.day, day.month
             else:
                 # Month first, which only a day beyond 12 shows; its pseudonym has such a day too.
-                late = lambda v: datetime.date.fromordinal(v + _FIRST_DAY).day > 12
-                if not (day := self._date(year, first, second, late)):
+                if not (day := self._date(year, first, second, lambda d: d.day > 12)):
                     return None
                 parts = day.month, day.day
             pad = (lambda n: f"{n:02d}") if wide else str
@@ -212,7 +253,8 @@ class Pseudonyms:
                 continue
             counts[done[0]] += 1
             out += [text[at : m.start()], done[1]]
-            at = search = m.end()
+            # An IBAN may end before its match does; its pseudonym is as long as it is.
+            at = search = m.start() + len(done[1]) if done[0] == "iban" else m.end()
         return "".join([*out, text[at:]]) if out else text, counts
 
 
@@ -220,7 +262,7 @@ def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
     """``doc_id, text, n_email, n_iban, n_card, n_phone, n_ip, n_ssn, n_date`` for each row of ``docs``, whole texts.
 
     ``back`` turns pseudonyms into the values again. What fails its check (a card number by its last digit, an IBAN by its
-    remainder, a date by the calendar, an address by its octets) stays as it is. A null text stays null, with no values.
+    remainder, a date by the calendar of the years 1 to 9999, an address by its octets) stays as it is. A null text stays null, with no values.
     Rows that repeat an id, or have none, each have their row; no rows give no rows.
     """
     narrow = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))

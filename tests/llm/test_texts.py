@@ -150,6 +150,27 @@ def test_values_change_within_their_format():
     assert there.rewrite(NOT_PRIVATE) == (NOT_PRIVATE, Counter())
 
 
+def test_ibans_before_numbers_and_words_and_dates_of_all_years():
+    there, back = pii.Pseudonyms(b"k"), pii.Pseudonyms(b"k", back=True)
+    for iban, rest in (
+        ("DE89370400440532013000", " 2024"), ("GB82WEST12345698765432", " BIC"), ("DE89 3704 0044 0532 0130 00", " EUR 50"),
+        ("NO93 8601 1117 947", " AND DE89370400440532013000 MORE"), ("DE89370400440532013000", ""), ("DE89 3704 0044 0532 0130 00", ", X"),
+    ):
+        text, counts = there.rewrite(f"to {iban}{rest}")
+        assert counts == Counter(iban=2 if "DE89" in rest else 1) and iban not in text and "DE89370400440532013000 M" not in text
+        alone = there.rewrite(iban)[0]
+        assert text.startswith(f"to {alone}") and back.rewrite(text)[0] == f"to {iban}{rest}"
+    # Valid, but of another length than IBANs of its country.
+    rng = random.Random(8)
+    for _ in range(300):
+        body = "".join(rng.choice("0123456789") for _ in range(22))
+        odd = f"DE{pii.iban_check('DE', body)}{body[:18]} {body[18:]}"
+        assert back.rewrite(there.rewrite(odd)[0])[0] == odd
+    for date in ("1815-12-10", "0001-01-01", "9999-12-31", "1899-12-31", "2100-01-01", "07/31/1776", "31.07.1776", "1900-01-01", "2099-12-31"):
+        text, counts = there.rewrite(f"on {date}")
+        assert counts == Counter(date=1) and text != f"on {date}" and back.rewrite(text)[0] == f"on {date}"
+
+
 def test_equal_values_stay_linked(spark):
     rows = [*AWKWARD, (20, "at 2024-01-05 by joe@example.com"), (21, "on 05/01/2024, joe@example.com"), (22, "x" * 10**6 + " 10.0.0.1")]
     got = {}
