@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -236,6 +237,34 @@ def test_network_finds_keys_that_no_pattern_names(spark):
     assert secrets.train(docs.limit(0)) is None
 
 
+def test_threshold_keeps_the_recall_below_one_half():
+    net = secrets.Network.fresh()
+    rng = np.random.default_rng(2)
+    codes = rng.integers(33, 127, (400, secrets.WIDTH)).astype(np.uint8)
+    labels = (rng.random(400) < 0.2).astype(int)
+    net.calibrate(codes, labels, 0.99)
+    assert net.threshold < 0.5 and (net.score(codes)[labels == 1] >= net.threshold).mean() >= 0.99
+
+
+def test_long_runs_are_learnt_in_all_their_views(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "VIEWS", 2)
+    given = []
+    calibrate = secrets.Network.calibrate
+    monkeypatch.setattr(secrets.Network, "calibrate", lambda net, codes, *rest: given.append(codes) or calibrate(net, codes, *rest))
+    rng = random.Random(6)
+    plain = lambda n: "".join(rng.choice("ghijklmnop_") for _ in range(n))
+    key = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    rows = [(i, f"see {plain(120)}{key()} here" if i % 2 else f"see {plain(160)} here") for i in range(200)]
+    docs = awkward(spark, rows * 2)
+    net = secrets.train(docs)
+    # Keys stand behind the first view; half of the held findings have one, and calibration sees its characters.
+    digits = ((given[0] >= 48) & (given[0] < 58)).sum(1)
+    assert 0.3 <= (digits >= 5).mean() <= 0.7
+    fresh = {i: f"see {plain(120)}{key()[:20]}G{key()[:20]} here" if i % 2 else f"see {plain(160)} here" for i in range(40)}
+    got = {r.doc_id: r.spans for r in secrets.find_secrets(awkward(spark, list(fresh.items())), net).collect()}
+    assert sum(("network" in got[i]) == bool(i % 2) for i in got) >= 38
+
+
 def test_candidates_are_code_points():
     text = "é漢🙂 abcdefgh12345678 ü ABCDEFGHIJKLMNOPQRSTUVWXYZ short1 x" + "/" * 30
     assert [text[s:e] for s, e in secrets.candidates(text)] == ["abcdefgh12345678", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "x" + "/" * 30]
