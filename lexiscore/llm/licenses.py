@@ -81,15 +81,15 @@ def terms(text: Column) -> Column:
 
 
 def headers(docs: DataFrame) -> DataFrame:
-    """``docs`` (``_id, _path, _text``) with the text's license lines as ``_header`` and their share of its words.
+    """``docs`` (``_id, _path, _text``) with the text's headers as ``_header`` and their share of its words.
 
-    License lines that follow one another with no other line between are one header with them, as all of a text are; a
-    header is null where the text has none.
+    License lines that follow one another with no other line between are one header. Headers of a text are parted by an
+    empty line, which none of them holds; null where the text has none.
     """
-    lines = F.filter(F.split("_text", "\n"), lambda line: line.rlike(_CUE))
     cue = F.col("_text").rlike(_CUE)
+    lines = F.transform(F.split("_text", "\n"), lambda line: F.when(line.rlike(_CUE), F.btrim(line)).otherwise(""))
     found = docs.withColumn("_lines", F.when(cue, lines))
-    header = F.array_join(F.transform("_lines", lambda line: F.btrim(line)), "\n")
+    header = F.regexp_replace(F.btrim(F.array_join("_lines", "\n"), F.lit("\n")), "\n{2,}", "\n\n")
     words = lambda c: F.size(F.split(F.trim(c), r"\s+"))
     return found.select(
         "_id", "_path", F.when(cue, header).alias("_header"), F.when(cue, words(header) / words(F.col("_text"))).alias("_share")
@@ -105,12 +105,15 @@ def _weights(vectors: DataFrame, key: str, idf: DataFrame) -> DataFrame:
 
 
 def match_templates(headers_found: DataFrame, known: DataFrame) -> DataFrame:
-    """``_header, license, cosine``: each distinct header's best template; of equal cosines the alphabetically first license.
+    """``_header, license, cosine``: the best template of any header of each distinct ``_header``; of equal cosines the
+    alphabetically first license.
 
-    Document frequencies count every file's header, copies too. Terms are weighted by ``ln((1 + N) / (1 + df)) + 1`` over
-    the N headers and templates.
+    Document frequencies count every file's distinct headers, copies in other files too. Terms are weighted by
+    ``ln((1 + N) / (1 + df)) + 1`` over the N headers and templates.
     """
-    distinct = headers_found.where(F.col("_header").isNotNull()).groupBy("_header").agg(F.count(F.lit(1)).alias("n_files"))
+    texts = headers_found.where(F.col("_header").isNotNull()).groupBy("_header").agg(F.count(F.lit(1)).alias("n_files"))
+    texts = texts.select(F.col("_header").alias("_headers"), "n_files", F.explode(F.array_distinct(F.split("_header", "\n\n"))).alias("_header"))
+    distinct = texts.groupBy("_header").agg(F.sum("n_files").alias("n_files"))
     distinct = distinct.withColumn("terms", terms(F.col("_header"))).where(F.size("terms") > 0)
     sought = known.withColumn("terms", terms(F.col("text")))
     per_text = distinct.select("n_files", F.explode(F.array_distinct("terms")).alias("term"))
@@ -126,7 +129,8 @@ def match_templates(headers_found: DataFrame, known: DataFrame) -> DataFrame:
     dots = ours.join(F.broadcast(theirs), "term").groupBy("_header", "template_id", "license")
     cosines = dots.agg(F.round(F.sum(F.col("w") * F.col("v")), 9).alias("cosine"))
     best = cosines.groupBy("_header").agg(F.min(F.struct((-F.col("cosine")).alias("minus"), "license")).alias("best"))
-    return best.select("_header", F.col("best.license").alias("license"), (-F.col("best.minus")).alias("cosine"))
+    of_texts = texts.join(best, "_header").groupBy(F.col("_headers").alias("_header")).agg(F.min("best").alias("best"))
+    return of_texts.select("_header", F.col("best.license").alias("license"), (-F.col("best.minus")).alias("cosine"))
 
 
 def directory(path: Column) -> Column:
@@ -185,7 +189,7 @@ def scan(
     ``origin`` is ``file`` for a license file (license lines hold ``file_share`` of its words, or its name begins with
     license, licence, copying or unlicense), ``header`` for another file with a notice of its own, ``directory`` for one
     that inherits, with that directory in ``inherited_from``, else ``none`` with a null license. ``cosine`` is that of the
-    file's own notice to its best template, null without a notice. A null text is empty; a null path inherits nothing. Rows
+    file's surest notice to its best template, null without a notice. A null text is empty; a null path inherits nothing. Rows
     that repeat an id, or have none, each have their row; no rows give no rows.
     """
     spark = docs.sparkSession

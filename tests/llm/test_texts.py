@@ -307,6 +307,29 @@ def test_headers_and_inheritance(spark):
     assert not any(word in plan for word in ("Python", "Arrow", "Pandas"))
 
 
+def test_prose_elsewhere_does_not_dilute_a_notice(spark):
+    from pyspark.sql import functions as F
+
+    prose_lines = [
+        "he argued that copyright was a burden to all the singers of the valley",
+        "a licence to fish was sold at the harbour every winter morning",
+        "songs in the public domain were printed there on grey paper",
+    ]
+    far = "\n".join(f"{line}\nan ordinary line" for line in prose_lines)
+    texts = [
+        f"Released under the MIT License.\nan ordinary line\n{far}",
+        f"{far}\n\nReleased under the MIT License.",
+        "Copyright 2020 somebody\nReleased under the MIT License.",
+        far,
+    ]
+    docs = spark.createDataFrame([(i, t, f"d{i}/f") for i, t in enumerate(texts)], "doc_id long, text string, path string")
+    got = {r.doc_id: r for r in licenses.scan(docs, F.col("path")).collect()}
+    assert [got[i].license for i in range(4)] == ["MIT", "MIT", "MIT", None]
+    assert got[0].cosine == got[1].cosine == 1 > got[2].cosine
+    found = licenses.headers(docs.select(F.col("doc_id").alias("_id"), F.col("path").alias("_path"), F.col("text").alias("_text")))
+    assert {r._id: len(r._header.split("\n\n")) for r in found.collect()} == {0: 4, 1: 4, 2: 1, 3: 3}
+
+
 def test_every_template_is_its_own_best(spark):
     from pyspark.sql import functions as F
 
