@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiscore.llm import ann, decontaminate, licenses, line_dedup, ngram_join, pii, secrets, sentence_pieces, token_counts, toxicity
+from lexiscore.llm import (
+    ann,
+    decontaminate,
+    exact_dedup,
+    hard_negatives,
+    licenses,
+    line_dedup,
+    ngram_join,
+    pii,
+    secrets,
+    sentence_pieces,
+    token_counts,
+    toxicity,
+    whitening,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -232,3 +246,53 @@ SELECT doc_id, j.dir || '/' || doc_id || '.txt' AS path, coalesce(j.license, n.l
        CASE WHEN j.license IS NULL THEN n.above END AS inherited_from, round(cosine, 6) AS cosine
 FROM judged j LEFT JOIN nearest n USING (dir)
 """
+
+
+@query
+def op11_hard_negatives(spark, d):
+    label = F.col("label").cast("long")
+    moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives.mine(table(spark, d, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+ORACLES["op11_hard_negatives"] = """
+WITH part AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda c: floor(256 * CAST(c AS DOUBLE))) AS x
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), scores AS (
+    SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS alike, CAST(list_dot_product(a.x, b.x) AS BIGINT) AS score
+    FROM part a JOIN part b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+), positives AS (
+    SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scores WHERE alike
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+), ranked AS (
+    SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) AS INTEGER)
+           AS rank, other_id AS negative_id, positive_score, score AS negative_score
+    FROM positives JOIN scores USING (anchor_id)
+    WHERE NOT alike AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+)
+SELECT * FROM ranked WHERE rank <= 5
+"""
+
+
+@query
+def op12_embedding_whitening(spark, d):
+    rows = whitening.whitened_components(table(spark, d, "embeddings"))
+    return rows.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+@query
+def op13_exact_dedup(spark, d):
+    return exact_dedup.group_copies(table(spark, d, "documents"))
+
+
+ORACLES["op13_exact_dedup"] = """
+WITH plain AS (
+    SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+)
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept,
+       sha256(text) AS text_sha256
+FROM plain WINDOW same AS (PARTITION BY text)
+"""
