@@ -1,13 +1,14 @@
 r"""SQL for another engine (DuckDB) that computes the same results by other means.
 
-Tokens come from a chain of replacements instead of one pattern, language from a join with the profiles, copies go before
+Tokens come from a chain of replacements instead of one pattern, language from a join with a table of letter runs, copies go before
 scoring instead of after it, and stems from regular expressions over marked words.
 """
 
 from __future__ import annotations
 
 from lexiscore.catalog import fixtures as fx
-from lexiscore.config import CALENDAR_COLUMNS, GRANULARITIES, LANGUAGE_GRAMS, LANGUAGE_PROFILES, driver_groups
+from lexiscore.config import CALENDAR_COLUMNS, GRANULARITIES, LANGUAGE_PROFILES, LANGUAGE_SAMPLES, driver_groups
+from lexiscore.functions.language import UNSEEN
 from lexiscore.functions.timestamps import COMMON_PATTERNS
 
 ORACLES: dict[str, str] = {}
@@ -70,30 +71,39 @@ messy AS (
 _TRUE = "coalesce(lower(trim(retweet)) IN ('true', '1', 'yes'), false)"
 
 
+def _runs(keys: str, source: str, other: str = "'[^\\p{L}]'") -> str:
+    """A query of the runs of three characters around each letter of ``text``, all other characters being spaces."""
+    return f"""SELECT {keys}, a || b || c AS gram FROM (
+    SELECT {keys}, unnest(chars) AS a, unnest(chars[2:]) AS b, unnest(chars[3:]) AS c FROM (
+      SELECT {keys}, string_split(' ' || regexp_replace(lower(text), {other}, ' ', 'g') || ' ', '') AS chars FROM {source} WHERE text <> ''))
+    WHERE c IS NOT NULL AND b <> ' '"""
+
+
+def language_model(samples: str, model: str = "model") -> str:
+    """CTEs that end in ``model(language, gram, weight)`` for a relation ``samples(language, text)``."""
+    return f"""{model}_runs AS (SELECT language, gram, count(*) AS n FROM ({_runs("language", samples)}) GROUP BY ALL),
+{model} AS (SELECT * FROM (
+  SELECT language, gram, CAST(floor(ln(n * {float(UNSEEN)}::DOUBLE / sum(n) OVER (PARTITION BY language)) * 1000 + 0.5) AS INTEGER) AS weight
+  FROM {model}_runs) WHERE weight > 0)"""
+
+
+def language_scores(source: str, key: str, languages: str, model: str = "model") -> str:
+    """CTEs that end in ``lang_of(key, language, margin)``; ``languages(place, language)`` gives their order."""
+    return f"""letters AS (SELECT string_agg(DISTINCT letter, '') AS known FROM (
+  SELECT unnest(string_split(gram, '')) AS letter FROM {model}) WHERE letter <> ' '),
+spoken AS ({_runs(key, source + ", letters", "'[^' || known || ']'")}),
+lang_sums AS (SELECT {key}, language, sum(weight) AS score FROM spoken JOIN {model} USING (gram) GROUP BY ALL),
+judged AS (SELECT {key}, language, score, row_number() OVER (PARTITION BY {key} ORDER BY score DESC, place) AS nth
+  FROM lang_sums JOIN {languages} USING (language)),
+lang_of AS (SELECT {key}, any_value(language) FILTER (nth = 1) AS language,
+  CAST(max(score) - coalesce(any_value(score) FILTER (nth = 2), 0) AS BIGINT) AS margin FROM judged GROUP BY {key})"""
+
+
 def language(source: str, key: str) -> str:
-    """CTEs that end in ``lang_of(key, language)`` for each row of ``source``."""
-    profile = _values([(lang, w) for lang, ws in LANGUAGE_PROFILES.items() for w in ws])
-    spoken_in = _values([(lang,) for lang in LANGUAGE_PROFILES])
-    arms = " ".join(
-        f"WHEN '{lang}' THEN len(regexp_extract_all(lower(text), '{'|'.join(own)}'))" for lang, own in LANGUAGE_GRAMS.items()
-    )
-    return f"""profile(language, word) AS (VALUES {profile}),
-spoken AS (SELECT {key}, unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}]+')) AS word FROM {source}),
-votes AS (SELECT {key}, language, count(*) AS n FROM spoken JOIN profile USING (word) GROUP BY ALL),
-most AS (SELECT {key}, max(n) AS n FROM votes GROUP BY {key}),
-tied AS (
-  SELECT {key}, language, true AS said FROM votes JOIN most USING ({key}, n)
-  UNION ALL
-  SELECT {key}, language, false FROM {source} CROSS JOIN (VALUES {spoken_in}) v(language)
-  WHERE {key} NOT IN (SELECT {key} FROM most)),
-single AS (SELECT {key}, max(language) AS language FROM tied GROUP BY {key} HAVING count(*) = 1),
-runs AS (
-  SELECT {key}, t.language, t.said, CASE t.language {arms} END AS n FROM tied t JOIN {source} USING ({key})
-  WHERE {key} NOT IN (SELECT {key} FROM single)),
-lang_of AS (
-  SELECT {key}, language FROM single
-  UNION ALL
-  SELECT {key}, coalesce(arg_max(language, (n, language)) FILTER (n > 0), max(language) FILTER (said)) FROM runs GROUP BY {key})"""
+    """CTEs that end in ``lang_of(key, language, margin)`` for each row of ``source``, by the model that is the default."""
+    samples = [(i, lang, f"{' '.join(LANGUAGE_PROFILES[lang])} {text}") for i, (lang, text) in enumerate(LANGUAGE_SAMPLES.items())]
+    return f"""samples(place, language, text) AS (VALUES {_values(samples)}),
+{language_model("samples")}, {language_scores(source, key, "samples")}"""
 
 
 # Rows that may be scored, in one language and without copies.
@@ -273,6 +283,13 @@ SELECT ord, tweet_id, created_at, term, frequency FROM term_bag"""
 ORACLES["clean_texts"] = f"""WITH {CLEAN} SELECT ord, tweet_id, created_at, lower(coalesce(text, '')) AS text FROM clean"""
 ORACLES["detect_language"] = f"""WITH {language("documents", "doc_id")}
 SELECT doc_id, language FROM documents LEFT JOIN lang_of USING (doc_id)"""
+_LABELLED = "labelled AS (SELECT lang AS language, text FROM documents), places AS (SELECT DISTINCT language, language AS place FROM labelled)"
+ORACLES["train_language_model"] = f"""WITH {_LABELLED}, {language_model("labelled")}
+SELECT language AS lang, gram, weight FROM model"""
+ORACLES["language_margins"] = f"""WITH {_LABELLED}, {language_model("labelled")},
+said AS (SELECT row_number() OVER () AS nth_row, conv_id, turn, role, text FROM conversations),
+{language_scores("said", "nth_row", "places")}
+SELECT conv_id, turn, role, language, coalesce(margin, 0) AS margin FROM said LEFT JOIN lang_of USING (nth_row)"""
 ORACLES["filter_language"] = f"""WITH {MESSY}, {language("messy", "ord")}
 SELECT m.* REPLACE (false AS retweet) FROM messy m JOIN lang_of USING (ord) WHERE language = 'fr' AND NOT {_TRUE}"""
 

@@ -11,8 +11,8 @@ from pyspark.sql import types as T
 
 from lexiscore.catalog import fixtures as fx
 from lexiscore.config import GRANULARITIES
+from lexiscore.functions import language as lang
 from lexiscore.functions import timestamps as ts
-from lexiscore.functions.language import detect_language as language_of
 from lexiscore.functions.stemming import stem_joined
 from lexiscore.functions.tokens import tokens
 from lexiscore.operators import lexicons, scoring, series, standardise, terms
@@ -245,7 +245,21 @@ def clean_texts(spark, d):
 
 @query
 def detect_language(spark, d):
-    return fx.table(spark, d, "documents").select("doc_id", language_of(F.col("text")).alias("language"))
+    return fx.table(spark, d, "documents").select("doc_id", lang.detect_language(F.col("text")).alias("language"))
+
+
+@query
+def train_language_model(spark, d):
+    return lang.train_language_model(fx.table(spark, d, "documents"))
+
+
+@query
+def language_margins(spark, d):
+    """Each turn of talk, judged by a model that is learnt from another table."""
+    model = lang.load_language_model(train_language_model(spark, d))
+    judged = lang.score_languages(F.col("text"), model).alias("judged")
+    turns = fx.table(spark, d, "conversations").select("conv_id", "turn", "role", judged)
+    return turns.select("conv_id", "turn", "role", "judged.language", "judged.margin")
 
 
 @query

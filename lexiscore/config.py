@@ -49,21 +49,77 @@ LANGUAGE_PROFILES = {
     "tr": """ve bir bu da de için çok ne ben sen o ile ama mi değil daha gibi var yok kadar en her şey benim hiç iyi""".split(),
     "fi": """ja on ei se että oli olen minä sinä hän mutta kun niin ovat tämä kuin myös en ole mitä hyvin aina koskaan vain nyt""".split(),
 }
-# Runs of letters that are frequent in each language; they decide between languages whose words tie, and where no word of a
-# profile occurs.
-LANGUAGE_GRAMS = {
-    "en": "th ing wh ght ough tion ly ea oo ck sh ow".split(),
-    "fr": "eau eux aux ez ai oi que ê ç è œ ou ion".split(),
-    "es": "ción ñ ll ando ado os rr ue ó í ía ar".split(),
-    "de": "sch ch ung keit heit ei ie tz ß ä ö ü".split(),
-    "nl": "ij aa oo ee sch uu cht ge oe ui eu en".split(),
-    "it": "zione gli cch zz ss tt are ere ato gn ia sc".split(),
-    "pt": "ção ões ã õ nh lh ç ê ei ou ar ia".split(),
-    "sv": "å ä ö sk tt ll ck ör är ning het och".split(),
-    "da": "å ø æ sk et de ge nd ld ng hed ig".split(),
-    "pl": "sz cz rz ł ż ś ą ę ie dz ow ny".split(),
-    "tr": "ı ş ğ lar ler mak mek yor dır iy ü ç".split(),
-    "fi": "aa ää ll tt uu ii yy kk ssa stä nen isi".split(),
+# What a language model learns from where no labelled table is given: everyday talk as posts have it, besides the profiles.
+LANGUAGE_SAMPLES = {
+    "en": """terrible service, worst delivery ever. broken screen again, bad app, it crashes every time. good phone, great price,
+        love this brand. nice shoes, awesome quality, best customer support. new update is out today, restock tomorrow. wow, ok,
+        lol, super cool, thanks, please help, yes, no, hello, sorry, why, what, when, where. happy with my order, cheap and
+        useless, waste of money, would buy again. innovative design, exciting news, friendly staff, really trust them. fast
+        shipping, slow website, long queue, rude driver, free coffee, fresh food. the battery dies after an hour, my laptop will
+        not charge, sound is too loud. anyone else having issues with this? cannot wait for the weekend, watching the game tonight.
+        big sale, full price, half off, sold out, limited offer, check it out. this is amazing, so beautiful, pretty ugly, kind of
+        boring, absolutely perfect, highly recommended, not worth it. flight delayed, lost bags, no refund, still waiting for a
+        reply. air max sneakers, iphone pro, samsung galaxy, tesla, netflix, amazon, starbucks, walmart, mcdonalds, pixel, watch.
+        people should know how the company treats its workers. environment, sustainable, social, responsible, community, personal
+        relationship, honest, reliable, expensive, overpriced, affordable, value, quality, stylish, modern, trendy, old fashioned.
+        keep up the good work, well done, shame on you, do better, stay away, first time here, last chance, right now, every day.
+        delicious meal, tasty pizza, cold drinks, clean room, dirty hotel, leather jacket, blue jeans, running shirt, cool hat,
+        smooth ride, rough road, funny movie, live music, loud party, kids, family, friends, school, house, garden, money, bank,
+        card, account, password, login error, email, phone call, email us, download, upload, screen, keyboard, camera, picture""",
+    "fr": """service très lent et vendeur désagréable. livraison en retard, encore une fois. écran cassé, je suis déçu. téléphone de
+        bonne qualité, prix correct, j'adore cette marque. les chaussures sont belles et confortables. merci beaucoup, bonjour,
+        s'il vous plaît, quelle honte, c'est nul, trop cher pour ce que c'est. nouvelle mise à jour aujourd'hui, ça marche bien.
+        je ne recommande pas, jamais plus chez eux, remboursement refusé. magnifique, génial, superbe, dommage, mauvais accueil,
+        personnel aimable, nourriture fraîche, voiture neuve, entreprise responsable, produits chers, meilleure idée, toujours
+        pareil, vraiment déçue, le train était plein, on attend depuis une heure, aucune réponse du service client""",
+    "es": """muy mal servicio, el peor envío de todos. pantalla rota otra vez, la aplicación no funciona. buen teléfono, gran precio,
+        me encanta esta marca. zapatos bonitos, calidad excelente, atención al cliente. gracias, hola, por favor, qué vergüenza,
+        demasiado caro, tirar el dinero. nueva actualización hoy, mañana llega el pedido. no lo recomiendo, nunca más vuelvo,
+        llevo una hora esperando respuesta. hermoso, increíble, barato, rápido, lento, feo, aburrido, perfecto, comida fresca,
+        coche nuevo, empresa responsable, amable, confianza, los mejores productos, siempre igual, ya está aquí""",
+    "de": """schlechter kundendienst, die schlechteste lieferung überhaupt. bildschirm kaputt, die app stürzt ständig ab. gutes handy,
+        toller preis, ich liebe diese marke. schöne schuhe, ausgezeichnete qualität, freundliche bedienung. danke, bitte, hallo,
+        schade, wie peinlich, viel zu teuer, geldverschwendung. neues update heute, morgen kommt die bestellung. nicht zu
+        empfehlen, nie wieder dort, seit einer stunde keine antwort. wunderschön, großartig, billig, schnell, langsam, hässlich,
+        langweilig, perfekt, frisches essen, neues auto, verantwortung, vertrauen, unternehmen, zug wieder verspätet, kein geld zurück""",
+    "nl": """slechte klantenservice, de slechtste levering ooit. scherm kapot, de app werkt niet. goede telefoon, mooie prijs, ik hou
+        van dit merk. leuke schoenen, uitstekende kwaliteit, vriendelijk personeel. bedankt, alsjeblieft, hallo, jammer, wat een
+        schande, veel te duur, zonde van het geld. nieuwe versie vandaag, morgen komt de bestelling. niet aan te raden, nooit meer
+        terug, al een uur geen antwoord. prachtig, geweldig, goedkoop, snel, langzaam, lelijk, saai, vers eten, nieuwe auto,
+        bedrijf, vertrouwen, de trein was weer te laat, ze zijn altijd hetzelfde""",
+    "it": """pessimo servizio, la peggiore consegna di sempre. schermo rotto, l'applicazione non funziona. buon telefono, ottimo
+        prezzo, adoro questa marca. belle scarpe, qualità eccellente, personale gentile. grazie, per favore, ciao, peccato, che
+        vergogna, troppo caro, soldi buttati. nuovo aggiornamento oggi, domani arriva l'ordine. non lo consiglio, mai più, aspetto
+        da un'ora una risposta. bellissimo, incredibile, economico, veloce, lento, brutto, noioso, perfetto, cibo fresco, macchina
+        nuova, azienda responsabile, fiducia, i migliori prodotti, sempre uguale, non mi piace per niente""",
+    "pt": """péssimo serviço, a pior entrega de todas. tela quebrada, o aplicativo não funciona. bom telefone, ótimo preço, adoro
+        esta marca. sapatos bonitos, qualidade excelente, atendimento ao cliente. obrigado, obrigada, olá, por favor, que vergonha,
+        muito caro, dinheiro jogado fora. nova atualização hoje, amanhã chega o pedido. não recomendo, nunca mais volto, estou
+        esperando resposta há uma hora. lindo, incrível, barato, rápido, devagar, feio, chato, perfeito, comida fresca, carro novo,
+        empresa responsável, confiança, os melhores produtos, sempre igual, já está aqui""",
+    "sv": """dålig kundtjänst, den sämsta leveransen någonsin. trasig skärm, appen fungerar inte. bra telefon, schysst pris, jag
+        älskar det här märket. snygga skor, utmärkt kvalitet, trevlig personal. tack, snälla, hej, synd, vilken skam, alldeles för
+        dyrt, slöseri med pengar. ny uppdatering idag, beställningen kommer imorgon. rekommenderas inte, aldrig igen, väntat en timme
+        på svar. vacker, fantastisk, billig, snabb, långsam, ful, tråkig, färsk mat, ny bil, företag, förtroende, de bästa varorna,
+        jag är inte nöjd med det, tåget var försenat""",
+    "da": """dårlig kundeservice, den værste levering nogensinde. skærmen er i stykker, appen virker ikke. god telefon, fin pris, jeg
+        elsker dette mærke. flotte sko, fremragende kvalitet, venligt personale. tak, venligst, hej, ærgerligt, hvilken skam, alt for
+        dyrt, spild af penge. ny opdatering i dag, bestillingen kommer i morgen. kan ikke anbefales, aldrig mere, ventet en time på
+        svar. smuk, fantastisk, billig, hurtig, langsom, grim, kedelig, frisk mad, ny bil, virksomhed, tillid, de bedste varer, jeg er
+        ikke glad for det, toget var forsinket, hvad sker der""",
+    "pl": """fatalna obsługa, najgorsza dostawa w życiu. zepsuty ekran, aplikacja nie działa. dobry telefon, świetna cena, kocham tę
+        markę. ładne buty, doskonała jakość, miła obsługa klienta. dziękuję, proszę, cześć, szkoda, co za wstyd, za drogo,
+        strata pieniędzy. nowa aktualizacja dzisiaj, jutro przyjdzie zamówienie. nie polecam, nigdy więcej, czekam godzinę na
+        odpowiedź. piękny, niesamowity, tani, szybki, wolny, brzydki, nudny, świeże jedzenie, nowy samochód, firma,
+        zaufanie, najlepsze produkty, zawsze to samo, jest bardzo dobre""",
+    "tr": """berbat hizmet, şimdiye kadarki en kötü teslimat. ekran kırık, uygulama çalışmıyor. güzel telefon, harika fiyat, bu markayı
+        seviyorum. ayakkabılar çok şık, kaliteli ürün, müşteri hizmetleri. teşekkürler, lütfen, merhaba, yazık, ne ayıp, çok pahalı,
+        para israfı. bugün yeni güncelleme, yarın sipariş geliyor. tavsiye etmiyorum, bir daha asla, bir saattir cevap bekliyorum.
+        muhteşem, inanılmaz, ucuz, hızlı, yavaş, çirkin, sıkıcı, taze yemek, yeni araba, şirket, güven, en iyi ürünler, hep aynı""",
+    "fi": """surkea palvelu, huonoin toimitus ikinä. näyttö rikki, sovellus ei toimi. hyvä puhelin, loistava hinta, rakastan tätä merkkiä.
+        kauniit kengät, erinomainen laatu, ystävällinen henkilökunta. kiitos, ole hyvä, hei, harmi, mikä häpeä, aivan liian kallis,
+        rahan tuhlausta. uusi päivitys tänään, huomenna tilaus saapuu. en suosittele, en koskaan enää, odotin tunnin vastausta.
+        upea, uskomaton, halpa, nopea, hidas, ruma, tylsä, tuore ruoka, uusi auto, yritys, luottamus, parhaat tuotteet, aina sama""",
 }
 
 

@@ -6,7 +6,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiscore.functions.language import detect_language
+from lexiscore.functions.language import LanguageModel, detect_language
 from lexiscore.functions.stemming import stem
 from lexiscore.operators.lexicons import check_lexicon, merge_lexicons, score_columns
 from lexiscore.operators.scoring import reattach as reattach_sums
@@ -18,20 +18,20 @@ from lexiscore.session import written
 from lexiscore.sources.readers import with_order
 
 
-def candidates(posts: DataFrame, lang: str | None = "en", profiles: dict[str, list[str]] | None = None) -> DataFrame:
+def candidates(posts: DataFrame, lang: str | None = "en", model: LanguageModel | None = None) -> DataFrame:
     """Posts that may be scored: no reposts, one language. Copies are still there."""
     kept = ensure_text_and_id(drop_reposts(posts))
     if lang is None:
         return kept
-    return kept.where(detect_language(F.col("text"), profiles) == lang)
+    return kept.where(detect_language(F.col("text"), model) == lang)
 
 
-def clean_posts(posts: DataFrame, lang: str | None = "en", profiles: dict[str, list[str]] | None = None) -> DataFrame:
+def clean_posts(posts: DataFrame, lang: str | None = "en", model: LanguageModel | None = None) -> DataFrame:
     """Posts that are scored: no reposts, no copies, one language.
 
     Copies share their text and so their language, hence the filter, which needs no shuffle, goes first.
     """
-    return dedupe_keep_first(candidates(posts, lang, profiles))
+    return dedupe_keep_first(candidates(posts, lang, model))
 
 
 def clean_texts(posts: DataFrame, lang: str | None = "en") -> DataFrame:
@@ -74,7 +74,7 @@ def score_posts(
     lexicon: DataFrame,
     *,
     lang: str | None = "en",
-    profiles: dict[str, list[str]] | None = None,
+    model: LanguageModel | None = None,
     extra_lexicon: DataFrame | None = None,
     extra_driver: str | None = None,
     match_on: str = "surface",
@@ -95,7 +95,7 @@ def score_posts(
     if extra_lexicon is not None:
         # Its size is checked, its terms and its weights are read: three times the merge, were it not written down.
         lexicon = written(merge_lexicons(lexicon, check_lexicon(extra_lexicon)), "merged-lexicon")
-    rows = candidates(posts, lang, profiles)
+    rows = candidates(posts, lang, model)
     if match_on == "stem":
         lexicon = surface_lexicon(rows, lexicon)
     sums = score_texts(rows, lexicon, small)

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexiscore.catalog import oracle
+from lexiscore.functions import language
 from lexiscore.functions.language import detect_language
 from lexiscore.functions.stemming import STEP_2, STEP_3, STEP_4, stem, stem_joined, stem_word
 from lexiscore.functions.tokens import tokens
@@ -127,3 +128,61 @@ def test_short_posts_have_a_language(spark):
     df = spark.createDataFrame(SHORT_POSTS, "want string, text string")
     rows = df.select("want", "text", detect_language(F.col("text")).alias("got")).collect()
     assert [(r.text, r.got) for r in rows] == [(r.text, r.want) for r in rows]
+
+
+# English posts of one to five words; some of their words are in the samples that the model learns from, most are not.
+ENGLISH_POSTS = """Terrible service|good|broken screen|worst delivery|Nike Air Max restock today|wow|OK|lol|bad app|innovative|iPhone 15 Pro
+|awful coffee|new store opening|nice|cheap flights|so happy right now|battery died|refund please|too expensive|my order arrived broken
+|never again|shipping was quick|love it|hate this update|friendly driver|ugly shoes|customer support rocks|why so slow|price hike again
+|eco friendly packaging|loud engine|game night|trusted brand|soft fabric|poor quality|can't log in|stock is up|garbage|yes!|thank you
+|limited edition sneakers|reliable car|sounds great|what a mess|worth every penny|they ignored me|long wait times|finally fixed""".replace("\n", "")
+
+
+def test_english_posts_of_few_words(spark):
+    posts = ENGLISH_POSTS.split("|")
+    rows = spark.createDataFrame([(p,) for p in posts], "text string").select("text", detect_language(F.col("text")).alias("got")).collect()
+    wrong = [(r.text, r.got) for r in rows if r.got != "en"]
+    assert len(posts) >= 40 and not wrong
+
+
+def plain_judgement(text, model):
+    """Sum of weights over the runs of one text, one run at a time."""
+    letters = "".join(c if c in model.letters else " " for c in (text or "").lower())
+    padded = f" {letters} "
+    at = {g: i for i, g in enumerate(model.grams)}
+    scores = [0] * len(model.languages)
+    for i in range(len(padded) - 2):
+        if padded[i + 1] != " " and padded[i : i + 3] in at:
+            scores = [s + int(w) for s, w in zip(scores, model.weights[at[padded[i : i + 3]]])]
+    best = max(range(len(scores)), key=lambda j: (scores[j], -j))
+    second = max([s for j, s in enumerate(scores) if j != best], default=0)
+    return (model.languages[best], scores[best] - second) if scores[best] else (None, 0)
+
+
+def test_language_scores_against_a_plain_version(spark, monkeypatch):
+    model = language.default_language_model(spark)
+    rng = random.Random(4)
+    words = " ".join(text for _, text in SHORT_POSTS if text).split() + ["漢字", "😀", "x", "İ", "1st", "don't", "\n", "–"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.choice([0, 1, 2, 9, 700]))) for _ in range(150)]
+    texts += [None, "", " ", "a", "straße ÉTÉ", "\ud83d\ude00".encode("utf-16", "surrogatepass").decode("utf-16"), "the " * 3000]
+    want = [plain_judgement(t, model) for t in texts]
+    judged = [(t or "").lower() for t in texts]
+    for size in (1 << 20, 50):
+        monkeypatch.setattr(language, "_SLICE", size)
+        scores = language._Scorer(model).scores(judged)
+        for row, (lang, margin) in zip(scores.tolist(), want):
+            best = row.index(max(row))
+            assert (model.languages[best] if row[best] else None) == lang and row[best] - max(row[:best] + row[best + 1 :]) == margin
+    got = spark.createDataFrame([(t,) for t in texts], "text string").select(language.score_languages(F.col("text")).alias("s")).collect()
+    assert [(r.s.language, r.s.margin) for r in got] == want
+
+
+def test_margin_and_trained_model(spark):
+    samples = [("xx", "abba abba cab"), ("yy", "dada deed a"), ("yy", None), (None, "abba")]
+    table = language.train_language_model(spark.createDataFrame(samples, "lang string, text string"))
+    assert {r.lang for r in table.collect()} == {"xx", "yy"}
+    assert table.where("lang = 'yy' and gram = 'dee'").count() == 1 and language.train_language_model(table.select("lang", table.gram.alias("text")), 3).select("gram").distinct().count() == 3
+    model = language.load_language_model(table)
+    df = spark.createDataFrame([("Abba!",), ("deed",), ("zzz",), ("a",)], "text string")
+    assert [r[0] for r in df.select(detect_language(F.col("text"), model)).collect()] == ["xx", "yy", None, "yy"]
+    assert [r[0] for r in df.select(detect_language(F.col("text"), model, 10**9)).collect()] == [None] * 4
