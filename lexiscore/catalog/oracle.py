@@ -210,6 +210,10 @@ ORACLES["first_n_large"] = """WITH keyed AS (SELECT l_orderkey, l_linenumber, l_
   CASE WHEN l_orderkey % 7 <> 0 THEN CAST(l_quantity AS BIGINT) END AS quantity FROM lineitem)
 SELECT quantity, l_orderkey, l_linenumber, l_returnflag FROM keyed
 ORDER BY quantity NULLS LAST, l_orderkey, l_linenumber LIMIT (SELECT count(*) // 3 FROM lineitem)"""
+ORACLES["first_n_by_price"] = """SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 5 <> 0 THEN l_extendedprice END AS l_extendedprice
+FROM lineitem ORDER BY 3 NULLS LAST, 1, 2 LIMIT (SELECT count(*) // 2 FROM lineitem)"""
+ORACLES["first_n_by_time"] = """SELECT o_orderkey, o_orderdate, o_orderpriority FROM orders
+ORDER BY o_orderdate, o_orderpriority, o_orderkey LIMIT (SELECT count(*) // 4 FROM orders)"""
 ORACLES["first_n"] = f"WITH {MESSY} SELECT * FROM messy ORDER BY ord LIMIT 300"
 
 # Time

@@ -74,6 +74,21 @@ def first_n_large(spark, d):
     return standardise.first_n(keyed, items.count() // 3, "quantity", ties=("l_orderkey", "l_linenumber"))
 
 
+@query
+def first_n_by_price(spark, d):
+    """Half of a table, by fractions some of which are missing."""
+    items = fx.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    priced = items.withColumn("l_extendedprice", F.when(F.col("l_orderkey") % 5 != 0, F.col("l_extendedprice")))
+    return standardise.first_n(priced, items.count() // 2, "l_extendedprice", ties=("l_orderkey", "l_linenumber"))
+
+
+@query
+def first_n_by_time(spark, d):
+    """A quarter of a table, by times that repeat, then by texts."""
+    orders = fx.table(spark, d, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
+    return standardise.first_n(orders, orders.count() // 4, "o_orderdate", ties=("o_orderpriority", "o_orderkey"))
+
+
 @query
 def first_n(spark, d):
     return standardise.first_n(fx.messy_posts(spark, d), 300)

@@ -19,13 +19,13 @@ from lexiscore.functions.timestamps import (
     parse_timestamp,
     to_local,
 )
+from lexiscore.operators.selection import nth_key, ordered_key
 from lexiscore.session import written
 
 # Values that decide the format of a column of times; callers may ask for the whole column.
 SAMPLE_ROWS = 20
 # Up to this many rows, "first n" is a top-n in one task; beyond, it is a filter. Both give the same rows.
 TOP_N_ROWS = 1000
-_RANGES = 4096
 
 
 def map_columns(df: DataFrame, tweet_id: str, created_at: str, text: str) -> DataFrame:
@@ -49,61 +49,31 @@ def preview(df: DataFrame, n: int = 5, order_col: str = "ord") -> DataFrame:
     return first_n(df, n, order_col).select(*[c for c in PREVIEW_COLUMNS if c in df.columns])
 
 
-def _nth(keys: DataFrame, column: str, n: int) -> tuple[int | None, int]:
-    """The n-th smallest value of a whole-number column, and which of the rows with that value is the n-th.
-
-    Found from counts per value range, a few thousand ranges at a time. None if fewer than ``n`` rows have a value; then
-    how many rows without one are needed.
-    """
-    value = F.col(column)
-    low, high, total = keys.agg(F.min(value), F.max(value), F.count(value)).first()
-    if total < n:
-        return None, n - total
-    while high > low:
-        width = (high - low) // _RANGES + 1
-        within = F.floor((value.cast("decimal(20,0)") - low) / width).cast("bigint")
-        counts = keys.where(value.between(low, high)).groupBy(within.alias("r")).count().orderBy("r").collect()
-        for r, count in counts:
-            if n <= count:
-                low, high = low + r * width, min(high, low + (r + 1) * width - 1)
-                break
-            n -= count
-    return low, n
-
-
 def first_n(df: DataFrame, n: int = 1000, order_col: str = "ord", ties: tuple[str, ...] = ()) -> DataFrame:
-    """Exactly the first ``n`` rows by a whole-number column (all, if there are fewer).
+    """Exactly the first ``n`` rows by a column of any type that has an order (all, if there are fewer).
 
-    Rows without an order value come last. Rows of equal order go by the whole-number columns ``ties``, then by a hash of
-    their content, so the choice does not depend on the layout of the table. The rule is the same for any ``n``: up to
-    ``TOP_N_ROWS`` it is a top-n, whose rows one task may hold; beyond, the last key that belongs to the result is looked
-    up in a table of keys alone, and a filter keeps the rows up to it where they are.
+    Rows without an order value come last. Rows of equal order go by the columns ``ties``, then by a hash of their content, so
+    the choice does not depend on the layout of the table. The rule is the same for any ``n``: up to ``TOP_N_ROWS`` it is a
+    top-n, whose rows one task may hold; beyond, the last key that belongs to the result is looked up in a table of keys
+    alone, and a filter keeps the rows up to it where they are.
     """
-    by = [order_col, *ties]
-    content = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    key = ordered_key(df, [order_col, *ties])
     if n <= TOP_N_ROWS:
-        order = [*[F.col(f"`{c}`").asc_nulls_last() for c in by], F.col("_content")]
-        return df.withColumn("_content", content).orderBy(*order).limit(n).drop("_content")
-    named = [F.col(f"`{c}`").cast("bigint").alias(f"_k{i}") for i, c in enumerate(by)]
-    keys = written(df.select(*named, content.alias(f"_k{len(by)}")), "first-n")
+        return df.withColumn("_key", key).orderBy("_key").limit(n).drop("_key")
+    keys = written(df.select(key.alias("key")), "first-n")
     if keys.count() <= n:
         return df
-    kept, tied, wanted = F.lit(False), F.lit(True), n
-    for i, column in enumerate([*[F.col(f"`{c}`").cast("bigint") for c in by], content]):
-        value, wanted = _nth(keys, f"_k{i}", wanted)
-        # Comparisons with null are null, which counts as false here.
-        before, same = (column.isNotNull(), column.isNull()) if value is None else (column < value, column.eqNullSafe(value))
-        kept, tied = kept | (tied & F.coalesce(before, F.lit(False))), tied & same
-        key = F.col(f"_k{i}")
-        keys = keys.where(key.isNull() if value is None else key == value)
-    if keys.count() == wanted:
-        return df.where(kept | tied)
+    edge, wanted = nth_key(keys, n)
+    edge = edge.scalar()
+    if keys.where(F.col("key") == edge).count() == wanted:
+        return df.where(key <= edge)
     # Rows that tie to the end are copies of one another; the wanted number of them is made from their count.
-    copies = df.where(tied).groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count(F.lit(1)).alias("_copies"))
-    so_far = F.sum("_copies").over(Window.orderBy(*[F.col(f"`{c}`") for c in df.columns]))
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    copies = df.where(key == edge).groupBy(*columns).agg(F.count(F.lit(1)).alias("_copies"))
+    so_far = F.sum("_copies").over(Window.orderBy(*columns))
     take = F.least(F.col("_copies"), wanted - (so_far - F.col("_copies")))
     made = copies.withColumn("_take", take).where("_take > 0").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_take"))))
-    return df.where(kept).unionAll(made.select(*[F.col(f"`{c}`") for c in df.columns]))
+    return df.where(key < edge).unionAll(made.select(*columns))
 
 
 def coerce_repost_flag(df: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexiscore import session
 from lexiscore.functions import timestamps as ts
-from lexiscore.operators import standardise
+from lexiscore.operators import selection, standardise
 from lexiscore.plans.ingest import prepare_posts, prepare_with_report
 from lexiscore.sources import readers, writers
 
@@ -192,6 +192,42 @@ def test_first_n_is_the_same_rows_either_way(spark, monkeypatch):
     assert sorted(map(tuple, standardise.first_n(df, 900).collect())) == few
 
 
+ORDERS = {
+    "string": "concat('k', cast(id * 7919 % 1009 as string))",
+    "double": "case id % 11 when 0 then double('NaN') when 1 then -double('inf') when 2 then -0.0d when 3 then 0.0d else id * 7919 % 1009 / 8 end",
+    "decimal": "cast(id * 7919 % 1009 / 7 as decimal(20, 6))",
+    "time": "timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, id * 7919 % 1009 / 1000)",
+    "date": "date_add(date'2024-01-01', cast(id * 7919 % 1009 as int))",
+    "boolean": "id % 3 = 0",
+    "binary": "unhex(lpad(hex(id * 7919 % 1009), 4, '0'))",
+    "array": "array(id % 5, id % 7)",
+}
+
+
+@pytest.mark.parametrize("kind", ORDERS)
+def test_first_n_by_any_order(spark, monkeypatch, kind):
+    order = f"case when id % 13 <> 5 then {ORDERS[kind]} end"
+    df = spark.range(0, 3000, 1, 5).selectExpr(f"{order} AS ord", "id % 2 AS tie", "id % 250 AS id")
+    few = {n: sorted(map(str, standardise.first_n(df, n, ties=("tie",)).collect())) for n in ((1, 700, 1000) if kind == "double" else (700,))}
+    monkeypatch.setattr(standardise, "TOP_N_ROWS", 0)
+    monkeypatch.setattr(selection, "FEW", 200)
+    monkeypatch.setattr(selection, "PIVOTS", 16)
+    for n, want in few.items():
+        got = standardise.first_n(df, n, ties=("tie",))
+        assert sorted(map(str, got.collect())) == want and len(want) == n
+    with pytest.raises(ValueError, match="without an order"):
+        standardise.first_n(df.selectExpr("map(1, 2) AS ord"), 5)
+
+
+def test_first_n_where_most_rows_share_a_key(spark, monkeypatch):
+    monkeypatch.setattr(standardise, "TOP_N_ROWS", 0)
+    monkeypatch.setattr(selection, "FEW", 10)
+    values = ["m"] * 400 + [f"a{i}" for i in range(30)] + [f"z{i}" for i in range(30)]
+    df = spark.createDataFrame([(v,) for v in values], "ord string").repartition(4)
+    for n in (20, 30, 31, 430, 431, 459):
+        assert sorted(r.ord for r in standardise.first_n(df, n).collect()) == sorted(values)[:n]
+
+
 def test_flags_of_numbers_in_a_csv(spark, tmp_path):
     (tmp_path / "posts.csv").write_text("tweet_id,created_at,text,retweet\n1,2024-01-01,a,1.0\n2,2024-01-01,b,0.0\n3,2024-01-01,c,\n4,2024-01-01,d,2\n")
     raw = readers.read_posts_csv(spark, str(tmp_path / "posts.csv"))
