@@ -423,6 +423,12 @@ SELECT {_rounded(_ROUND_POST)} FROM scored"""
 ORACLES["score_posts_extra_driver"] = f"""WITH {EXTRA_SCORED}
 SELECT {_rounded([*_ROUND_POST, "safety_Driver"])} FROM scored"""
 
+ORACLES["score_posts_bucketed"] = ORACLES["score_posts"]
+_sides = {end: " + ".join(c for c in fx.SCORE_COLUMNS if c.endswith(end)) for end in ("_pos", "_neg")}
+ORACLES["index_two_lexicons"] = f"""WITH {SUMS}, {VOCABULARY}, {weighted_sums("vocabulary_lexicon", ["cool_pos", "cool_neg"], "big_sums")}
+SELECT 'hand-made' AS lexicon, tweet_id, CAST({_sides["_pos"]} AS BIGINT) AS pos, CAST({_sides["_neg"]} AS BIGINT) AS neg FROM sums
+UNION ALL SELECT 'vocabulary', tweet_id, cool_pos, cool_neg FROM big_sums"""
+
 # Series
 
 for _name, _keys in {

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,6 +16,7 @@ from lexiscore.functions import timestamps as ts
 from lexiscore.functions.stemming import stem_joined
 from lexiscore.functions.tokens import tokens
 from lexiscore.operators import lexicons, scoring, series, standardise, terms
+from lexiscore.plans import index as ix
 from lexiscore.plans import reputation as plan
 from lexiscore.plans.ingest import prepare_posts as prepare
 from lexiscore.session import scratch_path, written
@@ -339,6 +340,28 @@ def post_sums_vocabulary_lexicon(spark, d):
     return scoring.score_texts(plan.candidates(fx.messy_posts(spark, d)), big, small=False)
 
 
+@query
+def index_two_lexicons(spark, d):
+    """Two lexicons, a broadcast and a shuffled one, on one index of the posts."""
+    index = ix.index_posts(fx.messy_posts(spark, d))
+    big = written(fx.vocabulary_lexicon(spark, d), "vocabulary-lexicon")
+    parts = []
+    for name, lexicon, small in (("hand-made", fx.lexicon(spark), None), ("vocabulary", big, False)):
+        sums = ix.indexed_sums(spark, index, lexicon, small)
+        sides = [reduce(Column.__add__, [F.col(c) for c in lexicons.score_columns(lexicon) if c.endswith(end)]) for end in ("_pos", "_neg")]
+        parts.append(sums.select(F.lit(name).alias("lexicon"), "tweet_id", sides[0].alias("pos"), sides[1].alias("neg")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query
+def score_posts_bucketed(spark, d):
+    """Posts and their sums, laid out by id."""
+    messy = fx.messy_posts(spark, d)
+    posts = ix.bucket_posts(messy)
+    sums = ix.bucket_sums(scoring.score_texts(plan.candidates(messy), fx.lexicon(spark)), posts)
+    return rounded(ix.reattach_bucketed(spark, posts, sums))
+
+
 # Scores
 
 
