@@ -439,6 +439,15 @@ for _name, _keys in {
     "series_pooled_month": ["month"],
 }.items():
     ORACLES[_name] = f"WITH {SCORED}, {series(_keys, fx.SCORE_COLUMNS)} SELECT * FROM final ORDER BY created_at"
+ORACLES["series_merged_state"] = ORACLES["series_weekly"]
+ORACLES["series_merged_moments"] = ORACLES["score_series_monthly"]
+# Each text of an id counts for itself, at its own time.
+_per_post = ", ".join(f"CAST(sum(frequency * {c}) AS BIGINT) AS {c}" for c in fx.SCORE_COLUMNS)
+_STREAMED = CLEAN.replace("CASE WHEN tweet_id % 11 = 0 THEN tweet_id - 1 ELSE tweet_id END AS tweet_id,", "tweet_id,")
+ORACLES["series_streamed"] = f"""WITH {_STREAMED}, {bag("clean", "ord")}, {LEXICON},
+post_sums AS (SELECT ord, {_per_post} FROM term_bag JOIN lexicon USING (term) GROUP BY ord),
+scored AS (SELECT c.tweet_id, c.created_at, {_CALENDAR_LIST}, p.* FROM post_sums p JOIN clean c USING (ord)),
+{series(GRANULARITIES["Weekly"], fx.SCORE_COLUMNS)} SELECT * FROM final ORDER BY created_at"""
 _sets = "GROUPING SETS (" + ", ".join(f"({', '.join(keys)})" for keys in GRANULARITIES.values()) + ")"
 ORACLES["series_all_levels"] = (
     f"WITH {SCORED}, {series(CALENDAR_COLUMNS, fx.SCORE_COLUMNS, sets=_sets)} SELECT * FROM final"

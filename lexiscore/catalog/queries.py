@@ -15,12 +15,13 @@ from lexiscore.functions import language as lang
 from lexiscore.functions import timestamps as ts
 from lexiscore.functions.stemming import stem_joined
 from lexiscore.functions.tokens import tokens
-from lexiscore.operators import lexicons, scoring, series, standardise, terms
+from lexiscore.operators import lexicons, scoring, series, standardise, state, terms
 from lexiscore.plans import index as ix
 from lexiscore.plans import reputation as plan
 from lexiscore.plans.ingest import prepare_posts as prepare
 from lexiscore.session import scratch_path, written
 from lexiscore.sources import readers, writers
+from lexiscore.streaming import scores as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -453,6 +454,45 @@ def series_shared(spark, d):
     return reduce(DataFrame.unionByName, parts)
 
 
+def _half_states(spark, d) -> list[DataFrame]:
+    scored = plan.score_posts(fx.messy_posts(spark, d), fx.lexicon(spark)).drop("text")
+    return [written(state.period_state(scored.where(F.col("ord") % 2 == half)), "period-state") for half in (0, 1)]
+
+
+@query
+def series_merged_state(spark, d):
+    """Two halves of the posts, each summed alone, then one series."""
+    return rounded(state.series_of_state(state.merge_states(*_half_states(spark, d)), "Weekly"))
+
+
+@query
+def series_merged_moments(spark, d):
+    """Months compared by moments that come from two sets of months."""
+    months = state.period_scores(state.merge_states(*_half_states(spark, d)), "Monthly")
+    months, cols = written(months, "months"), series.output_columns()
+    known = state.merge_moments(*[state.moments(months.where(F.col("month") % 2 == half), cols) for half in (0, 1)])
+    return rounded(state.z_scores_by_moments(months, cols, known))
+
+
+@query
+def series_streamed(spark, d):
+    """Posts in three deliveries, each taken up by the stream where the last left off, then a series of the finished days."""
+    posts = fx.messy_posts(spark, d).withColumn("tweet_id", F.col("ord") % 10_000_000)
+    inbox, days, checkpoint = (scratch_path(spark, name) for name in ("stream-inbox", "stream-days", "stream-checkpoint"))
+    late = posts.limit(1).select(
+        F.lit(-1).cast("bigint").alias("tweet_id"), F.lit("2100-01-01 00:00:00").cast("timestamp_ntz").alias("created_at"),
+        F.lit("this is the end of the day").alias("text"), F.lit("no").alias("retweet"), "source", F.lit(-1).cast("bigint").alias("ord"),
+    )
+    year = F.year("created_at")
+    # The last delivery, a post of a day that never ends, closes all days before it.
+    for part in (posts.where(year < 1994), posts.where(year.between(1994, 1995)), posts.where(year > 1995), late):
+        part.write.mode("append").parquet(inbox)
+        stream = spark.readStream.schema(part.schema).parquet(inbox)
+        query = streaming.start_daily_sums(streaming.daily_sums(stream, fx.lexicon(spark)), days, checkpoint, availableNow=True)
+        query.awaitTermination()
+    return rounded(state.series_of_state(streaming.state_of_days(spark, days), "Weekly"))
+
+
 @query
 def series_extra_driver(spark, d):
     return rounded(series.series(_extra_scored(spark, d), "Monthly", extra_driver="safety"))

@@ -25,7 +25,7 @@ def output_columns(extra_driver: str | None = None) -> list[str]:
     return [*cols, TOTAL]
 
 
-def _sides(df: DataFrame, extra_driver: str | None) -> list[str]:
+def score_sides(df: DataFrame, extra_driver: str | None) -> list[str]:
     cols = [f"{s}_{side}" for s in sub_drivers(extra_driver) for side in ("pos", "neg")]
     absent = [c for c in cols if c not in df.columns]
     if absent:
@@ -36,7 +36,7 @@ def _sides(df: DataFrame, extra_driver: str | None) -> list[str]:
 def period_sums(scored: DataFrame, granularity: str | list[str], extra_driver: str | None = None) -> DataFrame:
     """Posts, summed scores and the first time per period; posts without a time go."""
     gran = granularity_columns(granularity)
-    sides = _sides(scored, extra_driver)
+    sides = score_sides(scored, extra_driver)
     return (
         scored.dropna(subset=["created_at", *gran])
         .groupBy(*gran)
@@ -81,7 +81,7 @@ def series(scored: DataFrame, granularity: str | list[str] = "Weekly", extra_dri
 def series_all_levels(scored: DataFrame, extra_driver: str | None = None) -> DataFrame:
     """All granularities from one pass over the posts, told apart by ``granularity``."""
     cols = output_columns(extra_driver)
-    sides = _sides(scored, extra_driver)
+    sides = score_sides(scored, extra_driver)
     weeks = period_sums(scored, "Weekly", extra_driver)
     # A level is the list of calendar columns it keeps; the others become null.
     levels = F.explode(F.array(*[F.lit(name) for name in GRANULARITIES]))
