@@ -202,6 +202,8 @@ final AS (SELECT {shown}, created_at, total_tweets, {z} FROM measured WINDOW w A
 # Ingest
 
 ORACLES["ingest_csv_roundtrip"] = f"WITH {POSTS} SELECT * FROM posts"
+ORACLES["ingest_csv_inferred"] = f"""WITH {POSTS}
+SELECT *, CASE WHEN ord % 3 <> 0 THEN ord / 8 END AS share, CAST(NULL AS VARCHAR) AS none FROM posts"""
 ORACLES["map_columns"] = "SELECT conv_id AS tweet_id, turn AS created_at, role, text FROM conversations"
 ORACLES["missing_columns"] = """SELECT missing_column, count(*) AS n_posts FROM documents
   CROSS JOIN (VALUES ('tweet_id'), ('created_at')) v(missing_column) GROUP BY 1"""
@@ -230,6 +232,15 @@ _n = len(COMMON_PATTERNS) + 1
 MIXED = f"{TIMES}, mixed AS (SELECT tweet_id, CASE tweet_id % {_n} {_forms} ELSE 'n/a' END AS t FROM times)"
 _best = "coalesce(" + ", ".join(f"try_strptime(t, '{p}')" for p in COMMON_PATTERNS) + ")"
 ORACLES["parse_time_best_effort"] = f"WITH {MIXED} SELECT tweet_id, {_best} AS created_at FROM mixed"
+_two = r"'^\s*(\d{1,2})(?:/(\d{1,2})/|\.(\d{1,2})\.|-(\d{1,2})-)\d{4}(?:\D.*)?$'"
+_second = f"CAST(regexp_extract(t, {_two}, 2) || regexp_extract(t, {_two}, 3) || regexp_extract(t, {_two}, 4) AS INTEGER)"
+ORACLES["date_shapes"] = f"""WITH {MIXED},
+split AS (SELECT t, CAST(regexp_extract(t, {_two}, 1) AS INTEGER) AS a, {_second} AS b FROM mixed WHERE regexp_matches(t, {_two}))
+SELECT regexp_replace(t, '[0-9]', '9', 'g') AS shape, count(*) AS n_rows, count(*) FILTER (a > 12 AND b <= 12) AS n_day_first,
+       count(*) FILTER (b > 12 AND a <= 12) AS n_month_first FROM split GROUP BY 1"""
+ORACLES["parse_time_one_order"] = f"""WITH {TIMES}
+SELECT tweet_id, CASE WHEN tweet_id % 31 = 30 THEN NULL WHEN tweet_id % 2 = 0 THEN date_trunc('minute', moment)
+  ELSE date_trunc('day', moment) END AS created_at, CAST(NULL AS VARCHAR) AS fmt FROM times"""
 ORACLES["parse_ratio"] = f"""WITH {MIXED}
 SELECT round(avg(CASE WHEN {_best} IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END), 6) + 0.0 AS ok_ratio FROM mixed"""
 _LOCAL = "AT TIME ZONE 'UTC' AT TIME ZONE 'Europe/Paris'"
@@ -424,6 +435,7 @@ ORACLES["score_posts_extra_driver"] = f"""WITH {EXTRA_SCORED}
 SELECT {_rounded([*_ROUND_POST, "safety_Driver"])} FROM scored"""
 
 ORACLES["score_posts_bucketed"] = ORACLES["score_posts"]
+ORACLES["score_posts_stored"] = ORACLES["score_posts"]
 _sides = {end: " + ".join(c for c in fx.SCORE_COLUMNS if c.endswith(end)) for end in ("_pos", "_neg")}
 ORACLES["index_two_lexicons"] = f"""WITH {SUMS}, {VOCABULARY}, {weighted_sums("vocabulary_lexicon", ["cool_pos", "cool_neg"], "big_sums")}
 SELECT 'hand-made' AS lexicon, tweet_id, CAST({_sides["_pos"]} AS BIGINT) AS pos, CAST({_sides["_neg"]} AS BIGINT) AS neg FROM sums

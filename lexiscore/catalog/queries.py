@@ -19,6 +19,7 @@ from lexiscore.operators import lexicons, scoring, series, standardise, state, t
 from lexiscore.plans import index as ix
 from lexiscore.plans import reputation as plan
 from lexiscore.plans.ingest import prepare_posts as prepare
+from lexiscore.plans.store import stored
 from lexiscore.session import scratch_path, written
 from lexiscore.sources import readers, writers
 from lexiscore.streaming import scores as streaming
@@ -49,6 +50,15 @@ def ingest_csv_roundtrip(spark, d):
     return readers.read_posts_csv(spark, path, types, order_col="ord")
 
 
+@query
+def ingest_csv_inferred(spark, d):
+    """Types of all columns found from their cells."""
+    path = scratch_path(spark, "posts-csv")
+    posts = fx.posts(spark, d).withColumn("share", F.when(F.col("ord") % 3 != 0, F.col("ord") / 8)).withColumn("none", F.lit(None).cast("string"))
+    writers.write_csv(posts, path)
+    return readers.read_posts_csv(spark, path, order_col="ord")
+
+
 @query
 def map_columns(spark, d):
     conversations = fx.table(spark, d, "conversations").withColumn("tweet_id", F.lit("dropped"))
@@ -152,6 +162,24 @@ def parse_time_inferred(spark, d):
     return standardise.parse_created_at(texts, ts.INFERRED)
 
 
+@query
+def date_shapes(spark, d):
+    return standardise.date_shapes(_mixed_texts(spark, d))
+
+
+@query
+def parse_time_one_order(spark, d):
+    """Month first throughout; the earliest rows could be read either way, and later ones settle it for all."""
+    late = F.dayofmonth("at") > 12
+    texts = _time_texts(spark, d).select(
+        "tweet_id", (F.col("tweet_id") + F.when(late, 10_000_000).otherwise(0)).alias("ord"),
+        F.when(F.col("tweet_id") % 31 == 30, "n/a").when(F.col("tweet_id") % 2 == 0, _render(F.col("at"), "%m/%d/%Y %H:%M"))
+        .otherwise(_render(F.col("at"), "%m/%d/%Y")).alias("created_at"),
+    )
+    local, fmt = standardise.normalise_created_at(texts, zone="UTC")
+    return local.select("tweet_id", "created_at", F.lit(fmt).cast("string").alias("fmt"))
+
+
 @query
 def parse_ratio(spark, d):
     return rounded(standardise.parse_ratio(standardise.parse_created_at(_mixed_texts(spark, d))))
@@ -387,6 +415,15 @@ def score_posts_clean_reattach(spark, d):
     return rounded(plan.score_posts(fx.messy_posts(spark, d), fx.lexicon(spark), reattach="clean"))
 
 
+@query
+def score_posts_stored(spark, d):
+    """Scored posts that a second call finds again."""
+    root = scratch_path(spark, "store")
+    for _ in range(2):
+        found = stored(plan.score_posts, {"posts": fx.messy_posts(spark, d), "lexicon": fx.lexicon(spark)}, root, {"lang": "en"})
+    return rounded(found)
+
+
 def _extra_scored(spark, d) -> DataFrame:
     return plan.score_posts(
         fx.messy_posts(spark, d), fx.lexicon(spark), extra_lexicon=fx.extra_lexicon(spark), extra_driver="safety"

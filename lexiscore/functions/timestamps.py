@@ -99,18 +99,46 @@ def _assembled(year: Column, month: Column, day: Column, clock: Column, half: Co
     return F.timestamp_add("MINUTE", -shift, local)
 
 
-def parse_named_forms(text: Column) -> Column:
-    """Forms with month names, weekdays, AM and PM, dashes or dots with the day first, or digits alone; else null."""
+DAY_FIRST, MONTH_FIRST = "day", "month"
+# Two short numbers before a year: which of them is the month, only a number above 12 can tell.
+_TWO_ORDERS = r"^\s*(\d{1,2})([/.\-])(\d{1,2})\2(\d{4})(?:\D.*)?$"
+
+
+def digit_shape(text: Column) -> Column:
+    """The text with every digit as 9, for texts that may have the day or the month first; null for others."""
+    return F.when(text.rlike(_TWO_ORDERS), F.regexp_replace(text, r"\d", "9"))
+
+
+def order_evidence(text: Column) -> Column:
+    """What a text proves about its column: the day comes first, the month does, or null."""
+    first, second = (F.regexp_extract(text, _TWO_ORDERS, g).try_cast("int") for g in (1, 3))
+    return F.when((first > 12) & (second <= 12), DAY_FIRST).when((second > 12) & (first <= 12), MONTH_FIRST)
+
+
+def patterns_of(order: str | None) -> list[str]:
+    """The known patterns, without those of the other order."""
+    other = {DAY_FIRST: "%m/%d", MONTH_FIRST: "%d/%m"}.get(order)
+    return [p for p in COMMON_PATTERNS if other is None or not p.startswith(other)]
+
+
+def parse_named_forms(text: Column, order: str | None = None) -> Column:
+    """Forms with month names, weekdays, AM and PM, dashes or dots, or digits alone; else null.
+
+    By default the day is first with dashes or dots, and the month before AM and PM unless it is above 12; with ``order`` the
+    same one is first in all of them.
+    """
     low = F.lower(text)
     month_of = lambda part: F.coalesce(
         F.nullif(F.find_in_set(F.substring(part, 1, 3), F.lit(_MONTHS)), F.lit(0)).cast("string"), part
     )
     readings = []
     for regex, groups in _FORMS:
+        if order == MONTH_FIRST and groups[:3] == (3, 2, 1) and _MONTH not in regex:
+            groups = (3, 1, 2, *groups[3:])
         year, month, day, clock, half, offset = (F.regexp_extract(low, regex, g) for g in groups)
         readings.append(F.when(low.rlike(regex), _assembled(year, month_of(month), day, clock, half, offset)))
     first, second, year, clock, half, offset = (F.regexp_extract(low, _SLASHED, g) for g in range(1, 7))
-    swap = first.try_cast("int") > 12
+    swap = F.lit(order == DAY_FIRST) if order else first.try_cast("int") > 12
     month, day = F.when(swap, second).otherwise(first), F.when(swap, first).otherwise(second)
     readings.append(F.when(low.rlike(_SLASHED), _assembled(year, month, day, clock, half, offset)))
     year, month, day, h, m, s, _ = (F.regexp_extract(low, _COMPACT, g) for g in range(1, 8))
@@ -119,14 +147,14 @@ def parse_named_forms(text: Column) -> Column:
     return F.coalesce(*readings)
 
 
-def parse_inferred(text: Column) -> Column:
+def parse_inferred(text: Column, order: str | None = None) -> Column:
     """ISO forms, then the forms of ``parse_named_forms``."""
-    return F.coalesce(parse_iso(text), parse_named_forms(text))
+    return F.coalesce(parse_iso(text), parse_named_forms(text, order))
 
 
-def parse_best_effort(text: Column) -> Column:
-    """First reading that fits: ISO forms, the known patterns in order (day before month), then named forms."""
-    return F.coalesce(parse_iso(text), *[parse_pattern(text, p) for p in COMMON_PATTERNS], parse_named_forms(text))
+def parse_best_effort(text: Column, order: str | None = None) -> Column:
+    """First reading that fits: ISO forms, the known patterns in turn (those of ``order`` alone, if given), then named forms."""
+    return F.coalesce(parse_iso(text), *[parse_pattern(text, p) for p in patterns_of(order)], parse_named_forms(text, order))
 
 
 # Microseconds of a whole number in each unit; nanoseconds are cut.
@@ -142,15 +170,16 @@ def parse_epoch(number: Column, unit: str) -> Column:
     return F.timestamp_add("MICROSECOND", micros, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
 
 
-def parse_timestamp(text: Column, fmt: str | None) -> Column:
+def parse_timestamp(text: Column, fmt: str | None, order: str | None = None) -> Column:
     """``fmt`` is ``"inferred"``, ``"ISO8601"``, a strftime-style pattern, a Spark datetime pattern, or None for best effort.
 
-    A Spark pattern without a zone reads UTC wall-clock times, whatever the zone of the session.
+    A Spark pattern without a zone reads UTC wall-clock times, whatever the zone of the session. ``order`` (``"day"`` or
+    ``"month"`` first) holds for all rows of inferred and best-effort readings; None decides row by row.
     """
     if fmt is None:
-        return parse_best_effort(text)
+        return parse_best_effort(text, order)
     if fmt == INFERRED:
-        return parse_inferred(text)
+        return parse_inferred(text, order)
     if fmt == "ISO8601":
         return parse_iso(text)
     if "%" in fmt:

@@ -97,8 +97,9 @@ def series_all_levels(scored: DataFrame, extra_driver: str | None = None) -> Dat
 
 
 def plot_columns(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Chosen columns in time order."""
-    return df.orderBy("created_at").select(*[F.col(f"`{c}`") for c in (columns or [TOTAL])])
+    """Chosen columns in time order; by the calendar columns that there are where the table has no ``created_at``."""
+    by = ["created_at"] if "created_at" in df.columns else [c for c in CALENDAR_COLUMNS if c in df.columns]
+    return (df.orderBy(*by) if by else df).select(*[F.col(f"`{c}`") for c in (columns or [TOTAL])])
 
 
 def long_form(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -9,14 +9,18 @@ from pyspark.sql import types as T
 from lexiscore.config import LOCAL_ZONE, PREVIEW_COLUMNS, REQUIRED_COLUMNS
 from lexiscore.functions.flags import coerce_flag, looks_like_repost
 from lexiscore.functions.timestamps import (
-    COMMON_PATTERNS,
+    DAY_FIRST,
     INFERRED,
+    MONTH_FIRST,
     as_naive,
     calendar_parts,
+    digit_shape,
+    order_evidence,
     parse_epoch,
     parse_inferred,
     parse_pattern,
     parse_timestamp,
+    patterns_of,
     to_local,
 )
 from lexiscore.operators.selection import nth_key, ordered_key
@@ -114,26 +118,62 @@ def dedupe_keep_first(df: DataFrame, order_col: str = "ord") -> DataFrame:
     return ranked.where(F.col("_rank") == 1).drop("_rank", "_digest")
 
 
+def date_shapes(df: DataFrame, column: str = "created_at") -> DataFrame:
+    """``shape, n_rows, n_day_first, n_month_first``: the shapes of texts that two orders of day and month could read.
+
+    Rows that prove an order have a number above 12 where the other order has its month.
+    """
+    text = F.col(column).cast("string")
+    proof = order_evidence(text)
+    shaped = df.select(digit_shape(text).alias("shape"), proof.alias("proof")).where(F.col("shape").isNotNull())
+    return shaped.groupBy("shape").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(F.col("proof") == DAY_FIRST).alias("n_day_first"),
+        F.count_if(F.col("proof") == MONTH_FIRST).alias("n_month_first"),
+    )
+
+
+def date_order(df: DataFrame, column: str = "created_at", default: str = DAY_FIRST) -> str:
+    """Whether the day or the month comes first, one answer for the whole column.
+
+    Any row that proves an order settles it; where rows prove both, the order that more of them prove; without a proof the
+    ``default``. One row reaches the driver.
+    """
+    day, month = date_shapes(df, column).agg(F.sum("n_day_first"), F.sum("n_month_first")).first()
+    if (day or 0) == (month or 0):
+        return default
+    return DAY_FIRST if (day or 0) > (month or 0) else MONTH_FIRST
+
+
 def detect_format(
-    df: DataFrame, column: str = "created_at", order_col: str = "ord", sample_rows: int | None = SAMPLE_ROWS
+    df: DataFrame,
+    column: str = "created_at",
+    order_col: str = "ord",
+    sample_rows: int | None = SAMPLE_ROWS,
+    order: str | None = None,
 ) -> str | None:
     """Format that reads all of the first ``sample_rows`` non-null values, of the whole column if None.
 
-    Inferred forms go first, then the known patterns in order. The only job returns one row.
+    Inferred forms go first, then the known patterns in turn, those of ``order`` alone if it is given. The only job returns
+    one row.
     """
     sample = df.where(F.col(column).isNotNull())
     if sample_rows is not None:
         sample = sample.orderBy(order_col).limit(sample_rows)
     text = F.col(column).cast("string")
-    readings = {INFERRED: parse_inferred(text)} | {p: parse_pattern(text, p) for p in COMMON_PATTERNS}
+    readings = {INFERRED: parse_inferred(text, order)} | {p: parse_pattern(text, p) for p in patterns_of(order)}
     rows, *fits = sample.agg(F.count(column), *[F.count(parsed) for parsed in readings.values()]).first()
     return next((name for name, fit in zip(readings, fits) if fit == rows), None)
 
 
 def parse_created_at(
-    df: DataFrame, fmt: str | None = None, column: str = "created_at", epoch_unit: str | None = None
+    df: DataFrame,
+    fmt: str | None = None,
+    column: str = "created_at",
+    epoch_unit: str | None = None,
+    order: str | None = None,
 ) -> DataFrame:
-    """``created_at`` as zone-free UTC time. Text is read by ``fmt``; None means best effort.
+    """``created_at`` as zone-free UTC time. Text is read by ``fmt``; None means best effort, by ``order`` if it is given.
 
     Numbers need ``epoch_unit``, as nothing in them tells seconds from milliseconds.
     """
@@ -146,7 +186,7 @@ def parse_created_at(
         if epoch_unit is None:
             raise ValueError(f"{column} holds numbers; name their unit since 1970 with epoch_unit")
         return df.withColumn(column, parse_epoch(F.col(column), epoch_unit))
-    return df.withColumn(column, parse_timestamp(F.col(column).cast("string"), fmt))
+    return df.withColumn(column, parse_timestamp(F.col(column).cast("string"), fmt, order))
 
 
 def normalise_created_at(
@@ -157,13 +197,19 @@ def normalise_created_at(
     sample_rows: int | None = SAMPLE_ROWS,
     epoch_unit: str | None = None,
 ) -> tuple[DataFrame, str | None]:
-    """``created_at`` read as UTC and shown as local wall-clock time, with the format that was used."""
+    """``created_at`` read as UTC and shown as local wall-clock time, with the format that was used.
+
+    A format that is to be found is found for the order of day and month that the whole column shows, so no column is read in
+    two orders.
+    """
     if "created_at" not in df.columns:
         return df, None
     textual = isinstance(df.schema["created_at"].dataType, T.StringType)
+    order = None
     if fmt == "detect":
-        fmt = detect_format(df, order_col=order_col, sample_rows=sample_rows) if textual else INFERRED
-    parsed = parse_created_at(df, fmt, epoch_unit=epoch_unit)
+        order = date_order(df) if textual else None
+        fmt = detect_format(df, order_col=order_col, sample_rows=sample_rows, order=order) if textual else INFERRED
+    parsed = parse_created_at(df, fmt, epoch_unit=epoch_unit, order=order)
     return parsed.withColumn("created_at", to_local(F.col("created_at"), zone)), fmt
 
 

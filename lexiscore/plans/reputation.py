@@ -99,8 +99,11 @@ def score_posts(
     if match_on == "stem":
         lexicon = surface_lexicon(rows, lexicon)
     sums = score_texts(rows, lexicon, small)
-    ordered = [df if "ord" in df.columns else with_order(df) for df in (posts, rows)]
-    attached = reattach_sums(ordered[0], sums, fmt) if reattach == "raw" else reattach_first(ordered[1], sums, fmt)
+    if reattach == "raw":
+        attached = reattach_sums(posts if "ord" in posts.columns else with_order(posts), sums, fmt)
+    else:
+        # Both sides of the join read the order, so one that is made here is written down first.
+        attached = reattach_first(rows if "ord" in rows.columns else written(with_order(rows), "ordered-posts"), sums, fmt)
     return with_scores(attached, "Brand_Reputation", extra_driver)
 
 

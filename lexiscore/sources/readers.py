@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiscore.operators.lexicons import score_columns
@@ -37,14 +37,33 @@ def spread(scan: DataFrame) -> DataFrame:
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
-def numeric_columns(df: DataFrame, columns: list[str]) -> list[str]:
-    """Those of the text columns of which every cell that is not null is a number; one aggregate over whole columns."""
+# The types that a column of text cells may turn out to have, narrow to wide; every type holds what those before it hold, but
+# a time holds no number. What fits none is text.
+_LATTICE = ["bigint", "double", "timestamp_ntz"]
+_TIME = r"^\s*\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{2}(:\d{2}(\.\d{1,9})?)?)?\s*$"
+
+
+def _fits(cell: Column) -> list[Column]:
+    """Whether a cell can be read as each type of ``_LATTICE``."""
+    whole = cell.rlike(r"^\s*[+-]?\d+\s*$") & F.trim(cell).try_cast("bigint").isNotNull()
+    return [whole, cell.rlike(_NUMBER), cell.rlike(_TIME) & cell.try_cast("timestamp_ntz").isNotNull()]
+
+
+def infer_types(df: DataFrame, columns: list[str]) -> dict[str, str]:
+    """The narrowest type that holds all cells of each text column; columns of text or without any cell are left out.
+
+    One aggregate over whole columns: per column and type, the number of cells that do not fit. One row comes back.
+    """
     if not columns:
-        return []
-    other = [F.count_if(~F.col(f"`{c}`").rlike(_NUMBER)).alias(f"o{i}") for i, c in enumerate(columns)]
-    some = [F.count(F.col(f"`{c}`")).alias(f"s{i}") for i, c in enumerate(columns)]
-    row = df.agg(*other, *some).first()
-    return [c for i, c in enumerate(columns) if row[f"s{i}"] and not row[f"o{i}"]]
+        return {}
+    misfits = [
+        F.count_if(F.col(f"`{c}`").isNotNull() & ~fits).alias(f"{i}_{kind}")
+        for i, c in enumerate(columns)
+        for kind, fits in zip(_LATTICE, _fits(F.col(f"`{c}`")))
+    ]
+    row = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"n_{i}") for i, c in enumerate(columns)], *misfits).first()
+    found = {c: next((kind for kind in _LATTICE if not row[f"{i}_{kind}"]), None) for i, c in enumerate(columns) if row[f"n_{i}"]}
+    return {c: kind for c, kind in found.items() if kind}
 
 
 def read_posts_csv(
@@ -54,12 +73,16 @@ def read_posts_csv(
     order_col: str | None = None,
     multi_line: bool = True,
     flags: tuple[str, ...] = ("retweet",),
+    infer: bool | None = None,
 ) -> DataFrame:
-    """Posts from CSV, read as strings and cast only where ``types`` says so; a cell that does not fit becomes null.
-
-    A column of ``flags`` without a type is read as numbers if all its cells are numbers, since ``1.0`` is how a table with
-    blank flags spells 1; this looks at the whole column once. A file with line breaks inside cells cannot be split among
-    tasks. Set ``multi_line=False`` for large files without them, or keep large tables in Parquet.
+    """Posts from CSV, read as strings and cast as ``types`` says; a cell that does not fit becomes null.
+
+    Without ``types``, every column gets the narrowest of whole number, number, time and text that holds all its cells
+    (``infer_types``); ``infer`` says so explicitly, for the columns that ``types`` leaves out. Times are such as
+    ``2024-01-31 10:00``; other forms stay text, which ``prepare_posts`` reads. A column of ``flags`` without a type is read
+    as numbers if all its cells are numbers, since ``1.0`` is how a table with blank flags spells 1. A file with line breaks
+    inside cells cannot be split among tasks. Set ``multi_line=False`` for large files without them, or keep large tables in
+    Parquet.
     """
     raw = (
         spark.read.option("header", True)
@@ -71,10 +94,14 @@ def read_posts_csv(
         .csv(path)
     )
     cells = {c: F.when(~F.col(f"`{c}`").isin(*MISSING_TEXTS), F.col(f"`{c}`")) for c in raw.columns}
+    infer = types is None if infer is None else infer
     types = types or {}
-    untyped = [c for c in flags if c in cells and c not in types]
-    types = types | {c: "double" for c in numeric_columns(raw.select(*[cells[c].alias(c) for c in untyped]), untyped)}
-    typed = {c: cell.try_cast(types[c]) if c in types else cell for c, cell in cells.items()}
+    untyped = [c for c in cells if c not in types and (infer or c in flags)]
+    found = infer_types(raw.select(*[cells[c].alias(c) for c in untyped]), untyped)
+    # A flag is a number or left to the rules of flags.
+    found = {c: "double" if c in flags else kind for c, kind in found.items() if c not in flags or kind != "timestamp_ntz"}
+    types = found | types
+    typed = {c: (F.trim(cell) if types.get(c) == "bigint" else cell).try_cast(types[c]) if c in types else cell for c, cell in cells.items()}
     return spread(with_order(raw.select(*[col.alias(c) for c, col in typed.items()]), order_col))
 
 

@@ -232,7 +232,7 @@ def test_flags_of_numbers_in_a_csv(spark, tmp_path):
     (tmp_path / "posts.csv").write_text("tweet_id,created_at,text,retweet\n1,2024-01-01,a,1.0\n2,2024-01-01,b,0.0\n3,2024-01-01,c,\n4,2024-01-01,d,2\n")
     raw = readers.read_posts_csv(spark, str(tmp_path / "posts.csv"))
     kept = standardise.drop_reposts(prepare_posts(raw))
-    assert sorted(r.tweet_id for r in kept.collect()) == ["2", "3"]
+    assert sorted(r.tweet_id for r in kept.collect()) == [2, 3]
     (tmp_path / "words.csv").write_text("tweet_id,created_at,text,retweet\n1,2024-01-01,a,1.0\n2,2024-01-01,b,yes\n")
     words = readers.read_posts_csv(spark, str(tmp_path / "words.csv"))
     assert dict(words.dtypes)["retweet"] == "string"
@@ -300,3 +300,40 @@ def test_scratch_tables_go_when_asked(spark):
     assert os.path.isdir(path.removeprefix("file:").replace("//", "/"))
     assert session.clear_scratch(spark) >= 1
     assert not os.path.isdir(path.removeprefix("file:").replace("//", "/"))
+
+
+@pytest.mark.parametrize(
+    ("texts", "order"),
+    [
+        (["03/04/2024", "05/06/2024 10:00", "13/01/2024"], "day"),
+        (["03/04/2024", "05.06.2024", "01/13/2024 02:15 PM"], "month"),
+        (["03/04/2024", "n/a", None, "2024-13-01"], "day"),
+        (["13/01/2024", "01/13/2024", "14.02.2024"], "day"),
+        (["31/31/2024", "2-14-2024"], "month"),
+    ],
+)
+def test_a_column_has_one_order_of_day_and_month(spark, texts, order):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "ord long, created_at string")
+    assert standardise.date_order(df) == order
+    got = [r.created_at for r in standardise.normalise_created_at(df, zone="UTC")[0].orderBy("ord").collect()]
+    for text, read in zip(texts, got):
+        first, second = (text or "").replace(".", "/").replace("-", "/").split("/")[:2] if (text or "")[2:3] in "/.-" and text else (None, None)
+        if first and len(first) <= 2 and read is not None:
+            assert (read.day, read.month) == ((int(first), int(second)) if order == "day" else (int(second), int(first)))
+    if texts[0] == "03/04/2024":
+        assert got[0] == (at("2024-04-03") if order == "day" else at("2024-03-04"))
+
+
+def test_types_of_all_columns(spark, tmp_path):
+    (tmp_path / "t.csv").write_text(
+        "a,b,c,d,e,f,g\n 1 ,1.5,2024-01-31 10:00:00,x,,007,12345678901234567890\n-2,1e3,2024-02-01,2,,8,1\nNA,.5,,3,,+9,2\n"
+    )
+    got = readers.read_posts_csv(spark, str(tmp_path / "t.csv"))
+    assert dict(got.drop("ord").dtypes) == {
+        "a": "bigint", "b": "double", "c": "timestamp_ntz", "d": "string", "e": "string", "f": "bigint", "g": "double",
+    }
+    assert sorted(str(r.a) for r in got.collect()) == ["-2", "1", "None"] and sorted(r.f for r in got.collect()) == [7, 8, 9]
+    plain = readers.read_posts_csv(spark, str(tmp_path / "t.csv"), infer=False)
+    assert set(dict(plain.drop("ord").dtypes).values()) == {"string"}
+    some = readers.read_posts_csv(spark, str(tmp_path / "t.csv"), {"f": "string"}, infer=True)
+    assert dict(some.dtypes)["f"] == "string" and dict(some.dtypes)["a"] == "bigint"

@@ -7,6 +7,7 @@ from lexiscore.catalog import fixtures as fx
 from lexiscore.operators import scoring
 from lexiscore.plans import index as ix
 from lexiscore.plans import reputation as plan
+from lexiscore.plans.store import stored
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -56,3 +57,31 @@ def test_bucketed_reattach_has_no_exchange(spark, posts):
     assert "SortMergeJoin" in plan_of(joined) and "Exchange" not in plan_of(joined)
     want = plan.score_posts(posts, fx.lexicon(spark))
     assert rows(joined.select(want.columns)) == rows(want)
+
+
+def test_store_makes_each_result_once(spark, tmp_path):
+    made = []
+
+    def build(posts, lexicon, lang):
+        made.append(lang)
+        return plan.score_posts(posts, lexicon, lang=lang)
+
+    def call(lang="en"):
+        inputs = {"posts": spark.read.parquet(str(tmp_path / "posts")), "lexicon": spark.read.parquet(str(tmp_path / "lexicon"))}
+        return rows(stored(build, inputs, str(tmp_path / "store"), {"lang": lang}))
+
+    fx.messy_posts(spark, SF_DIR).write.parquet(str(tmp_path / "posts"))
+    fx.lexicon(spark).write.parquet(str(tmp_path / "lexicon"))
+    first = call()
+    assert call() == first and made == ["en"]
+    call("fr")
+    assert made == ["en", "fr"]
+    fx.lexicon(spark).where("term <> 'the'").write.mode("overwrite").parquet(str(tmp_path / "lexicon"))
+    assert call() != first and made == ["en", "fr", "en"]
+    # A table that its writer did not finish is made anew.
+    unfinished = [p for p in (tmp_path / "store").iterdir() if p.name.startswith("build-")]
+    assert len(unfinished) == 3
+    for folder in unfinished:
+        (folder / "_SUCCESS").rename(folder / "cut-off")
+    call()
+    assert len(made) == 4

@@ -283,3 +283,18 @@ def test_z_scores_do_not_depend_on_the_unit(spark):
         assert got == pytest.approx([-0.8729, -0.2182, 1.0911], abs=1e-3)
     equal = spark.createDataFrame([(0.1 + 0.2,), (0.3,)], "v double")
     assert [r.v for r in series.z_scores(equal, ["v"]).collect()] == [0.0, 0.0]
+
+
+def test_clean_reattach_without_an_order(spark, lexicon):
+    table = posts(spark, [r for r in ROWS if r[0] is not None and r[3] == "no"]).drop("ord")
+    got = plan.score_posts(table, lexicon, reattach="clean")
+    want = plan.score_posts(posts(spark, [r for r in ROWS if r[0] is not None and r[3] == "no"]), lexicon, reattach="clean")
+    key = lambda r: (r.tweet_id, r.text, r.Brand_Reputation)
+    assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
+    assert "monotonically_increasing_id" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plot_without_a_time(spark):
+    df = spark.createDataFrame([(2024, 3, 1.0), (2023, 4, 2.0), (2024, 1, 3.0)], "year int, month int, score double")
+    assert [r.score for r in series.plot_columns(df, ["score"]).collect()] == [2.0, 3.0, 1.0]
+    assert series.plot_columns(df.select("score"), ["score"]).count() == 3
