@@ -7,8 +7,8 @@ scoring instead of after it, and stems from regular expressions over marked word
 from __future__ import annotations
 
 from lexiscore.catalog import fixtures as fx
-from lexiscore.config import CALENDAR_COLUMNS, GRANULARITIES, LANGUAGE_PROFILES, LANGUAGE_SAMPLES, driver_groups
-from lexiscore.functions.language import UNSEEN
+from lexiscore.config import CALENDAR_COLUMNS, GRANULARITIES, LANGUAGE_SAMPLES, driver_groups
+from lexiscore.functions.language import UNSEEN, sample_text
 from lexiscore.functions.timestamps import COMMON_PATTERNS
 
 ORACLES: dict[str, str] = {}
@@ -101,7 +101,7 @@ lang_of AS (SELECT {key}, any_value(language) FILTER (nth = 1) AS language,
 
 def language(source: str, key: str) -> str:
     """CTEs that end in ``lang_of(key, language, margin)`` for each row of ``source``, by the model that is the default."""
-    samples = [(i, lang, f"{' '.join(LANGUAGE_PROFILES[lang])} {text}") for i, (lang, text) in enumerate(LANGUAGE_SAMPLES.items())]
+    samples = [(i, lang, sample_text(lang)) for i, lang in enumerate(LANGUAGE_SAMPLES)]
     return f"""samples(place, language, text) AS (VALUES {_values(samples)}),
 {language_model("samples")}, {language_scores(source, key, "samples")}"""
 

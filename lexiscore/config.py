@@ -52,8 +52,8 @@ LANGUAGE_PROFILES = {
 # What a language model learns from where no labelled table is given: everyday talk as posts have it, besides the profiles.
 LANGUAGE_SAMPLES = {
     "en": """terrible service, worst delivery ever. broken screen again, bad app, it crashes every time. good phone, great price,
-        love this brand. nice shoes, awesome quality, best customer support. new update is out today, restock tomorrow. wow, ok,
-        lol, super cool, thanks, please help, yes, no, hello, sorry, why, what, when, where. happy with my order, cheap and
+        love this brand. nice shoes, awesome quality, best customer support. new update is out today, restock tomorrow. wow, ok, it is ok,
+        so much fun, lol, super cool, thanks, please help, yes, no, hello, sorry, why, what, when, where. happy with my order, cheap and
         useless, waste of money, would buy again. innovative design, exciting news, friendly staff, really trust them. fast
         shipping, slow website, long queue, rude driver, free coffee, fresh food. the battery dies after an hour, my laptop will
         not charge, sound is too loud. anyone else having issues with this? cannot wait for the weekend, watching the game tonight.

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from lexiscore.config import LANGUAGE_PROFILES, LANGUAGE_SAMPLES
 
 # Likelihood of a run that a language's texts do not have: one in so many.
-UNSEEN = 100_000
+UNSEEN = 20_000
 # A model keeps the commonest runs up to this number, whatever it is trained on. The test of a run is one table lookup.
 MOST_GRAMS = 20_000
 # Letters that a model tells apart, its commonest; any other character is a space to it.
@@ -92,8 +92,12 @@ _default: dict[str, LanguageModel] = {}
 
 def sample_table(spark: SparkSession) -> DataFrame:
     """Profiles and everyday talk of each language, as a table to learn from."""
-    rows = [(lang, f"{' '.join(LANGUAGE_PROFILES[lang])} {text}") for lang, text in LANGUAGE_SAMPLES.items()]
-    return spark.createDataFrame(rows, "lang string, text string")
+    return spark.createDataFrame([(lang, sample_text(lang)) for lang in LANGUAGE_SAMPLES], "lang string, text string")
+
+
+def sample_text(lang: str) -> str:
+    """The words of the profile twice, as they are more frequent than any other, and the everyday talk."""
+    return " ".join([*LANGUAGE_PROFILES[lang] * 2, LANGUAGE_SAMPLES[lang]])
 
 
 def default_language_model(spark: SparkSession) -> LanguageModel:

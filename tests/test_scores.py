@@ -230,9 +230,12 @@ def test_hot_id_is_split_in_the_join(spark, lexicon, skewed):
 
 
 def test_plan_shape(spark, lexicon):
-    monthly = plan.reputation_series(fx.messy_posts(spark, "/root/testdata/sf0.001"), lexicon, "Monthly")
-    text = monthly._jdf.queryExecution().executedPlan().toString()
-    assert "CartesianProduct" not in text and "NestedLoop" not in text and "Python" not in text
+    # The language model is the one step in Python, once where texts are read; all else stays in the JVM.
+    for lang, python in (("en", 1), (None, 0)):
+        monthly = plan.reputation_series(fx.messy_posts(spark, "/root/testdata/sf0.001"), lexicon, "Monthly", lang=lang)
+        text = monthly._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in text and "NestedLoop" not in text and text.count("EvalPython") == python
+        assert "BatchEvalPython" not in text and "MapInArrow" not in text
     terms = plan.count_terms(fx.table(spark, "/root/testdata/sf0.001", "documents"), ["doc_id"])
     assert terms._jdf.queryExecution().executedPlan().toString().count("hashpartitioning") == 0
 
