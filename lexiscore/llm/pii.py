@@ -41,6 +41,39 @@ PATTERN = re.compile(
     re.VERBOSE,
 )
 
+# Public numbering plans: digits of a number after its country code, where that is fixed or nearly so.
+NATIONAL_DIGITS = {
+    "1": (10,), "7": (10,), "20": (9, 10), "27": (9,), "30": (10,), "31": (9,), "32": (8, 9), "33": (9,), "34": (9,), "36": (8, 9),
+    "39": (9, 10), "40": (9,), "41": (9,), "44": (10,), "45": (8,), "46": (7, 8, 9), "47": (8,), "48": (9,), "49": (10, 11),
+    "51": (9,), "52": (10,), "54": (10,), "55": (10, 11), "56": (9,), "57": (10,), "61": (9,), "63": (10,), "64": (8, 9), "65": (8,),
+    "66": (9,), "81": (9, 10), "82": (9, 10), "84": (9,), "86": (11,), "90": (10,), "91": (10,), "92": (10,), "98": (10,),
+    "212": (9,), "213": (9,), "216": (8,), "234": (10,), "254": (9,), "351": (9,), "353": (9,), "359": (8, 9), "380": (9,),
+    "420": (9,), "421": (9,), "852": (8,), "886": (8, 9), "966": (9,), "971": (9,), "972": (8, 9),
+}
+
+
+def known_code(digits: str) -> str:
+    """The country code that the digits begin with, of those in ``NATIONAL_DIGITS``; no code begins with another."""
+    return next((digits[:n] for n in (1, 2, 3) if digits[:n] in NATIONAL_DIGITS), "")
+
+
+def phone_parts(text: str) -> tuple[str, str]:
+    """The part of a match that is one phone number, and its country code.
+
+    A code is up to three digits before a separator, or else a known one that the digits begin with. A number of a known code
+    ends where a group of digits ends and its plan is met, at the last such place, so that a number which follows is left
+    alone; without such a place, or with an unknown code, the match is taken whole.
+    """
+    if not text.startswith("+"):
+        return text, ""
+    apart = re.match(r"\+(\d{1,3})(?=[ .(-])", text)
+    code = apart[1] if apart else known_code(re.sub(r"\D", "", text))
+    for end in reversed([m.end() for m in re.finditer(r"[0-9]+", text)]):
+        if sum(c.isdigit() for c in text[:end]) - len(code) in NATIONAL_DIGITS.get(code, ()):
+            return text[:end], code
+    return text, code
+
+
 # Days from 1900 to 2099 change places with one another, and so do all other days of the calendar's years 1 to 9999.
 _FIRST_DAY = datetime.date(1900, 1, 1).toordinal()
 _DAYS = datetime.date(2100, 1, 1).toordinal() - _FIRST_DAY
@@ -167,8 +200,10 @@ class Pseudonyms:
         shape = "".join(_alphabet(c)[:1] or c for c in text)
         return chars(self._permute(value, size, f"{tweak}|{shape}", allowed and (lambda v: allowed(chars(v)))))
 
-    def _number(self, digits: str, tweak: str) -> str:
-        return f"{self._permute(int(digits), 10 ** len(digits), f'{tweak}|{len(digits)}'):0{len(digits)}d}"
+    def _number(self, digits: str, tweak: str, allowed: Callable[[str], bool] | None = None) -> str:
+        shown = lambda value: f"{value:0{len(digits)}d}"
+        fits = allowed and (lambda value: allowed(shown(value)))
+        return shown(self._permute(int(digits), 10 ** len(digits), f"{tweak}|{len(digits)}", fits))
 
     def _date(self, year: str, month: str, day: str, allowed=None, tweak: str = "date") -> datetime.date | None:
         try:
@@ -235,11 +270,14 @@ class Pseudonyms:
                 return None
             payload = self._number(digits[:-1], "card")
             return "card", _filled(text, payload + luhn_digit(payload), str.isdigit)
-        # A phone number keeps its country code and its last nine digits or so change places with others of that length.
-        code = re.match(r"\+(\d{1,3})(?=[ .(-])|", text)[1] or ""
+        # A phone number keeps its country code; its other digits change places with others of that many digits.
+        text, code = phone_parts(text)
+        digits = "".join(c for c in text if c.isdigit())
         if not 7 <= len(digits) <= 15 or len(digits) - len(code) < 6:
             return None
-        return "phone", _filled(text, code + self._number(digits[len(code) :], "phone"), str.isdigit)
+        # A number without a known code must not seem to have one.
+        unknown = (lambda number: not known_code(number)) if text.startswith("+") and not code else None
+        return "phone", _filled(text, code + self._number(digits[len(code) :], "phone", unknown), str.isdigit)
 
     def rewrite(self, text: str) -> tuple[str, Counter]:
         """The text with its values replaced, and how many of each kind."""
@@ -253,8 +291,8 @@ class Pseudonyms:
                 continue
             counts[done[0]] += 1
             out += [text[at : m.start()], done[1]]
-            # An IBAN may end before its match does; its pseudonym is as long as it is.
-            at = search = m.start() + len(done[1]) if done[0] == "iban" else m.end()
+            # An IBAN or a phone number may end before its match does; its pseudonym is as long as it is.
+            at = search = m.start() + len(done[1]) if done[0] in ("iban", "phone") else m.end()
         return "".join([*out, text[at:]]) if out else text, counts
 
 
