@@ -7,6 +7,7 @@ of about equal bytes. A part's count is kept for the next text, as most parts ar
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -14,9 +15,10 @@ from pyspark.sql import functions as F
 
 from lexiscore.llm.words import bound_batches, texts_of
 
-#: Bytes of text that go to the tokenizer at once, and parts whose counts a task remembers at most.
+#: Characters of text that go to the tokenizer at once.
 BATCH_CHARS = 1 << 18
-REMEMBERED = 1 << 18
+#: Parts whose counts a worker remembers at most, and the length up to which it does: about 40 MB together.
+REMEMBERED, SHORT = 1 << 18, 64
 _MARK = "▁"
 
 
@@ -59,50 +61,56 @@ class Counter:
         # Another vocabulary may have pieces across words; its texts are then counted whole.
         self.parts = (lambda t: [t] if t else []) if any(_MARK in p.lstrip(_MARK) for p in pieces) else parts
 
-    def learn(self, unknown: set[str]) -> None:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+    def learn(self, unknown: set[str]) -> dict[str, int]:
+        """Counts of these parts; those of short ones are remembered."""
+        found: dict[str, int] = {}
         batch, size = [], 0
         for part in unknown:
             batch.append(part)
             size += len(part)
             if size >= BATCH_CHARS:
-                self._encode(batch)
+                found.update(self._encode(batch))
                 batch, size = [], 0
-        self._encode(batch)
+        found.update(self._encode(batch))
         # A part without characters is a lone space.
-        self.known[""] = 1
+        found[""] = 1
+        short = {part: n for part, n in found.items() if len(part) <= SHORT}
+        if len(self.known) + len(short) > REMEMBERED:
+            self.known.clear()
+        self.known.update(short)
+        return found
 
-    def _encode(self, batch: list[str]) -> None:
-        self.known.update(zip(batch, map(len, self.model.encode(batch, num_threads=1))))
+    def _encode(self, batch: list[str]) -> zip:
+        return zip(batch, map(len, self.model.encode(batch, num_threads=1)))
 
     def count(self, texts: list[str]) -> list[int]:
         cut = [self.parts(t) for t in texts]
-        unknown = set().union(*cut)
-        unknown.difference_update(self.known)
-        if unknown or "" not in self.known:
-            # Forgetting happens in learn(), so what this call needs again is asked for there too.
-            if len(self.known) + len(unknown) > REMEMBERED:
-                self.known.clear()
-                unknown = set().union(*cut)
-            self.learn(unknown)
-        known = self.known.__getitem__
-        return [sum(map(known, c)) for c in cut]
+        wanted = set().union(*cut)
+        # Taken out before anything is forgotten.
+        found = {part: n for part in wanted if (n := self.known.get(part)) is not None}
+        found.update(self.learn(wanted.difference(found)))
+        return [sum(map(found.__getitem__, c)) for c in cut]
+
+
+@lru_cache(1)
+def counter(model_file: str) -> Counter:
+    """The one of this worker, which tasks hand on."""
+    return Counter(model_file)
 
 
 def count_tokens(docs: DataFrame, model_file: str, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` for each row of ``docs``.
 
     ``model_file`` is a SentencePiece model that every executor can open. A null text counts as empty: no bytes, no tokens.
-    Rows that repeat an id, or have none, each have their row. No rows give no rows. There is no shuffle; a task holds one
-    Arrow batch and the counts of ``REMEMBERED`` parts.
+    Rows that repeat an id, or have none, each have their row. No rows give no rows. There is no shuffle; a worker holds one
+    Arrow batch and the counts of ``REMEMBERED`` short parts. A text without spaces is one part and goes to the tokenizer whole.
     """
     narrow = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     narrow = narrow.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
     id_type = narrow.schema["doc_id"].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(model_file)
+        own = counter(model_file)
         for batch in batches:
             counts: list[int] = []
             some, size = [], 0
@@ -110,9 +118,9 @@ def count_tokens(docs: DataFrame, model_file: str, limit: int, id_col: str = "do
                 some.append(text)
                 size += len(text)
                 if size >= BATCH_CHARS:
-                    counts += counter.count(some)
+                    counts += own.count(some)
                     some, size = [], 0
-            counts += counter.count(some)
+            counts += own.count(some)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(counts, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"]
             )
