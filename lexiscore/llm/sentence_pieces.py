@@ -30,8 +30,8 @@ from lexiscore.session import written
 MARK = "▁"
 #: Texts of more characters are giant: they are cut into chunks of so many.
 CHUNK = 1 << 14
-#: Words whose pieces a task remembers at most.
-REMEMBERED = 1 << 16
+#: Words whose pieces a worker remembers at most, and the length up to which it does: about 30 MB together.
+REMEMBERED, SHORT = 1 << 16, 64
 #: Chunks whose matrices are combined at a time.
 GROUP = 64
 
@@ -98,15 +98,18 @@ class Vocabulary:
     def encode_words(self, texts: list[str]) -> list[list[int]]:
         """Pieces of whole texts of ordinary length, word by word; new words go to the library in batches."""
         cut = [parts(t) for t in texts]
-        new = set().union(*cut).difference(self.word_ids)
-        if len(self.word_ids) + len(new) > REMEMBERED:
-            self.word_ids.clear()
-            new = set().union(*cut)
-        if new:
-            words = list(new)
-            self.word_ids.update(zip(words, self.model.encode(words, num_threads=1)))
-        self.word_ids[""] = [self.ids[MARK]] if MARK in self.ids else self.ids_of([MARK])
-        known, out = self.word_ids, []
+        wanted = set().union(*cut)
+        known = {word: ids for word in wanted if (ids := self.word_ids.get(word)) is not None}
+        if new := [word for word in wanted if word not in known]:
+            learnt = dict(zip(new, self.model.encode(new, num_threads=1)))
+            if "" in learnt:
+                learnt[""] = [self.ids[MARK]] if MARK in self.ids else self.ids_of([MARK])
+            known.update(learnt)
+            short = {word: ids for word, ids in learnt.items() if len(word) <= SHORT}
+            if len(self.word_ids) + len(short) > REMEMBERED:
+                self.word_ids.clear()
+            self.word_ids.update(short)
+        out = []
         for words in cut:
             ids: list[int] = []
             for word in words:
@@ -118,6 +121,12 @@ class Vocabulary:
         return self.model.decode(rows, num_threads=1) if rows else []
 
 
+@lru_cache(1)
+def vocabulary(model_file: str) -> Vocabulary:
+    """The one of this worker, which tasks hand on."""
+    return Vocabulary(model_file)
+
+
 def marked(text: str) -> str:
     """The text as pieces spell it: a mark for each space and one before the text, nothing for an empty text."""
     return MARK + text.replace(" ", MARK) if text else ""
@@ -257,7 +266,7 @@ def _ordinary(docs: DataFrame, model_file: str) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc = Vocabulary(model_file)
+        voc = vocabulary(model_file)
         for batch in batches:
             at, some, size = 0, [], 0
             for i, text in enumerate(texts_of(batch), start=1):
@@ -273,30 +282,46 @@ def _ordinary(docs: DataFrame, model_file: str) -> DataFrame:
 
 
 def _chunks(docs: DataFrame, model_file: str, chunk: int) -> DataFrame:
-    """``doc_id, same, copies, no, low, high, text, final, matrix`` of each chunk; ``text`` reaches a piece's length further."""
+    """``doc_id, same, no, low, high, text, final, matrix`` of each chunk; ``text`` reaches a piece's length further.
+
+    Texts are cut where they are read, chunks are dealt over the cluster, and each gets its matrix where it arrives, so the
+    chunks of one document are worked on by many tasks.
+    """
+    spark = docs.sparkSession
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc = Vocabulary(model_file)
+        voc = vocabulary(model_file)
         for batch in batches:
             for i, text in enumerate(texts_of(batch)):
                 whole = marked(text)
+                rows, size = [], 0
                 for no, at in enumerate(range(0, len(whole), chunk)):
                     left, end = max(0, at - voc.longest), min(at + chunk, len(whole))
-                    view = whole[left : end + voc.longest]
-                    matrix = transfer(voc, view, at - left, end - left)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([batch.column(0)[i].as_py()], batch.schema.field(0).type),
-                            batch.column(2).slice(i, 1), batch.column(3).slice(i, 1), pa.array([no], pa.int64()),
-                            pa.array([at - left], pa.int32()), pa.array([end - left], pa.int32()), pa.array([view]),
-                            pa.array([end == len(whole)]), pa.array([_rows(matrix)], _MATRIX),
-                        ],
-                        names=["doc_id", "same", "copies", "no", "low", "high", "text", "final", "matrix"],
-                    )
-
-    schema = f"doc_id {id_type}, same long, copies long, no long, low int, high int, text string, final boolean, matrix {_MATRIX_SQL}"
-    return docs.mapInArrow(cut, schema)
+                    rows.append((no, at - left, end - left, whole[left : end + voc.longest], end == len(whole)))
+                    size += chunk
+                    if size >= BATCH_CHARS or end == len(whole):
+                        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.bool_())
+                        keys = [
+                            pa.array([batch.column(0)[i].as_py()] * len(rows), batch.schema.field(0).type),
+                            pa.array([batch.column(2)[i].as_py()] * len(rows), pa.int64()),
+                        ]
+                        columns = [pa.array(column, kind) for column, kind in zip(zip(*rows), kinds)]
+                        yield pa.RecordBatch.from_arrays(keys + columns, names=["doc_id", "same", "no", "low", "high", "text", "final"])
+                        rows, size = [], 0
+
+    def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        voc = vocabulary(model_file)
+        for batch in batches:
+            views = zip(*(batch.column(name).to_pylist() for name in ("text", "low", "high")))
+            rows = pa.array([_rows(transfer(voc, *view)) for view in views], _MATRIX)
+            yield pa.RecordBatch.from_arrays([*batch.columns, rows], names=[*batch.schema.names, "matrix"])
+
+    schema = f"doc_id {id_type}, same long, no long, low int, high int, text string, final boolean"
+    # The work of a chunk is far larger than its bytes, by which adaptive execution would join partitions.
+    n_tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    dealt = docs.mapInArrow(cut, schema).repartition(n_tasks, "same", "no")
+    return dealt.mapInArrow(matrices, f"{schema}, matrix {_MATRIX_SQL}")
 
 
 def _products(level: DataFrame) -> DataFrame:
@@ -366,7 +391,7 @@ def _boundaries(level: DataFrame, outer: DataFrame | None) -> DataFrame:
 
 
 def _giant(docs: DataFrame, model_file: str, chunk: int) -> DataFrame:
-    """``doc_id, ids`` of distinct giant texts (``doc_id, text, same, copies``), each in as many rows as it has copies."""
+    """``doc_id, ids`` of giant texts (``doc_id, text, same``); ``same`` numbers the rows and is written down with the chunks."""
     chunks = written(_chunks(docs, model_file, chunk), "pieces-chunks")
     levels = [chunks.select("doc_id", "same", "no", "final", "matrix")]
     longest = levels[0].agg(F.max("no")).first()[0]
@@ -378,30 +403,28 @@ def _giant(docs: DataFrame, model_file: str, chunk: int) -> DataFrame:
         bounds = written(_boundaries(level, bounds), "pieces-bounds")
     same = (chunks["doc_id"].eqNullSafe(bounds["doc_id"])) & (chunks["same"] == bounds["same"]) & (chunks["no"] == bounds["no"])
     told = chunks.join(bounds, same)
-    told = told.select(chunks["doc_id"], chunks["same"], "copies", chunks["no"], "low", "high", "text", "begin", "end")
+    told = told.select(chunks["doc_id"], chunks["same"], chunks["no"], "low", "high", "text", "begin", "end")
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc = Vocabulary(model_file)
+        voc = vocabulary(model_file)
         for batch in batches:
             ids = []
-            for low, high, text, begin, end in zip(*(batch.column(c).to_pylist() for c in (4, 5, 6, 7, 8))):
+            for low, high, text, begin, end in zip(*(batch.column(c).to_pylist() for c in (3, 4, 5, 6, 7))):
                 ids.append(pieces_between(voc, text, low, high, (begin["over"], begin["piece"]), (end["over"], end["piece"])))
-            done = [*batch.columns[:4], pa.array(ids, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(done, names=["doc_id", "same", "copies", "no", "ids"])
+            done = [*batch.columns[:3], pa.array(ids, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(done, names=["doc_id", "same", "no", "ids"])
 
-    encoded = told.mapInArrow(trace, f"doc_id {id_type}, same long, copies long, no long, ids array<int>")
-    whole = encoded.groupBy("doc_id", "same", "copies").agg(F.sort_array(F.collect_list(F.struct("no", "ids"))).alias("list"))
-    ids = F.flatten(F.transform("list", lambda x: x["ids"])).alias("ids")
-    # Rows that repeat an id and a text have one set of chunks together; every row gets its own pieces back.
-    return whole.select("doc_id", ids, F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("doc_id", "ids")
+    encoded = told.mapInArrow(trace, f"doc_id {id_type}, same long, no long, ids array<int>")
+    whole = encoded.groupBy("doc_id", "same").agg(F.sort_array(F.collect_list(F.struct("no", "ids"))).alias("list"))
+    return whole.select("doc_id", F.flatten(F.transform("list", lambda x: x["ids"])).alias("ids"))
 
 
 def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
     """``doc_id, ids``: the pieces of each whole text, as the library gives them for the model file, without begin or end.
 
     Null and empty texts have no pieces. Rows that repeat an id, or have none, each have their row, whatever the length of
-    their text; a giant text that repeats an id is encoded once. No rows give no rows. Texts of at most ``chunk`` characters
+    their text. No rows give no rows. Texts of at most ``chunk`` characters
     are encoded where they are read; longer ones in chunks, whose states are combined, so no task works through a giant
     document. Its pieces come together in its row alone.
     """
@@ -409,8 +432,7 @@ def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: s
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")
     narrow = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text)
     giant = F.char_length("text") > chunk
-    rest = narrow.where(giant).groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("copies"))
-    rest = rest.select("doc_id", "text", F.xxhash64("text").alias("same"), "copies")
+    rest = narrow.where(giant).select("doc_id", "text", F.monotonically_increasing_id().alias("same"))
     return _ordinary(narrow.where(~giant), model_file).unionAll(_giant(rest, model_file, chunk))
 
 
@@ -422,7 +444,7 @@ def decode(encoded: DataFrame, model_file: str, id_col: str = "doc_id", ids_col:
     id_type = narrow.schema["doc_id"].dataType.simpleString()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc = Vocabulary(model_file)
+        voc = vocabulary(model_file)
         for batch in batches:
             for at in range(0, batch.num_rows, 16):
                 part = batch.slice(at, 16)
