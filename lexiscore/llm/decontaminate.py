@@ -29,8 +29,9 @@ STRETCH, AGREE = 13, 0.8
 MIN_ITEM = 5
 #: Words on both sides of a hit that are compared.
 REACH = 64
-#: Slots of the table that sorts out hashes which no item has. It has this size for any benchmark.
-SLOTS = 1 << 22
+#: Slots, a power of two, of the table that sorts out hashes which no item has: so many a window, within these bounds. A
+#: table at the upper bound (16 MB) is less selective, and the result the same.
+WINDOW_SLOTS, LEAST_SLOTS, MOST_SLOTS = 32, 1 << 16, 1 << 27
 
 
 @lru_cache
@@ -75,8 +76,12 @@ def masked_hashes(words: np.ndarray, first: np.ndarray, masks: tuple[str, ...])
     return np.concatenate(hashes), np.concatenate(starts)
 
 
-def _slots(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (hashes & U64(SLOTS - 1)).astype(np.int64), ((hashes >> U64(32)) & U64(SLOTS - 1)).astype(np.int64)
+def _known(hashes: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Places of the hashes both of whose slots are filled; the table has a bit per slot."""
+    last = U64(8 * len(table) - 1)
+    filled = lambda slot: (table[(slot >> U64(3)).astype(np.int64)] >> (slot & U64(7)).astype(np.uint8)) & 1
+    keep = np.flatnonzero(filled(hashes & last))
+    return keep[filled((hashes[keep] >> U64(32)) & last) > 0]
 
 
 def _item_words(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -113,13 +118,15 @@ def _windows(items: DataFrame) -> DataFrame:
 
 
 def _table(windows: DataFrame) -> np.ndarray:
-    """Which slots the benchmark's hashes fill; made by Spark as at most SLOTS / 64 numbers of 64 bits."""
-    slot = F.explode(F.array(F.col("hash").bitwiseAND(SLOTS - 1), F.shiftrightunsigned("hash", 32).bitwiseAND(SLOTS - 1)))
+    """Which slots the benchmark's hashes fill, a bit each; made by Spark as at most a 64th as many numbers of 64 bits."""
+    wanted = WINDOW_SLOTS * max(1, windows.count())
+    slots = min(MOST_SLOTS, max(LEAST_SLOTS, 1 << (wanted - 1).bit_length()))
+    slot = F.explode(F.array(F.col("hash").bitwiseAND(slots - 1), F.shiftrightunsigned("hash", 32).bitwiseAND(slots - 1)))
     filled = windows.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word"))
     bits = filled.agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("bits")).toPandas()
-    packed = np.zeros(SLOTS // 64, np.int64)
+    packed = np.zeros(slots // 64, np.int64)
     packed[bits["word"].to_numpy(np.int64)] = bits["bits"].to_numpy(np.int64)
-    return np.unpackbits(packed.view(np.uint8), bitorder="little").astype(bool)
+    return packed.view(np.uint8)
 
 
 def _regions(docs: DataFrame, table: np.ndarray, masks: tuple[str, ...]) -> DataFrame:
@@ -133,9 +140,7 @@ def _regions(docs: DataFrame, table: np.ndarray, masks: tuple[str, ...]) -> Data
             for i, text in enumerate(texts_of(batch)):
                 words, first = word_hashes([text])
                 hashes, at = masked_hashes(words, first, masks)
-                one, two = _slots(hashes)
-                keep = np.flatnonzero(table[one])
-                keep = keep[table[two[keep]]]
+                keep = _known(hashes, table)
                 if not len(keep):
                     continue
                 keep = keep[np.argsort(at[keep], kind="stable")]
@@ -164,7 +169,7 @@ def _regions(docs: DataFrame, table: np.ndarray, masks: tuple[str, ...]) -> Data
 
 
 def agreeing(words: np.ndarray, item: np.ndarray, shift: int) -> int:
-    """Most words that agree in one stretch where item word i stands at ``words[i + shift]``; 0 if no stretch suffices."""
+    """Words that agree in all sufficient stretches where item word i stands at ``words[i + shift]``; 0 if none suffices."""
     low, high = max(0, -shift), min(len(item), len(words) - shift)
     size = min(STRETCH, len(item))
     if high - low < size:
@@ -210,22 +215,29 @@ def find_leaks(
     lines = hits.join(windows, "hash").select(
         "doc_id", "same", "start", "item_id", (F.col("pos") - F.col("start") - F.col("item_pos")).alias("shift")
     )
+    # Regions of a text lie apart, so the words of an alignment that agree in several regions add up.
     places = lines.distinct().join(regions.drop("hits"), ["doc_id", "same", "start"]).join(items, "item_id")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts = [
                 agreeing(np.frombuffer(w, np.uint64), np.frombuffer(t, np.uint64), shift)
-                for w, t, shift in zip(*(batch.column(i).to_pylist() for i in (3, 4, 5)))
+                for w, t, shift in zip(*(batch.column(i).to_pylist() for i in (6, 7, 8)))
             ]
             done = pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array(counts, pa.int64())], names=["doc_id", "item_id", "n_words", "n_agree"]
+                [*batch.columns[:6], pa.array(counts, pa.int64())],
+                names=["doc_id", "item_id", "n_words", "same", "wording", "place", "n_agree"],
             )
             yield done.filter(pa.array([n > 0 for n in counts], pa.bool_()))
 
     types = {f.name: f.dataType.simpleString() for f in (*docs.select(F.col(f"`{id_col}`").alias("doc_id")).schema, *items.schema)}
-    compared = places.select("doc_id", "item_id", "n_words", "words", "item", "shift").mapInArrow(
-        compare, f"doc_id {types['doc_id']}, item_id {types['item_id']}, n_words int, n_agree long"
-    )
-    best = compared.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_agree", "n_words")).alias("best"))
+    compared = places.select(
+        "doc_id", "item_id", "n_words", "same", F.xxhash64("item").alias("wording"), (F.col("start") + F.col("shift")).alias("place"),
+        "words", "item", "shift",
+    ).mapInArrow(
+        compare,
+        f"doc_id {types['doc_id']}, item_id {types['item_id']}, n_words int, same long, wording long, place long, n_agree long",
+    )
+    aligned = compared.groupBy("doc_id", "item_id", "n_words", "same", "wording", "place").agg(F.sum("n_agree").alias("n_agree"))
+    best = aligned.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_agree", "n_words")).alias("best"))
     return best.select("doc_id", "item_id", "best.n_agree", F.col("best.n_words").cast("long").alias("n_words"))

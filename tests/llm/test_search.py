@@ -106,6 +106,19 @@ def test_passages_are_found_with_replaced_words(spark):
     assert leaks(spark, [], items) == {} and leaks(spark, rows, []) == {}
 
 
+def test_parts_of_one_alignment_add_up(spark, monkeypatch):
+    item = prose(21, 300)
+    words = item.split()
+    copy = [*words[:40], *prose(22, 220).split(), *words[260:]]
+    apart = [*words[:40], *prose(23, 150).split(), *words[260:]]
+    rows = [(1, f"{prose(24, 30)} {' '.join(copy)} {prose(25, 200)}"), (2, " ".join(apart)), (3, f"{' '.join(words[:100])} end")]
+    assert leaks(spark, rows, [(10, item)]) == {(1, 10): (80, 300), (2, 10): (40, 300), (3, 10): (100, 300)}
+    # A table that is far too small lets everything through, and the result is the same.
+    monkeypatch.setattr(decontaminate, "LEAST_SLOTS", 64)
+    monkeypatch.setattr(decontaminate, "MOST_SLOTS", 64)
+    assert leaks(spark, rows, [(10, item)]) == {(1, 10): (80, 300), (2, 10): (40, 300), (3, 10): (100, 300)}
+
+
 def replaced_words(n):
     """Sets of words that may be replaced in a stretch of ``n``."""
     return [c for k in range(n + 1) if n - k >= decontaminate.AGREE * n for c in combinations(range(n), k)]

@@ -11,6 +11,7 @@ import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lexiscore.llm import licenses, pii, secrets, sentence_pieces, token_counts
 from tests.llm.cases import AWKWARD, LONG, awkward, prose
@@ -342,3 +343,57 @@ def test_every_template_is_its_own_best(spark):
 
 def test_hash_of_no_spans():
     assert hashlib.sha256(secrets.joined([]).encode()).hexdigest().startswith("e3b0c442")
+
+
+def test_phones_end_where_their_plan_does():
+    names, back = pii.Pseudonyms(b"k"), pii.Pseudonyms(b"k", True)
+    number = names.rewrite("+44 20 7946 0958")[0]
+    for rest in (", 3 people", " 3 people", " 2024", ". 7 of them", "", " 12 34"):
+        text, counts = names.rewrite(f"call +44 20 7946 0958{rest}")
+        assert text == f"call {number}{rest}" and counts == Counter(phone=1)
+        assert back.rewrite(text)[0] == f"call +44 20 7946 0958{rest}"
+    digits = lambda t: "".join(c for c in t if c.isdigit())
+    assert digits(names.rewrite("+442079460958 5 times")[0]) == digits(number) + "5"
+    rng = random.Random(12)
+    codes = [*pii.NATIONAL_DIGITS, "999", "85"]
+    for _ in range(3000):
+        code = rng.choice(codes)
+        left = "".join(rng.choice("0123456789") for _ in range(rng.choice(pii.NATIONAL_DIGITS.get(code, (8, 9)))))
+        cut = rng.randrange(1, len(left) - 2)
+        sep = rng.choice(" .-")
+        text = f"tel +{code}{rng.choice(['', sep, sep])}{left[:cut]}{sep}{left[cut:]}{rng.choice(['', ' 7', ' and 8', ', 12 34'])} end"
+        done, _ = names.rewrite(text)
+        assert back.rewrite(done)[0] == text
+
+
+def test_overlaps_against_a_plain_version():
+    rng = random.Random(13)
+    for _ in range(300):
+        spans = [("k", s, s + rng.randrange(1, 9)) for s in (rng.randrange(60) for _ in range(rng.randrange(8)))]
+        overlaps = secrets._overlapping(spans)
+        for _ in range(30):
+            start = rng.randrange(60)
+            end = start + rng.randrange(1, 9)
+            assert overlaps(start, end) == any(s < end and start < e for _, s, e in spans)
+
+
+def test_long_words_are_not_remembered():
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    counter, voc = token_counts.Counter(MODEL), sentence_pieces.Vocabulary(MODEL)
+    rng = random.Random(14)
+    texts = ["".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(2000)) for _ in range(30)] + ["short words " * 20, "", " ", "x" * 65]
+    ids = library.encode(texts)
+    for _ in range(2):
+        assert counter.count(texts) == [len(i) for i in ids] and voc.encode_words(texts) == ids
+    for known in (counter.known, voc.word_ids):
+        assert "words" in known and max(map(len, known)) <= 64
+
+
+def test_chunks_of_a_document_get_their_matrices_apart(spark):
+    text = "".join(chr(0x4E00 + i * 7919 % 2000) for i in range(40_000))
+    docs = spark.createDataFrame([(1, text, 5)], "doc_id long, text string, same long")
+    chunks = sentence_pieces._chunks(docs, MODEL, 1000).withColumn("task", F.spark_partition_id())
+    rows = chunks.select("no", "task").collect()
+    assert len(rows) == 41 and len({r.task for r in rows}) > 1
