@@ -30,8 +30,8 @@ MIN_ITEM = 5
 #: Words on both sides of a hit that are compared.
 REACH = 64
 #: Slots, a power of two, of the table that sorts out hashes which no item has: so many a window, within these bounds. A
-#: table at the upper bound (16 MB) is less selective, and the result the same.
-WINDOW_SLOTS, LEAST_SLOTS, MOST_SLOTS = 32, 1 << 16, 1 << 27
+#: table at the upper bound (32 MB) is less selective, and the result the same.
+WINDOW_SLOTS, LEAST_SLOTS, MOST_SLOTS = 128, 1 << 16, 1 << 28
 
 
 @lru_cache
