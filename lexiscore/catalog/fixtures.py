@@ -85,6 +85,17 @@ def messy_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+SHORTENED = {" the ": " th. ", " und ": " u. "}
+
+
+def abbreviated_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in which two frequent words are shortened wherever spaces enclose them."""
+    text = F.col("text")
+    for word, short in SHORTENED.items():
+        text = F.replace(text, F.lit(word), F.lit(short))
+    return table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+
+
 def reposted_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posts without a flag, some of them marked by their first letters."""
     marked = F.when(F.col("tweet_id") % 7 == 0, F.concat(F.lit("RT "), F.col("text"))).otherwise(F.col("text"))

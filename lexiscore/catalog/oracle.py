@@ -33,10 +33,13 @@ def _sub(text: str, pattern: str, new: str) -> str:
     return f"regexp_replace({text}, '{pattern.replace(quote, quote * 2)}', '{new.replace(quote, quote * 2)}', 'g')"
 
 
-def tokens(text: str) -> str:
+def tokens(text: str, period: str = "") -> str:
+    """``period`` stands for one right after a word at a sentence end; without it, such a period is a token like others."""
     s = f"lower({text})"
     s = _sub(s, rf"""(^|[{_S}(\[{{<])("|'')""", r"\1 `` ")
     s = f"""replace({s}, '"', ' '''' ')"""
+    if period:
+        s = _sub(s, rf"""([^.{_S}])\.([\])}}>'"»”’]*)([{_S}]|$)""", rf"\1 {period} \2 \3")
     s = _sub(s, rf"""(^|[^.])\.([\])}}>"'»”’]*)([{_S}]|$)""", r"\1 . \2 \3")
     s = _sub(s, r"([:,])([^0-9]|$)", r" \1 \2")
     s = _sub(s, r"[;@#$%&?!*()\[\]{}<>«»“”„‘’]|`+|--|\.\.+|''", r" \0 ")
@@ -420,6 +423,35 @@ ORACLES["posts_without_text"] = "SELECT event_id AS ord, ts AS created_at, '' AS
 ORACLES["post_sums_vocabulary_lexicon"] = f"""WITH {CLEAN}, {bag("clean", "ord, tweet_id")}, {VOCABULARY},
 {weighted_sums("vocabulary_lexicon", ["cool_pos", "cool_neg"])} SELECT * FROM sums"""
 
+ORACLES["post_sums_conversation_lexicon"] = f"""WITH {CLEAN}, {bag("clean", "ord, tweet_id")}, {SPOKEN},
+{weighted_sums("conversation_lexicon", ["trust_pos", "trust_neg"])} SELECT * FROM sums"""
+
+_shortened = "text"
+for _word, _short in fx.SHORTENED.items():
+    _shortened = f"replace({_shortened}, '{_word}', '{_short}')"
+_MARK = "﷐"
+ABBREVIATIONS = f"""bags AS (SELECT doc_id, {tokens(_shortened, _MARK)} AS bag FROM documents),
+around AS (
+  SELECT doc_id, unnest(bag) AS term, unnest(bag[2:] || [NULL]) AS after, unnest([NULL] || bag[:-2]) AS before FROM bags WHERE len(bag) > 0),
+counted AS (
+  SELECT term, count(*) AS n, count(*) FILTER (after = '{_MARK}') AS n_period FROM around WHERE term <> '{_MARK}' GROUP BY term),
+judged_words AS (
+  SELECT term, n, n_period, length(replace(term, '.', '')) AS letters, length(term) - length(replace(term, '.', '')) + 1 AS periods,
+         least((SELECT sum(n_period) / sum(n) FROM counted), 0.99::DOUBLE) AS share
+  FROM counted WHERE n_period > 0 AND regexp_matches(term, '^\\p{{L}}[\\p{{L}}\\p{{N}}.-]*$')),
+abbreviations AS (SELECT * FROM (
+  SELECT term, n, n_period, 2 * (n_period * ln(0.99::DOUBLE / share) + (n - n_period) * ln(0.01::DOUBLE / (1 - share)))
+         * exp(-letters) * periods / pow(letters::DOUBLE, n - n_period) AS score
+  FROM judged_words) WHERE score >= 0.3)"""
+ORACLES["abbreviation_scores"] = f"""WITH {ABBREVIATIONS}
+SELECT term, n, n_period, round(score, 6) + 0.0 AS score FROM abbreviations"""
+ORACLES["term_frequency_abbreviations"] = f"""WITH {ABBREVIATIONS},
+kept AS (
+  SELECT doc_id, CASE WHEN a.term = '{_MARK}' THEN '.' WHEN a.after = '{_MARK}' AND k.term IS NOT NULL THEN a.term || '.' ELSE a.term END AS term
+  FROM around a LEFT JOIN abbreviations k ON a.term = k.term LEFT JOIN abbreviations b ON a.before = b.term
+  WHERE NOT (a.term = '{_MARK}' AND b.term IS NOT NULL))
+SELECT doc_id, term, count(*) AS frequency FROM kept GROUP BY ALL"""
+
 # Scores
 
 _term_scores = ", ".join(f"CAST(frequency * {c} AS BIGINT) AS {c}" for c in fx.SCORE_COLUMNS)

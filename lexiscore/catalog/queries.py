@@ -15,7 +15,7 @@ from lexiscore.functions import language as lang
 from lexiscore.functions import timestamps as ts
 from lexiscore.functions.stemming import stem_joined
 from lexiscore.functions.tokens import tokens
-from lexiscore.operators import lexicons, scoring, series, standardise, state, terms
+from lexiscore.operators import abbreviations, lexicons, scoring, series, standardise, state, terms
 from lexiscore.plans import index as ix
 from lexiscore.plans import reputation as plan
 from lexiscore.plans.ingest import prepare_posts as prepare
@@ -369,6 +369,27 @@ def post_sums_vocabulary_lexicon(spark, d):
     return scoring.score_texts(plan.candidates(fx.messy_posts(spark, d)), big, small=False)
 
 
+@query
+def post_sums_conversation_lexicon(spark, d):
+    """A shuffled lexicon that lacks most words of the posts, behind its Bloom filter."""
+    other = written(fx.conversation_lexicon(spark, d), "conversation-lexicon")
+    return scoring.score_texts(plan.candidates(fx.messy_posts(spark, d)), other, small=False)
+
+
+@query
+def abbreviation_scores(spark, d):
+    """Words of all documents that may be abbreviations, with their scores."""
+    counts = written(abbreviations.period_counts(fx.abbreviated_documents(spark, d)), "period-counts")
+    return rounded(abbreviations.score_abbreviations(counts).where(F.col("score") >= abbreviations.MIN_SCORE))
+
+
+@query
+def term_frequency_abbreviations(spark, d):
+    """Terms of each document; abbreviations that the documents themselves teach keep their period."""
+    docs = fx.abbreviated_documents(spark, d)
+    return terms.count_terms(docs, ["doc_id"], abbreviations=plan.learn_abbreviations(docs))
+
+
 @query
 def index_two_lexicons(spark, d):
     """Two lexicons, a broadcast and a shuffled one, on one index of the posts."""

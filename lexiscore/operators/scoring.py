@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lexiscore.config import driver_groups
 from lexiscore.functions.timestamps import calendar_parts
-from lexiscore.operators.lexicons import is_small, join_weights, score_columns
+from lexiscore.operators.lexicons import drop_unknown, is_small, join_weights, score_columns
 from lexiscore.operators.standardise import parse_created_at, text_digest
 from lexiscore.operators.terms import count_terms
 
@@ -35,7 +35,8 @@ def score_texts(posts: DataFrame, lexicon: DataFrame, small: bool | None = None)
     lexicon term in it, with a digest for the text. Copies have equal counts, so grouping by id, digest and term leaves one
     of each. Both groupings combine before their shuffle, so neither an id nor a text with very many rows fills a task, and
     rows are told apart by content only, so a task that runs again gives the same rows. ``small`` tells whether the lexicon
-    is broadcast; None has its size checked.
+    is broadcast; None has its size checked. Of a larger one a Bloom filter is broadcast, so that words it does not have are
+    mostly not shuffled.
     """
     keys = ["tweet_id", "digest"]
     rows = posts.where(F.col("tweet_id").isNotNull()).select("tweet_id", "text")
@@ -43,6 +44,8 @@ def score_texts(posts: DataFrame, lexicon: DataFrame, small: bool | None = None)
     small = is_small(lexicon) if small is None else small
     if small:
         counts = counts.join(F.broadcast(lexicon.select("term").distinct()), "term", "left_semi")
+    else:
+        counts = drop_unknown(counts, lexicon)
     once = counts.groupBy(*keys, "term").agg(F.max("frequency").alias("frequency"))
     return sum_scores(term_scores(once, lexicon, small), score_columns(lexicon))
 

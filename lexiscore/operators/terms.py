@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,13 +15,13 @@ def explode_terms(posts: DataFrame, keep: list[str]) -> DataFrame:
     return posts.select(*keep, F.explode(tokens(F.col("text"))).alias("term"))
 
 
-def count_terms(posts: DataFrame, keep: list[str], punctuation: bool = True) -> DataFrame:
+def count_terms(posts: DataFrame, keep: list[str], punctuation: bool = True, abbreviations: Sequence[str] = ()) -> DataFrame:
     """One row per distinct term of each post, with its ``frequency``.
 
     A post's tokens are sorted and the runs of equal terms measured within the row, so posts are counted where they are
     instead of being exploded, shuffled and grouped.
     """
-    bag = tokens(F.col("text"))
+    bag = tokens(F.col("text"), abbreviations)
     if not punctuation:
         bag = F.filter(bag, lambda t: t.rlike(WORD_TOKEN))
     rows = posts.select(*keep, F.sort_array(bag).alias("_bag"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiscore.functions.language import LanguageModel, detect_language
 from lexiscore.functions.stemming import stem
+from lexiscore.operators.abbreviations import MIN_SCORE, learned_abbreviations, period_counts
 from lexiscore.operators.lexicons import check_lexicon, merge_lexicons, score_columns
 from lexiscore.operators.scoring import reattach as reattach_sums
 from lexiscore.operators.scoring import reattach_first, score_texts, with_scores
@@ -44,15 +47,27 @@ def clean_texts(posts: DataFrame, lang: str | None = "en") -> DataFrame:
     return clean_posts(posts, lang).select("ord", "tweet_id", "created_at", text)
 
 
-def term_rows(posts: DataFrame, lang: str | None = "en", punctuation: bool = True, with_text: bool = False) -> DataFrame:
+def learn_abbreviations(posts: DataFrame, min_score: float = MIN_SCORE) -> list[str]:
+    """Abbreviations of the posts' own texts, without their last period; all the posts are read once."""
+    return learned_abbreviations(written(period_counts(posts), "period-counts"), min_score)
+
+
+def term_rows(
+    posts: DataFrame,
+    lang: str | None = "en",
+    punctuation: bool = True,
+    with_text: bool = False,
+    abbreviations: Sequence[str] = (),
+) -> DataFrame:
     """Bag of words: one row per post and term, keyed by the post's ``ord``, ``tweet_id`` and time.
 
     ``with_text`` repeats the post's lower-case text in each of its rows, which makes the table grow with the square of the
-    text length; ``clean_texts`` has each text once, by the same keys.
+    text length; ``clean_texts`` has each text once, by the same keys. ``abbreviations`` (``learn_abbreviations``) keep their
+    final period.
     """
     keys = ["ord", "tweet_id", "created_at"]
     keep = [*keys, "text"] if with_text else keys
-    return count_terms(clean_texts(posts, lang), keep, punctuation).select(*keep, "term", "frequency")
+    return count_terms(clean_texts(posts, lang), keep, punctuation, abbreviations).select(*keep, "term", "frequency")
 
 
 def stem_vocabulary(posts: DataFrame) -> DataFrame:

@@ -265,6 +265,20 @@ def test_large_lexicon_is_joined_by_shuffle(spark, lexicon):
     assert sorted(map(tuple, large.collect())) == sorted(map(tuple, small.collect()))
 
 
+def test_term_filter_keeps_all_lexicon_terms(spark, monkeypatch):
+    words = spark.range(20_000).select(F.concat(F.lit("w"), "id").alias("term"))
+    known = words.where(F.col("term").endswith("0")).withColumn("cool_pos", F.lit(1))
+    kept = lexicons.drop_unknown(words, known)
+    assert kept.join(known, "term").count() == 2_000
+    assert kept.count() < 2_000 + 18_000 * 0.05
+    assert lexicons.drop_unknown(words, known.limit(0)).count() == 0
+    monkeypatch.setattr(lexicons, "MAX_BLOCKS", 100)  # 20 terms in each block: a weaker filter, all terms still pass
+    kept = lexicons.drop_unknown(words, known)
+    assert kept.join(known, "term").count() == 2_000 and kept.count() < 18_000
+    monkeypatch.setattr(lexicons, "MAX_BLOCKS", 10)
+    assert lexicons.drop_unknown(words, known) is words
+
+
 def test_clean_reattach_moves_each_text_once(spark, lexicon):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:

@@ -12,6 +12,7 @@ from lexiscore.functions import language
 from lexiscore.functions.language import detect_language
 from lexiscore.functions.stemming import STEP_2, STEP_3, STEP_4, stem, stem_joined, stem_word
 from lexiscore.functions.tokens import tokens
+from lexiscore.operators import abbreviations
 
 TOKEN_CASES = {
     "Can't stop! #Cool": ["ca", "n't", "stop", "!", "#", "cool"],
@@ -37,6 +38,38 @@ def test_token_cases(spark):
     assert got == TOKEN_CASES
 
 
+def test_abbreviations_keep_their_period(spark):
+    cases = {
+        "Dr. No met Mr. X at 5 p.m. in the U.S.": ["dr.", "no", "met", "mr", ".", "x", "at", "5", "p.m.", "in", "the", "u.s."],
+        '(etc.) "said etc." and so on etc .': ["(", "etc.", ")", "``", "said", "etc.", "''", "and", "so", "on", "etc", "."],
+        "etc.. etc... Dr.": ["etc", "..", "etc", "...", "dr."],
+        ". ends .": [".", "ends", "."],
+        "": [],
+    }
+    df = spark.createDataFrame([(text,) for text in cases] + [(None,)], "text string")
+    known = ["dr", "p.m", "u.s", "etc"]
+    got = {r.text: r.t for r in df.select("text", tokens(F.col("text"), known).alias("t")).collect()}
+    assert got == cases | {None: None}
+
+
+def test_abbreviations_are_learnt(spark):
+    rows = ["the dr. said that the end came.", "a dr. came to the u.s. today.", "no end to it", "the dr. left the u.s. and came", None, ""] * 40
+    posts = spark.createDataFrame([(text,) for text in rows], "text string")
+    counts = abbreviations.period_counts(posts)
+    with_period = {r.term: (r.n, r.n_period) for r in counts.collect() if r.n_period}
+    assert with_period == {"dr": (120, 120), "came": (120, 40), "u.s": (80, 80), "today": (40, 40)}
+    # "today" has a period each time, too; here its length alone tells it from an abbreviation.
+    scores = {r.term: r.score for r in abbreviations.score_abbreviations(counts).collect()}
+    assert scores["dr"] > 10 and scores["u.s"] > 10 and scores["came"] <= 0 < scores["today"] < 3
+    assert abbreviations.learned_abbreviations(counts, 3.0) == ["dr", "u.s"]
+    with pytest.MonkeyPatch.context() as patch, pytest.raises(ValueError, match="min_score"):
+        patch.setattr(abbreviations, "MAX_ABBREVIATIONS", 1)
+        abbreviations.learned_abbreviations(counts, 3.0)
+    assert abbreviations.learned_abbreviations(abbreviations.period_counts(posts.limit(0))) == []
+    halves = [abbreviations.period_counts(spark.createDataFrame([(t,) for t in part], "text string")) for part in (rows[:99], rows[99:])]
+    assert set(map(tuple, abbreviations.merge_counts(*halves).collect())) == set(map(tuple, counts.collect()))
+
+
 def test_one_pattern_equals_the_chain_of_replacements(spark):
     rng = random.Random(11)
     bits = ["a", "b", "n't", "don't", "it's", "they'll", " ", " ", " ", "'", "''", '"', ".", "...", ",", ":", "-", "--",
