@@ -201,17 +201,37 @@ _TERMS_SQL = "regexp_extract_all(lower({}), '[a-z0-9]+(?:\\.[0-9]+)*')"
 _WORD_COUNT_SQL = "len(string_split_regex(trim({}), '\\s+'))"
 _VECTOR_SQL = """
     SELECT {key}, term, w / sqrt(sum(w * w) OVER (PARTITION BY {key})) AS w FROM (
-        SELECT {key}, term, count(*) * any_value(idf) AS w FROM (SELECT {key}, unnest(terms) AS term FROM {source}) JOIN idf USING (term)
+        SELECT {key}, term, count(*) * any_value(idf) * {decisive} AS w FROM (SELECT {key}, unnest(terms) AS term FROM {source}) JOIN idf USING (term)
         GROUP BY {key}, term)"""
+_DECISIVE_SQL = f"CASE WHEN term IN ({', '.join(repr(t) for t in licenses.DECISIVE)}) THEN {licenses.DECISIVE_WEIGHT} ELSE 1 END"
+_N_WORDS_SQL = "len(string_split(trim({}), ' '))"
+_WINDOWS_SQL = f"""[''] || flatten(list_transform(list_filter(range(1, {_N_WORDS_SQL.format("s")} + 1),
+           lambda i: regexp_matches(string_split(trim(s), ' ')[i], '{licenses._CUE_WORD}')),
+           lambda i: [array_to_string(string_split(trim(s), ' ')[greatest(i - {licenses.WORDS_BEFORE}, 1) : i + {licenses.WORDS_AFTER}], ' '), '']))"""
+_PIECES_SQL = f"""CASE WHEN {_N_WORDS_SQL.format("l")} <= {licenses.LONG_LINE} THEN [l] ELSE flatten(list_transform(
+           string_split(regexp_replace(l, '{licenses._SENTENCE_END}', '\\1' || chr(10), 'g'), chr(10)),
+           lambda s: CASE WHEN {_N_WORDS_SQL.format("s")} <= {licenses.LONG_LINE} THEN [s] ELSE {_WINDOWS_SQL} END)) END"""
 ORACLES["op10_license_scan"] = f"""
 WITH files AS (
     SELECT doc_id, source || '/part' || (doc_id // 1000) || '/box' || (doc_id // 50) AS dir, coalesce(text, '') AS text FROM documents
-), noted AS (
-    SELECT doc_id, text, array_to_string(list_transform(
-           list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '{licenses._CUE}')), lambda l: trim(l)), chr(10)) AS header
+), pieces AS (
+    SELECT doc_id, text, list_filter(flatten(list_transform(string_split(text, chr(10)), lambda l: {_PIECES_SQL})),
+           lambda l: NOT regexp_matches(l, '{licenses._MARKS_ONLY}')) AS pieces
     FROM files WHERE regexp_matches(text, '{licenses._CUE}')
+), runs AS (
+    SELECT doc_id, text, regexp_replace(trim(array_to_string(list_transform(
+           pieces, lambda l: CASE WHEN regexp_matches(l, '{licenses._CUE}') THEN trim(l) ELSE '' END), chr(10)), chr(10)),
+           '\\n{{2,}}', chr(10) || chr(10), 'g') AS runs
+    FROM pieces
+), noted AS (
+    SELECT doc_id, share, CASE WHEN share >= 0.2 THEN concat_ws(chr(10) || chr(10), nullif(runs, ''), regexp_replace(trim(text), '\\s+', ' ', 'g'))
+                               ELSE nullif(runs, '') END AS header
+    FROM (SELECT *, least({_WORD_COUNT_SQL.format("runs")} / {_WORD_COUNT_SQL.format("text")}, 1.0) AS share FROM runs)
+), parted AS (
+    SELECT header AS headers, n, unnest(list_distinct(string_split(header, chr(10) || chr(10)))) AS header
+    FROM (SELECT header, count(*) AS n FROM noted WHERE header IS NOT NULL GROUP BY header)
 ), headers AS (
-    SELECT header, count(*) AS n_files, {_TERMS_SQL.format("header")} AS terms FROM noted GROUP BY header
+    SELECT header, sum(n) AS n_files, {_TERMS_SQL.format("header")} AS terms FROM parted GROUP BY header
 ), templates AS (
     SELECT template_id, license, {_TERMS_SQL.format("text")} AS terms FROM (VALUES {_TEMPLATES_SQL}) t(template_id, license, text)
 ), counted AS (
@@ -221,18 +241,19 @@ WITH files AS (
     SELECT (SELECT coalesce(sum(n_files), 0) FROM headers WHERE len(terms) > 0) + (SELECT count(*) FROM templates) AS n
 ), idf AS (
     SELECT term, ln((1 + any_value(n)) / (1 + sum(n_files))) + 1 AS idf FROM counted, total GROUP BY term
-), ours AS ({_VECTOR_SQL.format(key="header", source="headers")}
-), theirs AS ({_VECTOR_SQL.format(key="template_id", source="templates")}
+), ours AS ({_VECTOR_SQL.format(key="header", source="headers", decisive=_DECISIVE_SQL)}
+), theirs AS ({_VECTOR_SQL.format(key="template_id", source="templates", decisive=_DECISIVE_SQL)}
 ), cosines AS (
     SELECT header, license, round(sum(o.w * t.w), 9) AS cosine FROM ours o JOIN theirs t USING (term) JOIN templates USING (template_id)
     GROUP BY header, template_id, license
 ), best AS (
-    SELECT header, min(license) AS license, any_value(cosine) AS cosine
-    FROM (SELECT *, rank() OVER (PARTITION BY header ORDER BY cosine DESC) AS r FROM cosines) WHERE r = 1 GROUP BY header
+    SELECT headers, min(license) AS license, any_value(cosine) AS cosine
+    FROM (SELECT headers, license, cosine, rank() OVER (PARTITION BY headers ORDER BY cosine DESC) AS r FROM parted JOIN cosines USING (header))
+    WHERE r = 1 GROUP BY headers
 ), judged AS (
     SELECT f.doc_id, f.dir, CASE WHEN cosine >= {licenses.MIN_COSINE} THEN license END AS license, cosine,
-           coalesce({_WORD_COUNT_SQL.format("n.header")} / {_WORD_COUNT_SQL.format("n.text")}, 0) >= 0.2 AS is_file
-    FROM files f LEFT JOIN noted n USING (doc_id) LEFT JOIN best b ON n.header = b.header
+           coalesce(n.share, 0) >= 0.2 AS is_file
+    FROM files f LEFT JOIN noted n USING (doc_id) LEFT JOIN best b ON n.header = b.headers
 ), grants AS (
     SELECT dir AS above, license FROM judged WHERE is_file AND license IS NOT NULL
     QUALIFY row_number() OVER (PARTITION BY dir ORDER BY cosine DESC, license) = 1

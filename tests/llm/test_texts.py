@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -14,6 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lexiscore.llm import licenses, pii, secrets, sentence_pieces, token_counts
+from lexiscore.llm.queries import ORACLES, QUERIES
 from tests.llm.cases import AWKWARD, LONG, awkward, prose
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -341,6 +343,50 @@ def test_every_template_is_its_own_best(spark):
     assert all(got[i] == (names[i], pytest.approx(1)) for i in got) and len(got) > len(rows) / 2
 
 
+def test_versions_clauses_and_long_lines(spark):
+    from pyspark.sql import functions as F
+
+    far = "the quiet river ran past the old mill and nobody in the village knew where it came from or went " * 20
+    bsd = licenses._BSD_GRANT + licenses._BSD_THIRD
+    texts = {
+        "bsd2/LICENSE": ("Copyright (c) 2020, Somebody\n\n" + licenses._BSD_GRANT.replace("met: ", "met:\n\n") + "\n" + licenses._BSD_WARRANTY, "BSD-2-Clause"),
+        "bsd3/LICENSE": ("Copyright (c) 2020, Somebody\n\n" + bsd.replace("met: ", "met:\n\n") + "\n" + licenses._BSD_WARRANTY, "BSD-3-Clause"),
+        "gpl2/a.c": ("/*\n * This program is free software; you can redistribute it and/or modify\n * it under the terms of the GNU General Public License\n"
+                     " * version 2 as published by the Free Software Foundation.\n */\nint a;", "GPL-2.0"),
+        "gpl3/COPYING": ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n" + far, "GPL-3.0"),
+        "style/a.go": ("// Use of this source code is governed by a BSD-style\n// license that can be found in the LICENSE file.\npackage a\n", "BSD-3-Clause"),
+        "line/a.txt": (far + "Licensed under the Apache License, Version 2.0. " + far, "Apache-2.0"),
+        "window/a.txt": (far + "released under the MIT license " + far, "MIT"),
+        "marks/a.sh": ("# Licensed under the Apache License, Version 2.0 (the \"License\");\n#\n# you may not use this file except in compliance with the License.\nx", "Apache-2.0"),
+        "prose/a.txt": (far, None),
+    }
+    rows = [(i, text, path) for i, (path, (text, _)) in enumerate(texts.items())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, path string")
+    got = {r.path: r.license for r in licenses.scan(docs, F.col("path")).collect()}
+    assert got == {path: name for path, (_, name) in texts.items()}
+
+
+def test_license_query_against_sql_on_texts_of_several_runs(spark, tmp_path):
+    far = "the quiet river ran past the old mill and nobody in the village knew where it came from or went " * 4
+    texts = [
+        "Released under the MIT License.\ncode\nLicensed under CC BY 4.0.",
+        f"{far}\nSPDX-License-Identifier: GPL-2.0\nSPDX-License-Identifier: MIT\n{far}",
+        f"{far}. Licensed under the Apache License, Version 2.0. {far} license {far}\n#\n# copyright\n#\n# copyright notice",
+        f"one {far} released under the ISC license, copyright of them all {far}", far, "", None, "  \n\n ", "license", "Version 2",
+    ]
+    rows = [(i, texts[i % len(texts)], "en" if i % 2 else None, f"s{i % 3}") for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {tuple(r) for r in QUERIES["op10_license_scan"](spark, str(tmp_path)).select(
+        "doc_id", "path", "license", "origin", "inherited_from", "cosine").collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.execute(ORACLES["op10_license_scan"]).to_arrow_table().to_pandas().astype(object)
+    want = want.where(want.notna(), None)[["doc_id", "path", "license", "origin", "inherited_from", "cosine"]]
+    assert got == {tuple(r) for r in want.itertuples(index=False)}
+    # Of two notices that both match in full, the alphabetically first counts.
+    assert {r[2] for r in got} == {"CC-BY-4.0", "GPL-2.0", "Apache-2.0", "ISC", None}
+
+
 def test_hash_of_no_spans():
     assert hashlib.sha256(secrets.joined([]).encode()).hexdigest().startswith("e3b0c442")
 
