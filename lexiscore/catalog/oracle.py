@@ -427,8 +427,8 @@ ORACLES["post_sums_conversation_lexicon"] = f"""WITH {CLEAN}, {bag("clean", "ord
 {weighted_sums("conversation_lexicon", ["trust_pos", "trust_neg"])} SELECT * FROM sums"""
 
 _shortened = "text"
-for _word, _short in fx.SHORTENED.items():
-    _shortened = f"replace({_shortened}, '{_word}', '{_short}')"
+for _long_form, _short_form in fx.SHORTENED.items():
+    _shortened = f"replace({_shortened}, '{_long_form}', '{_short_form}')"
 _MARK = "﷐"
 ABBREVIATIONS = f"""bags AS (SELECT doc_id, {tokens(_shortened, _MARK)} AS bag FROM documents),
 around AS (
