@@ -387,6 +387,22 @@ def test_license_query_against_sql_on_texts_of_several_runs(spark, tmp_path):
     assert {r[2] for r in got} == {"CC-BY-4.0", "GPL-2.0", "Apache-2.0", "ISC", None}
 
 
+def test_licenses_of_long_texts_and_clashing_columns(spark):
+    notice = "Released under the MIT License."
+    long = "the river ran past the mill and on " * 100_000
+    rows = [
+        (1, long + "\n" + notice + "\n" + long, "a/x", "i", "h"),
+        (1, long + notice, "b/x", None, None),  # the id again, with another text
+        (None, "", "c/x", "i", "h"),
+        (None, notice, "c/LICENSE", "i", "h"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, path string, _id string, _header string")
+    got = {r.path: (r.doc_id, r.license, r.origin) for r in licenses.scan(docs, F.col("path")).collect()}
+    assert got == {
+        "a/x": (1, "MIT", "header"), "b/x": (1, "MIT", "header"), "c/x": (None, "MIT", "directory"), "c/LICENSE": (None, "MIT", "file")
+    }
+
+
 def test_hash_of_no_spans():
     assert hashlib.sha256(secrets.joined([]).encode()).hexdigest().startswith("e3b0c442")
 
