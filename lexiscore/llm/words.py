@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
 
+from lexiscore.session import ship_package
+
 SLICE_BYTES = 1 << 20
 ARROW_BYTES = 4 << 20
 U64 = np.uint64
@@ -97,11 +99,12 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Have rows reach Python in batches of about ``ARROW_BYTES`` (or fewer, if the session says so), and one row at least.
+    """Give executors the package, and have rows reach Python in batches of about ``ARROW_BYTES`` (or fewer, if the session says so), and one row at least.
 
     Spark's own bound is 64 MB, of which a worker holds several copies. The setting is the session's, as a lazy result needs
     it when it is computed.
     """
+    ship_package(spark)
     setting = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = re.fullmatch(r"(\d+)b?", spark.conf.get(setting))
     if not now or not 0 < int(now[1]) <= ARROW_BYTES:
