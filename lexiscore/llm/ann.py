@@ -2,8 +2,8 @@
 
 Each half of a vector has its own centroids, so K + K centroids name K x K cells. A query walks the cells in the order of
 the summed nearness of their two centroids, by a heap, until the cells it has passed hold the wanted share of all vectors.
-Its candidates are then scored exactly, in blocks: entries of one first centroid in blocks of bounded size, queries too, and
-each pair of blocks is one matrix product that returns the best of the block alone.
+Its candidates are then scored exactly, in blocks: entries of some first centroids in blocks of bounded size, queries too. A
+query carries one bit for each cell of the block's centroids; its product with the entries of its cells gives the block's best.
 """
 
 from __future__ import annotations
@@ -19,9 +19,11 @@ from pyspark.sql import functions as F
 from lexiscore.llm.words import bound_batches
 from lexiscore.session import written
 
-CENTROIDS = 16
+CENTROIDS = 64
 SAMPLE_ROWS = 20_000
-SHARE = 0.7
+SHARE = 0.45
+#: A query travels once to each of at most so many groups of first centroids, whatever their number.
+GROUPS = 16
 ENTRY_BLOCK, QUERY_BLOCK = 4096, 512
 
 
@@ -109,7 +111,8 @@ def search(
 
     ``centroids`` per half are fitted on the ``sample_rows`` vectors of the smallest hashes; every vector is indexed.
     ``share`` of all vectors are candidates of each query: recall grows with it, and work too. An entry block holds about
-    ``ENTRY_BLOCK`` vectors and a query block ``QUERY_BLOCK``, however many vectors share a centroid.
+    ``ENTRY_BLOCK`` vectors and a query block ``QUERY_BLOCK``, however many vectors share a centroid. A query is copied to
+    at most ``GROUPS`` places, with one bit a cell, so more centroids do not make more rows.
     """
     spark = vectors.sparkSession
     bound_batches(spark)
@@ -146,35 +149,40 @@ def search(
         n_queries += nq
     total = int(sizes.sum())
     wanted = max(int(np.ceil(share * total)), min(total, k + 1))
-    blocks = np.maximum(1, -(-sizes.sum(1) // ENTRY_BLOCK))
+    # First centroids in groups of neighbouring numbers; of each group a query knows which cells it visits.
+    per = max(1, -(-len(centres[0]) // GROUPS))
+    n_second = len(centres[1])
+    group = F.floor(F.col("c1") / per).cast("int").alias("g")
+    group_sizes = np.add.reduceat(sizes.sum(1), np.arange(0, len(centres[0]), per))
+    blocks = np.maximum(1, -(-group_sizes // ENTRY_BLOCK))
     query_blocks = max(1, -(-n_queries // QUERY_BLOCK))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, firsts, cells = [], [], []
-            raws = []
+            ids, groups, cells, raws = [], [], [], []
             for query_id, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 q = np.frombuffer(raw, np.float64)
-                by_first: dict[int, list[int]] = {}
+                visited = np.zeros((len(blocks), per * n_second), bool)
                 for c1, c2 in traverse(centres[0] @ q[:half], centres[1] @ q[half:], sizes, wanted):
-                    by_first.setdefault(c1, []).append(c2)
-                for c1, seconds in by_first.items():
+                    visited[c1 // per, c1 % per * n_second + c2] = True
+                for g in np.flatnonzero(visited.any(1)).tolist():
                     ids.append(query_id)
-                    firsts.append(c1)
-                    cells.append(seconds)
+                    groups.append(g)
+                    cells.append(np.packbits(visited[g]).tobytes())
                     raws.append(raw)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(firsts, pa.int32()), pa.array(cells, pa.list_(pa.int32())), pa.array(raws, pa.binary())],
-                names=["query_id", "c1", "cells", "q"],
+                [pa.array(ids, pa.int64()), pa.array(groups, pa.int32()), pa.array(cells, pa.binary()), pa.array(raws, pa.binary())],
+                names=["query_id", "g", "cells", "q"],
             )
 
-    visits = index.where("q").select("id", "v").mapInArrow(walk, "query_id long, c1 int, cells array<int>, q binary")
-    n_blocks = F.element_at(F.array(*[F.lit(int(b)) for b in blocks]), F.col("c1") + 1)
+    visits = index.where("q").select("id", "v").mapInArrow(walk, "query_id long, g int, cells binary, q binary")
+    n_blocks = F.element_at(F.array(*[F.lit(int(b)) for b in blocks]), F.col("g") + 1)
     query_block = F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).alias("qb")
-    queries = visits.groupBy("c1", query_block).agg(F.collect_list(F.struct("query_id", "cells", "q")).alias("queries"))
+    queries = visits.groupBy("g", query_block).agg(F.collect_list(F.struct("query_id", "cells", "q")).alias("queries"))
     queries = queries.withColumn("eb", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
     entry_block = F.pmod(F.xxhash64(F.lit(1), "id"), n_blocks).cast("int").alias("eb")
-    entries = index.groupBy("c1", entry_block).agg(F.collect_list(F.struct("id", "c2", "v")).alias("entries"))
+    cell = (F.pmod("c1", F.lit(per)) * n_second + F.col("c2")).alias("cell")
+    entries = index.select("id", group, cell, "v").groupBy("g", entry_block).agg(F.collect_list(F.struct("id", "cell", "v")).alias("entries"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,9 +190,9 @@ def search(
             for entry_list, query_list in zip(batch.column(0), batch.column(1)):
                 part = entry_list.values
                 x = _vectors(part.field("v")).reshape(-1, n_dims)
-                ids, cells = part.field("id").to_numpy(), part.field("c2").to_numpy()
+                ids, cells = part.field("id").to_numpy(), part.field("cell").to_numpy()
                 for asked in query_list:
-                    mine = np.isin(cells, asked["cells"].values.to_numpy())
+                    mine = np.unpackbits(np.frombuffer(asked["cells"].as_py(), np.uint8))[cells].astype(bool)
                     query_id, q = asked["query_id"].as_py(), np.frombuffer(asked["q"].as_py(), np.float64)
                     best, scores = best_of_block(ids[mine], x[mine], query_id, q, k)
                     out_q += [query_id] * len(best)
@@ -196,7 +204,7 @@ def search(
                 names=["query_id", "vec_id", "score"],
             )
 
-    pairs = entries.join(queries, ["c1", "eb"]).select("entries", "queries")
+    pairs = entries.join(queries, ["g", "eb"]).select("entries", "queries")
     found = pairs.mapInArrow(score, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
