@@ -57,18 +57,21 @@ def nearest(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
 def traverse(near1: np.ndarray, near2: np.ndarray, sizes: np.ndarray, wanted: int) -> list[tuple[int, int]]:
     """Cells in falling order of ``near1[i] + near2[j]``, until those passed hold ``wanted`` vectors."""
     first, second = np.argsort(-near1, kind="stable"), np.argsort(-near2, kind="stable")
-    cost = lambda i, j: -(near1[first[i]] + near2[second[j]])
-    heap, seen, cells, held = [(cost(0, 0), 0, 0)], {(0, 0)}, [], 0
+    ones, twos, held_by = near1[first].tolist(), near2[second].tolist(), sizes[np.ix_(first, second)].tolist()
+    names1, names2 = first.tolist(), second.tolist()
+    # A row of cells enters with its first cell, once the row before has; then each cell brings the next of its row.
+    heap, cells, held = [(-(ones[0] + twos[0]), 0, 0)], [], 0
     while heap and held < wanted:
-        _, i, j = heapq.heappop(heap)
-        cell = int(first[i]), int(second[j])
-        if sizes[cell]:
-            cells.append(cell)
-            held += int(sizes[cell])
-        for a, b in ((i + 1, j), (i, j + 1)):
-            if a < len(first) and b < len(second) and (a, b) not in seen:
-                seen.add((a, b))
-                heapq.heappush(heap, (cost(a, b), a, b))
+        _, i, j = heap[0]
+        if held_by[i][j]:
+            cells.append((names1[i], names2[j]))
+            held += held_by[i][j]
+        if j + 1 < len(twos):
+            heapq.heapreplace(heap, (-(ones[i] + twos[j + 1]), i, j + 1))
+        else:
+            heapq.heappop(heap)
+        if j == 0 and i + 1 < len(ones):
+            heapq.heappush(heap, (-(ones[i + 1] + twos[0]), i + 1, 0))
     return cells
 
 
