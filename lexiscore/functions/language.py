@@ -8,6 +8,7 @@ texts. A text's score for a language is the sum over its runs, made in a single
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiscore.config import LANGUAGE_PROFILES, LANGUAGE_SAMPLES
+from lexiscore.session import bound_arrow
 
 # Likelihood of a run that a language's texts do not have: one in so many.
 UNSEEN = 20_000
@@ -173,17 +175,20 @@ def score_languages(text: Column, model: LanguageModel | None = None) -> Column:
     model, such as one without letters, and for null.
     """
     model = model or default_language_model(SparkSession.active())
+    bound_arrow(SparkSession.active())
     languages = np.array([*model.languages, None], object)
 
     @F.pandas_udf("language string, margin long")
-    def judge(texts: pd.Series) -> pd.DataFrame:
-        scores = _Scorer(model).scores(texts.fillna("").tolist()) if len(texts) else np.zeros((0, len(model.languages)), np.int64)
-        best = np.argmax(scores, axis=1) if len(scores) else np.zeros(0, np.int64)
-        top = scores[np.arange(len(scores)), best]
-        rest = scores.copy()
-        rest[np.arange(len(scores)), best] = 0
-        second = rest.max(axis=1, initial=0)
-        return pd.DataFrame({"language": languages[np.where(top > 0, best, -1)], "margin": top - second})
+    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        scorer = _Scorer(model)
+        for texts in batches:
+            scores = scorer.scores(texts.fillna("").tolist()) if len(texts) else np.zeros((0, len(model.languages)), np.int64)
+            best = np.argmax(scores, axis=1) if len(scores) else np.zeros(0, np.int64)
+            top = scores[np.arange(len(scores)), best]
+            rest = scores.copy()
+            rest[np.arange(len(scores)), best] = 0
+            second = rest.max(axis=1, initial=0)
+            yield pd.DataFrame({"language": languages[np.where(top > 0, best, -1)], "margin": top - second})
 
     return judge(F.lower(text))
 

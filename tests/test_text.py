@@ -13,6 +13,7 @@ from lexiscore.functions.language import detect_language
 from lexiscore.functions.stemming import STEP_2, STEP_3, STEP_4, stem, stem_joined, stem_word
 from lexiscore.functions.tokens import tokens
 from lexiscore.operators import abbreviations
+from lexiscore.session import ARROW_BYTES
 
 TOKEN_CASES = {
     "Can't stop! #Cool": ["ca", "n't", "stop", "!", "#", "cool"],
@@ -219,3 +220,19 @@ def test_margin_and_trained_model(spark):
     df = spark.createDataFrame([("Abba!",), ("deed",), ("zzz",), ("a",)], "text string")
     assert [r[0] for r in df.select(detect_language(F.col("text"), model)).collect()] == ["xx", "yy", None, "yy"]
     assert [r[0] for r in df.select(detect_language(F.col("text"), model, 10**9)).collect()] == [None] * 4
+
+
+def test_texts_reach_python_in_small_batches(spark):
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    posts = spark.createDataFrame([(i, "the cats and the dogs are running in the rain " * 5) for i in range(50)], "id long, text string")
+    before = spark.conf.get(setting)
+    for made in (lambda: detect_language(F.col("text")), lambda: stem_joined(F.split("text", " "))):
+        spark.conf.set(setting, str(64 << 20))
+        column = made()
+        assert int(spark.conf.get(setting)) == ARROW_BYTES
+        want = {r[0] for r in posts.select(column).collect()}
+        # A smaller bound of the session stays; batches of a row or two give the same.
+        spark.conf.set(setting, "300")
+        assert {r[0] for r in posts.select(made()).collect()} == want and len(want) == 1
+        assert spark.conf.get(setting) == "300"
+    spark.conf.set(setting, before)
