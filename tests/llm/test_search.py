@@ -253,3 +253,21 @@ def test_parts_of_a_text_give_the_whole_maximum(monkeypatch):
     whole = net.output(buckets)
     monkeypatch.setattr(toxicity, "STRIDE", 7)
     assert abs(net.output(buckets) - whole) < 1e-4
+
+
+def test_every_labelled_row_is_learnt_in_shards_too(spark, monkeypatch):
+    ids = spark.range(9400).select("id", (F.xxhash64("id") > 5 * 10**18).alias("late")).collect()
+    rows, labels = [], []
+    for r in ids:
+        toxic = r.id % 5 < 2
+        # Among the 3,760 toxic rows those of the largest hashes, beyond any 3,000, have a word of their own.
+        rows.append((r.id, prose(r.id, 6) + (" " + ("latefoul" if r.late else "vilething") if toxic else "")))
+        labels.append((r.id, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int")
+    fresh = spark.createDataFrame([(i, prose(20_000 + i, 6) + ["", " latefoul", " vilething"][i % 3]) for i in range(60)], docs.schema)
+    for shard in (toxicity.SHARD_ROWS, 2000):
+        monkeypatch.setattr(toxicity, "SHARD_ROWS", shard)
+        net = toxicity.train(docs, marks, F.lit(True))
+        got = {r.doc_id: r.score >= toxicity.THRESHOLD for r in toxicity.score(fresh, net).collect()}
+        assert sum(got[i] == (i % 3 > 0) for i in got) >= 57
