@@ -33,9 +33,14 @@ def ordered_key(df: DataFrame, columns: list[str]) -> Column:
 
 
 def _interval(pivots: Column, key: Column) -> Column:
-    """Twice the number of pivots below the key, and one more if it equals a pivot: a number that rises with the key."""
-    below = F.size(F.filter(pivots, lambda p: p < key))
-    return 2 * below + F.array_contains(pivots, key).cast("int")
+    """Twice the number of pivots below the key, and one more if it equals a pivot: a number that rises with the key.
+
+    The sorted pivots are searched by halves; a place beyond them has no pivot and so none below the key.
+    """
+    steps = F.array(*[F.lit(PIVOTS >> i) for i in range(PIVOTS.bit_length())])
+    below = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(pivots, at + step - 1) < key, at + step).otherwise(at))
+    placed = F.transform(F.array(below), lambda at: 2 * at + F.coalesce(F.get(pivots, at) == key, F.lit(False)).cast("int"))
+    return F.get(placed, F.lit(0))
 
 
 def nth_key(keys: DataFrame, n: int) -> tuple[DataFrame, int]:

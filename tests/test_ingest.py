@@ -337,3 +337,18 @@ def test_types_of_all_columns(spark, tmp_path):
     assert set(dict(plain.drop("ord").dtypes).values()) == {"string"}
     some = readers.read_posts_csv(spark, str(tmp_path / "t.csv"), {"f": "string"}, infer=True)
     assert dict(some.dtypes)["f"] == "string" and dict(some.dtypes)["a"] == "bigint"
+
+
+def test_pivots_are_searched_by_halves(spark):
+    rows = [(i % 97 if i % 5 else None, float("nan") if i % 11 == 0 else i / 7, f"t{i % 3}") for i in range(300)]
+    df = spark.createDataFrame(rows, "a long, b double, c string")
+    keys = df.select(selection.ordered_key(df, ["a", "b", "c"]).alias("key")).distinct()
+    for n in (1, 2, 3, 31, 63, selection.PIVOTS):
+        pivots = keys.orderBy(F.xxhash64("key")).limit(n).agg(F.sort_array(F.collect_list("key")).alias("pivots"))
+        got = keys.crossJoin(pivots).select(
+            selection._interval(F.col("pivots"), F.col("key")).alias("got"),
+            (2 * F.size(F.filter("pivots", lambda p: p < F.col("key"))) + F.array_contains("pivots", F.col("key")).cast("int")).alias("want"),
+        )
+        assert got.where("got <> want OR got IS NULL").count() == 0
+    # One comparison per halving, not one per pivot.
+    assert "filter" not in str(selection._interval(F.col("pivots"), F.col("key")))
