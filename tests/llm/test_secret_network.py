@@ -126,3 +126,22 @@ def test_findings_of_patterns_have_scores_too(spark, net):
     row = secrets.find_secrets(awkward(spark, [(1, text), (2, None)]), net).where("doc_id = 1").first()
     assert row.spans == row.base_spans and len(row.scores) == 2
     assert row.scores[0] is None and row.scores[1] >= net.threshold
+
+
+def test_every_finding_of_the_corpus_is_learnt_in_shards_too(spark, monkeypatch):
+    given = []
+    calibrate = secrets.Network.calibrate
+    monkeypatch.setattr(secrets.Network, "calibrate", lambda net, *rest: given.append(rest) or calibrate(net, *rest))
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("ghijklmnop_") for _ in range(30))
+    docs = spark.createDataFrame([(i, f"zone {word()} here") for i in range(900)], "doc_id long, text string")
+    for shard in (secrets.SHARD_ROWS, 300):
+        monkeypatch.setattr(secrets, "SHARD_ROWS", shard)
+        net = secrets.train(docs, rows=60, made=1000)
+        codes, labels, _, weight = given.pop()
+        corpus = (codes[:, : secrets.BEFORE] == np.frombuffer(b"zone ".rjust(secrets.BEFORE), np.uint8)).all(1)
+        # All 900 are dealt; about 270 of them calibrate, and together they weigh as much as their share of 60.
+        assert 200 <= corpus.sum() <= 340 and 13 <= weight[corpus].sum() <= 23
+        assert net.recall >= 0.98 and net.precision >= 0.8
+        unseen = [secrets.windows(f"zone {w} here", 5, 35) for w in (word() for _ in range(50))]
+        assert np.mean([net.score(secrets._codes(v)).max() < net.threshold for v in unseen]) >= 0.9
