@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,8 @@ from lexiscore.session import written
 MARK = "▁"
 #: Texts of more characters are giant: they are cut into chunks of so many.
 CHUNK = 1 << 14
-#: Words whose pieces a worker remembers at most, and the length up to which it does: about 30 MB together.
-REMEMBERED, SHORT = 1 << 16, 64
+#: Words whose pieces a worker remembers in each of two tables, and the length up to which it does: about 60 MB together.
+REMEMBERED, SHORT = 1 << 17, 64
 #: Chunks whose matrices are combined at a time.
 GROUP = 64
 
@@ -40,6 +41,12 @@ State = tuple[int, str]
 START: State = (0, "")
 
 
+def rows_of(column: pa.ListArray) -> list[np.ndarray]:
+    """Rows of whole numbers, each a stretch of the column's memory; its own way makes an object of each number."""
+    offsets = column.offsets.to_numpy()
+    return np.split(column.flatten().to_numpy(), offsets[1:-1] - offsets[0])[: len(column)]
+
+
 class Vocabulary:
     """Pieces of a SentencePiece model file with byte-pair merges and byte fallback."""
 
@@ -60,7 +67,8 @@ class Vocabulary:
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece holds a space mark after another character")
         self.fits = lru_cache(1 << 18)(self._fits)
-        self.word_ids: dict[str, list[int]] = {}
+        self.word_ids: dict[str, bytes] = {}
+        self.older_ids: dict[str, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
         """Byte-pair merging of a short text: the pair whose union ranks best merges first, of equals the leftmost."""
@@ -95,29 +103,42 @@ class Vocabulary:
                 out += [self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")]
         return out
 
-    def encode_words(self, texts: list[str]) -> list[list[int]]:
-        """Pieces of whole texts of ordinary length, word by word; new words go to the library in batches."""
+    def _learn(self, words: list[str]) -> list[str]:
+        """Take in the ids of these words, as 32-bit numbers end to end; those of them that are too long to keep."""
+        if not words:
+            return []
+        learnt = self.model.encode(words, num_threads=1)
+        ends = list(accumulate(map(len, learnt)))
+        packed = np.fromiter(chain.from_iterable(learnt), np.int32, ends[-1]).tobytes()
+        self.word_ids.update((word, packed[4 * low : 4 * high]) for word, low, high in zip(words, [0, *ends], ends))
+        if not self.word_ids.get("", b"-"):
+            self.word_ids[""] = np.array([self.ids[MARK]] if MARK in self.ids else self.ids_of([MARK]), np.int32).tobytes()
+        return [word for word in words if len(word) > SHORT]
+
+    def encode_rows(self, texts: list[str]) -> pa.ListArray:
+        """Pieces of whole texts of ordinary length, word by word, as lists of 32-bit numbers; new words go to the library in batches.
+
+        Words that still come stay when the memory is full: what was not asked for since it last was full goes.
+        """
         cut = [parts(t) for t in texts]
         wanted = set().union(*cut)
-        known = {word: ids for word in wanted if (ids := self.word_ids.get(word)) is not None}
-        if new := [word for word in wanted if word not in known]:
-            learnt = dict(zip(new, self.model.encode(new, num_threads=1)))
-            if "" in learnt:
-                learnt[""] = [self.ids[MARK]] if MARK in self.ids else self.ids_of([MARK])
-            known.update(learnt)
-            short = {word: ids for word, ids in learnt.items() if len(word) <= SHORT}
-            if len(self.word_ids) + len(short) > REMEMBERED:
-                self.word_ids.clear()
-            self.word_ids.update(short)
-        out = []
-        for words in cut:
-            ids: list[int] = []
-            for word in words:
-                ids += known[word]
-            out.append(ids)
-        return out
+        new = wanted.difference(self.word_ids)
+        if len(self.word_ids) + len(new) > REMEMBERED:
+            self.older_ids, self.word_ids, new = self.word_ids, {}, wanted
+        self.word_ids.update((word, ids) for word in new if (ids := self.older_ids.get(word)) is not None)
+        long = self._learn(list(new.difference(self.older_ids)))
+        rows = [b"".join(map(self.word_ids.__getitem__, words)) for words in cut]
+        for word in long:
+            del self.word_ids[word]
+        offsets = np.zeros(len(rows) + 1, np.int32)
+        np.cumsum([len(row) // 4 for row in rows], out=offsets[1:])
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(rows), np.int32)))
+
+    def encode_words(self, texts: list[str]) -> list[list[int]]:
+        """``encode_rows`` as lists."""
+        return [row.tolist() for row in rows_of(self.encode_rows(texts))]
 
-    def decode(self, rows: list[list[int]]) -> list[str]:
+    def decode(self, rows: list[list[int]] | list[np.ndarray]) -> list[str]:
         return self.model.decode(rows, num_threads=1) if rows else []
 
 
@@ -274,8 +295,7 @@ def _ordinary(docs: DataFrame, model_file: str) -> DataFrame:
                 size += len(text)
                 # Pieces leave in small batches, as they take far more memory than their texts.
                 if size >= BATCH_CHARS or i == batch.num_rows:
-                    ids = pa.array(voc.encode_words(some), pa.list_(pa.int32()))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(some)), ids], names=["doc_id", "ids"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(some)), voc.encode_rows(some)], names=["doc_id", "ids"])
                     at, some, size = i, [], 0
 
     return docs.mapInArrow(encode, f"doc_id {id_type}, ids array<int>")
@@ -448,7 +468,7 @@ def decode(encoded: DataFrame, model_file: str, id_col: str = "doc_id", ids_col:
         for batch in batches:
             for at in range(0, batch.num_rows, 16):
                 part = batch.slice(at, 16)
-                texts = pa.array(voc.decode(part.column(1).to_pylist()), pa.string())
+                texts = pa.array(voc.decode(rows_of(part.column(1))), pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns, texts], names=["doc_id", "ids", "text"])
 
     return narrow.mapInArrow(read, f"doc_id {id_type}, ids array<int>, text string")

@@ -459,3 +459,32 @@ def test_chunks_of_a_document_get_their_matrices_apart(spark):
     chunks = sentence_pieces._chunks(docs, MODEL, 1000).withColumn("task", F.spark_partition_id())
     rows = chunks.select("no", "task").collect()
     assert len(rows) == 41 and len({r.task for r in rows}) > 1
+
+
+def test_frequent_words_stay_remembered(voc, monkeypatch):
+    class Library:
+        def encode(self, words, num_threads):
+            sent.extend(words)
+            return voc.model.encode(words, num_threads=num_threads)
+
+    monkeypatch.setattr(sentence_pieces, "REMEMBERED", 100)
+    own, sent = sentence_pieces.Vocabulary(MODEL), []
+    library, own.model = own.model, Library()
+    for i in range(40):
+        texts = [" ".join(["often", *(f"word{i}x{j}" for j in range(30)), "often"]), "", " often"]
+        assert own.encode_words(texts) == library.encode(texts)
+    assert sent.count("often") == 1 and len(own.word_ids) + len(own.older_ids) <= 200
+
+
+def test_rows_of_a_column_of_lists(voc):
+    import pyarrow as pa
+
+    rows = [[1, 2], [], [3], [4, 5, 6], []]
+    column = pa.array(rows, pa.list_(pa.int32()))
+    found = lambda c: [row.tolist() for row in sentence_pieces.rows_of(c)]
+    assert found(column) == rows and found(column.slice(1, 3)) == rows[1:4]
+    assert found(column.slice(4)) == [[]] and found(column.slice(5)) == []
+    texts = ["", "a word", "", "", "two  words"]
+    coded = voc.encode_rows(texts)
+    assert voc.decode(sentence_pieces.rows_of(coded)) == texts
+    assert voc.decode(sentence_pieces.rows_of(coded.slice(2, 2))) == ["", ""]
