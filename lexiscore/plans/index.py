@@ -65,6 +65,18 @@ def _per_salt(df: DataFrame, salts: int) -> DataFrame:
     return df.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
 
 
+def postings(posts: DataFrame, lang: str | None = "en", model: LanguageModel | None = None, salts: int = SALTS) -> DataFrame:
+    """``term, tweet_id, frequency, _salt``: a row per term of each text of an id.
+
+    Copies of one text under one id are dropped before words are counted, so the many rows of words carry no digest, are not
+    grouped again, and move once, to their buckets. Copies combine within a task before texts are shuffled.
+    """
+    rows = candidates(posts, lang, model).where(F.col("tweet_id").isNotNull())
+    once = rows.select("tweet_id", "text", text_digest(F.col("text")).alias("digest")).dropDuplicates(["tweet_id", "digest"])
+    salted = once.select("tweet_id", "text", _of_row("tweet_id", "digest", salts=salts).alias("_salt"))
+    return count_terms(salted, ["tweet_id", "_salt"]).select("term", "tweet_id", "frequency", "_salt")
+
+
 def index_posts(
     posts: DataFrame,
     lang: str | None = "en",
@@ -73,15 +85,12 @@ def index_posts(
     buckets: int = BUCKETS,
     salts: int = SALTS,
 ) -> Bucketed:
-    """Postings of the posts that may be scored: ``term, tweet_id, digest, frequency``, a row per term of each id's texts.
+    """Postings of the posts that may be scored: ``term, tweet_id, frequency``, a row per term of each text of an id.
 
     Copies of one text under one id are one, reposts and other languages are left out, as in ``score_texts``; so are posts
     without an id. This is the only step that reads texts.
     """
-    rows = candidates(posts, lang, model).where(F.col("tweet_id").isNotNull()).select("tweet_id", "text")
-    counts = count_terms(rows.withColumn("digest", text_digest(F.col("text"))), ["tweet_id", "digest"])
-    once = counts.groupBy("term", "tweet_id", "digest").agg(F.max("frequency").alias("frequency"))
-    return write_bucketed(once, "term", _of_row("tweet_id", "digest", salts=salts), "postings", path, buckets, salts)
+    return write_bucketed(postings(posts, lang, model, salts), "term", F.col("_salt"), "postings", path, buckets, salts)
 
 
 def indexed_sums(spark: SparkSession, index: Bucketed, lexicon: DataFrame, small: bool | None = None) -> DataFrame:

@@ -50,6 +50,21 @@ def test_a_frequent_term_is_dealt_over_buckets(spark):
     assert max(per_file) < 2500 and len(per_file) > 2
 
 
+def test_words_of_an_index_move_once_and_without_digests(spark, posts):
+    twice = spark.createDataFrame(
+        [(1, "the the of"), (1, "the the of"), (1, "the to"), (2, "the the of"), (2, None), (2, ""), (None, "the")], "tweet_id long, text string"
+    )
+    index = ix.index_posts(twice.repartition(4), lang=None, buckets=2, salts=3)
+    table = index.read(spark)
+    assert set(table.columns) == {"term", "tweet_id", "frequency", "_salt"}
+    found = sorted((r.term, r.tweet_id, r.frequency) for r in table.collect())
+    assert found == [("of", 1, 1), ("of", 2, 1), ("the", 1, 1), ("the", 1, 2), ("the", 2, 2), ("to", 1, 1)]
+    index.drop(spark)
+    # Texts are shuffled by id and digest; their words are not shuffled or grouped before they go to their buckets.
+    before_words = plan_of(ix.postings(posts)).split("Generate inline")
+    assert len(before_words) == 2 and "Exchange" not in before_words[0] and "Aggregate" not in before_words[0]
+
+
 def test_bucketed_reattach_has_no_exchange(spark, posts):
     by_id = ix.bucket_posts(posts, buckets=4, salts=3)
     sums = ix.bucket_sums(scoring.score_texts(plan.candidates(posts), fx.lexicon(spark)), by_id)
