@@ -4,7 +4,8 @@ Anchors and candidates are dealt into tiles of bounded size by a written row num
 frequent id fills a tile. The scores of a pair of tiles are one product of whole-number matrices, by Strassen's seven
 recursive products. Two rounds of tiles: the first, within each label, finds every anchor's positives; the second, over
 all candidates, the negatives whose score lies in the window below a positive's. Both keep what they find in heaps of
-bounded size that merge: over the strips of a tile, the tiles of a task, and the tasks.
+bounded size that merge: over the strips of a tile, the tiles of a task, and the tasks. Anchor tiles are copied once for
+each group of candidate tiles and meet them by a shuffle, never through the driver.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ STRIP = 1024
 LEAF = 32
 # Heaps that a task holds before it passes the oldest on.
 HELD = 32
+# Candidate tiles that share one copy of the anchor tiles, at most; fewer while that leaves fewer groups of tiles than SPREAD.
+GROUP, SPREAD = 16, 64
 
 
 def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -164,10 +167,29 @@ def _dealt(n_tiles: Column) -> Column:
     return F.pmod(F.xxhash64("row"), n_tiles).cast("int")
 
 
+def _groups(n_tiles: Column) -> Column:
+    """How many groups the candidate tiles form: tile ``t`` is in group ``t`` modulo this number."""
+    size = F.least(F.lit(GROUP), F.greatest(F.lit(1), F.floor(n_tiles / SPREAD)))
+    return F.ceil(n_tiles / size).cast("int")
+
+
 def _listed(*columns: str) -> Column:
     return F.collect_list(F.struct(*columns))
 
 
+def _met(anchors: DataFrame, candidates: DataFrame, keys: list[str], *columns: str) -> DataFrame:
+    """``anchors``, tiles with a ``groups``, beside each tile of the ``candidates``, rows with a ``ct``, of their ``keys``.
+
+    Anchor tiles are copied once a group, and Spark plans by their size before that; so the join is never left to a
+    broadcast, which would take all copies through the driver. A task passes the anchor tiles by one group of candidates.
+    """
+    keys = [*keys, "group"]
+    copied = anchors.withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+    tiles = candidates.withColumn("group", F.col("ct") % F.col("groups")).repartition(*keys)
+    tiles = tiles.groupBy(*keys, "ct").agg(_listed(*columns).alias("candidates"))
+    return copied.join(tiles.hint("merge"), keys)
+
+
 def _fields(part: pa.Array, *names: str) -> list[np.ndarray]:
     return [part.field(name).to_numpy(zero_copy_only=False) for name in names]
 
@@ -201,11 +223,12 @@ def mine(
 
     n_rows, n_anchors = rows.agg(F.count(F.lit(1)), F.count_if("anchor")).first()
     n_tiles, anchor_tiles = max(1, -(-n_rows // CANDIDATE_TILE)), max(1, -(-n_anchors // ANCHOR_TILE))
+    groups = _groups(F.lit(n_tiles)).alias("groups")
     windows = positives.groupBy("anchor_row").agg(F.sort_array(_listed("place", "id", "score")).alias("windows"))
-    asked = rows.where("anchor").join(windows, F.col("row") == F.col("anchor_row"))
-    asked = asked.groupBy(_dealt(F.lit(anchor_tiles)).alias("at")).agg(_listed("row", "id", "label", "v", "windows").alias("anchors"))
-    asked = asked.withColumn("ct", F.explode(F.sequence(F.lit(0), F.lit(n_tiles - 1))))
-    candidates = rows.groupBy(_dealt(F.lit(n_tiles)).alias("ct")).agg(_listed("row", "id", "label", "v").alias("candidates"))
+    asked = rows.where("anchor").join(windows.hint("merge"), F.col("row") == F.col("anchor_row"))
+    tile = _dealt(F.lit(anchor_tiles)).alias("at")
+    asked = asked.groupBy(tile).agg(_listed("row", "id", "label", "v", "windows").alias("anchors")).select("*", groups)
+    candidates = rows.select("row", "id", "label", "v", _dealt(F.lit(n_tiles)).alias("ct"), groups)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple] = {}
@@ -222,7 +245,7 @@ def mine(
         for state in held.values():
             yield _found(*state, n_positives)
 
-    pairs = candidates.join(asked, "ct").select("at", "anchors", "candidates")
+    pairs = _met(asked, candidates, [], "row", "id", "label", "v").select("at", "anchors", "candidates")
     schema = "anchor_row long, anchor_id long, place int, positive_id long, positive_score long, id long, row long, score long"
     found = pairs.mapInArrow(search, schema)
     order = Window.partitionBy("anchor_row", "place").orderBy(F.desc("score"), "id", "row")
@@ -240,9 +263,10 @@ def _positives(rows: DataFrame, d: int, k: int) -> DataFrame:
     # The hash as a second key has both sides shuffled for this join alone, which adaptive execution may then split.
     by_hash = F.xxhash64("label").alias("h")
     sized = rows.select("*", by_hash).join(sizes.where("anchor_tiles > 0").select("*", by_hash), ["label", "h"])
-    candidates = sized.groupBy("label", _dealt(F.col("tiles")).alias("ct")).agg(_listed("row", "id", "v").alias("candidates"))
-    anchors = sized.where("anchor").groupBy("label", "tiles", _dealt(F.col("anchor_tiles")).alias("at")).agg(_listed("row", "v").alias("anchors"))
-    anchors = anchors.withColumn("ct", F.explode(F.sequence(F.lit(0), F.col("tiles").cast("int") - 1)))
+    sized = sized.withColumn("groups", _groups(F.col("tiles")))
+    candidates = sized.select("label", "row", "id", "v", _dealt(F.col("tiles")).alias("ct"), "groups")
+    tile = _dealt(F.col("anchor_tiles")).alias("at")
+    anchors = sized.where("anchor").groupBy("label", "groups", tile).agg(_listed("row", "v").alias("anchors"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -256,7 +280,7 @@ def _positives(rows: DataFrame, d: int, k: int) -> DataFrame:
                     names=["anchor_row", "id", "row", "score"],
                 )
 
-    pairs = candidates.join(anchors, ["label", "ct"]).select("anchors", "candidates")
+    pairs = _met(anchors, candidates, ["label"], "row", "id", "v").select("anchors", "candidates")
     found = pairs.mapInArrow(search, "anchor_row long, id long, row long, score long")
     order = Window.partitionBy("anchor_row").orderBy(F.desc("score"), "id", "row")
     ranked = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)

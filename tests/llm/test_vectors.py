@@ -1,5 +1,6 @@
 """Hard negatives and whitening against plain versions."""
 
+import itertools
 import math
 import random
 from fractions import Fraction
@@ -81,6 +82,34 @@ def test_mining_against_a_plain_version(spark, monkeypatch, tiles):
     assert len(want) > 500 and mined(df) == want
 
 
+@pytest.mark.parametrize("limits", [(16, 64), (16, 2), (3, 1)])
+def test_copies_of_anchor_tiles_never_pass_the_driver(spark, monkeypatch, limits):
+    sizes = {"ANCHOR_TILE": 4, "CANDIDATE_TILE": 16, "GROUP": limits[0], "SPREAD": limits[1]}
+    for name, size in sizes.items():
+        monkeypatch.setattr(hard_negatives, name, size, raising=False)
+    plans = []
+
+    def written(df, name):
+        out = spark.createDataFrame(df.collect(), df.schema)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(hard_negatives, "written", written)
+    rng = random.Random(5)
+    rows = [(i, [rng.randrange(-3, 4) / 4 for _ in range(6)], rng.choice([1, 1, 1, 2])) for i in range(300)]
+    found = hard_negatives.mine(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), F.col("vec_id") % 10 == 0)
+    got = sorted(tuple(r) for r in found.collect())
+    assert got == plain_mining(rows, lambda i: i % 10 == 0) and len(got) > 300
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert sum("Generate explode" in plan for plan in plans) == 2
+    for plan in plans:
+        lines = [(len(line) - len(line.lstrip(" :+-*")), line) for line in plan.splitlines()]
+        for at, (depth, line) in enumerate(lines):
+            if "BroadcastExchange" in line:
+                below = list(itertools.takewhile(lambda x: x[0] > depth, lines[at + 1 :]))
+                assert below and not any("Generate explode" in x or "collect_list" in x for _, x in below)
+
+
 def test_rows_that_take_no_part_in_mining(spark):
     nan, inf = math.nan, math.inf
     one = [1.0, 0.5]
